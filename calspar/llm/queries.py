@@ -6,20 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import sharding, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of all documents."""
+    return tokens.token_counts(documents(spark, sf_dir), word_bpe(), limit=2048)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards of near equal bytes, equal texts together."""
     return sharding.shard_documents(documents(spark, sf_dir), 16)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_sharding": op9_sharding}
+    return {"op4_token_counts": op4_token_counts, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
