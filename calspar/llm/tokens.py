@@ -27,7 +27,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE, WORD = re.compile(f"[{SPACES}]+"), re.compile(f"[^{SPACES}]+")
 #: Entries that a worker's caches hold; a full cache is emptied and filled anew.
-WORD_CACHE, PIECE_CACHE = 700_000, 500_000
+WORD_CACHE, PIECE_CACHE = 400_000, 400_000
 
 
 def byte_letters() -> list[str]:
