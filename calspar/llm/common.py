@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def slices(batch: pa.RecordBatch, column: int, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch whose binary column holds about `limit` bytes each (one longer row stands alone)."""
     start, held = 0, 0
-    sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
     for i, n in enumerate(sizes):
         if held and held + (n or 0) > limit:
             yield batch.slice(start, i - start)

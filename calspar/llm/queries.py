@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, tokens
+from . import packing, sharding, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +24,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), word_bpe(), limit=2048)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each with id 2 at its end, in sequences of 4096 ids."""
+    return packing.packed_digest(packing.pack(documents(spark, sf_dir), word_bpe(), end_id=2, length=4096))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards of near equal bytes, equal texts together."""
     return sharding.shard_documents(documents(spark, sf_dir), 16)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_counts": op4_token_counts, "op9_sharding": op9_sharding}
+    return {"op4_token_counts": op4_token_counts, "op8_packing": op8_packing, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
