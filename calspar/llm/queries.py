@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, tokens
+from . import matroska, packing, sharding, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), 16)
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as Matroska files and read back from their packets."""
+    return matroska.media_digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_counts": op4_token_counts, "op8_packing": op8_packing, "op9_sharding": op9_sharding}
+    return {"op4_token_counts": op4_token_counts, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
