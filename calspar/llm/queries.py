@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, packing, sharding, tokens
+from . import langid, matroska, packing, quality, sharding, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,16 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from four fifths of them."""
+    return langid.language_id(documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels of three quarters of them."""
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of all documents."""
     return tokens.token_counts(documents(spark, sf_dir), word_bpe(), limit=2048)
@@ -40,7 +50,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_counts": op4_token_counts, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns}
+    return {"op1_language_id": op1_language_id, "op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
