@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, matroska, packing, quality, sharding, tokens
+from . import decontaminate, langid, lines, matroska, packing, quality, sharding, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that repeat, but for a word, an earlier one."""
+    return lines.line_digest(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels of three quarters of them."""
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -55,8 +60,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns}
+    return {"op1_language_id": op1_language_id, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.ORACLE}
+    return {"op2_line_dedup": lines.ORACLE, "op5_decontamination": decontaminate.ORACLE}
