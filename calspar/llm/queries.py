@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lines, matroska, packing, quality, sharding, tokens
+from . import decontaminate, langid, lines, matroska, packing, quality, repeats, sharding, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 50-word windows that an earlier document has."""
+    return repeats.repeat_digest(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each with id 2 at its end, in sequences of 4096 ids."""
     return packing.packed_digest(packing.pack(documents(spark, sf_dir), word_bpe(), end_id=2, length=4096))
@@ -60,8 +65,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns}
+    return {"op1_language_id": op1_language_id, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_substring_dedup": op6_substring_dedup, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE, "op5_decontamination": decontaminate.ORACLE}
+    return {"op2_line_dedup": lines.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op6_substring_dedup": repeats.ORACLE}
