@@ -3,8 +3,8 @@
 Every window of LENGTH words has a seed: the least hash of the SEED-word runs in it, so equal windows have equal
 seeds wherever they stand. Consecutive windows of one seed are one stretch, which is the seed extended both ways as
 far as its windows reach. Documents are joined on seeds: stretches that are equal as a whole match at once, and only
-where stretches of one seed differ (at the edges of repeats) are single windows compared, one representative of each
-different stretch. Matching windows that overlap form the maximal repeats of LENGTH words or more; from every document
+where stretches of one seed differ (at the edges of repeats) are single windows compared, those of the smallest
+document of each different stretch. Matching windows that overlap form the maximal repeats of LENGTH words or more; from every document
 all words of windows that a document of a smaller id has too are removed.
 
 Nothing is paired within a group: stretches and windows are reduced to their smallest document by partial aggregates,
@@ -121,11 +121,11 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     shared = common.cut(shared)
     found = common.cut(stretch_table(texts, length, seed).join(common.sized(shared, 32), "seed", "left_semi"))
     group = ["seed", "g1", "g2"]
-    kinds = found.groupBy(*group).agg(F.min(F.struct("doc_id", "k", "low", "high")).alias("e"))
-    kinds = common.cut(kinds)
-    whole = found.join(kinds, group).filter("e.doc_id < doc_id").select("doc_id", "k", "low", (F.col("high") + length).alias("end"))
-    several = kinds.groupBy("seed").agg(F.count("*").alias("n"), F.min("e.doc_id").alias("a"), F.max("e.doc_id").alias("z")).filter("n > 1 and a < z").select("seed")
-    edges = kinds.join(several, "seed", "left_semi").select("e.*")
+    kinds = common.cut(found.groupBy(*group).agg(F.min("doc_id").alias("e")))
+    placed = found.join(kinds, group)
+    whole = placed.filter("e < doc_id").select("doc_id", "k", "low", (F.col("high") + length).alias("end"))
+    several = kinds.groupBy("seed").agg(F.count("*").alias("n"), F.min("e").alias("a"), F.max("e").alias("z")).filter("n > 1 and a < z").select("seed")
+    edges = placed.filter("e = doc_id").join(several, "seed", "left_semi")
     wanted = common.cut(edges.groupBy("doc_id", "k").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
     windows = common.cut(window_table(texts, wanted, length))
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z")
