@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +22,33 @@ from . import common, tokens
 
 #: Ids that one stored row holds at most: a longer document is stored as several rows, so that no row grows with a text.
 ROW_IDS = 1 << 16
-#: Distinct words and pieces that a worker keeps the ids of; a full store is emptied and filled anew.
-STORED_WORDS = 300_000
+#: Distinct words and pieces that a worker keeps the ids of, about; a full store is emptied and filled anew.
+STORED_WORDS, STORED_PIECES = 600_000, 400_000
+
+
+class Numbers(dict):
+    """Numbers words in order of first sight and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them, made once per distinct word."""
+    """Ids of texts as the tokenizers library gives them: pieces are encoded by its model, once per distinct piece."""
 
     kept: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        v = tokens.Vocabulary(path)
-        self.split_special = v.split_special
+        self.v = tokens.Vocabulary(path)
+        self.library, self.model = self.v.library, self.v.library.model
+        self.pieces = tokens.Cache(self.encode_piece, STORED_PIECES)
+        self.special = {t: np.array([i], "<i4").tobytes() for t, i in self.v.special.items()}
         self.empty()
 
     @classmethod
@@ -45,49 +58,58 @@ class Encoder:
         return cls.kept[path]
 
     def empty(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(1 << 20, np.int32), np.zeros(STORED_WORDS + 1, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes words that aren't known yet, in one call of the library."""
-        at = len(self.known)
-        for k, e in enumerate(self.library.encode_batch_fast(words, add_special_tokens=False)):
-            ids = e.ids
-            start = int(self.starts[at + k])
-            end = start + len(ids)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
-            self.ids[start:end] = ids
-            self.starts[at + k + 1] = end
-            self.known[words[k]] = at + k
+        self.numbers, self.held = Numbers(), 0
+        self.ids, self.starts = np.zeros(1 << 20, np.int32), np.zeros(2 * STORED_WORDS + 1, np.int64)
+
+    def encode_piece(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(self.v.letters_of(piece))], "<i4").tobytes()
+
+    def encode_word(self, word: str) -> bytes:
+        return self.special.get(word) or b"".join([self.pieces[p] for p in tokens.split_word(self.library, word)])
+
+    def learn(self) -> None:
+        """Appends the ids of the new words to the store."""
+        new, self.numbers.new = self.numbers.new, []
+        found = [self.encode_word(w) for w in new]
+        first, ends = len(self.numbers) - len(new), self.held + np.cumsum([len(f) // 4 for f in found], dtype=np.int64)
+        if len(self.numbers) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.numbers) + 1, np.int64)])
+        self.starts[first + 1 : first + 1 + len(new)] = ends
+        flat = np.frombuffer(b"".join(found), "<i4")
+        if self.held + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)])
+        self.ids[self.held : self.held + len(flat)] = flat
+        self.held += len(flat)
+
+    def words(self, text: str) -> list[str]:
+        """Words without white space; special strings stand alone."""
+        if "<|" in text and self.v.split_special:
+            return [w for k, part in enumerate(self.v.split_special.split(text)) for w in ([part] if k % 2 else tokens.words_of(part))]
+        return tokens.words_of(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many are each text's."""
-        words, counts = [], []
-        for text in texts:
-            if "<|" in text and self.split_special:
-                own = [w for k, part in enumerate(self.split_special.split(text)) for w in ([part] if k % 2 else tokens.words_of(part))]
-            else:
-                own = tokens.words_of(text)
-            words += own
-            counts.append(len(own))
-        ids, lengths = [], []
-        for a in range(0, len(words), STORED_WORDS // 2):
-            some = words[a : a + STORED_WORDS // 2]
-            new = list(dict.fromkeys(w for w in some if w not in self.known))
-            if len(self.known) + len(new) > STORED_WORDS:
+        own = [self.words(t) for t in texts]
+        ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for part in runs(own):
+            if len(self.numbers) > STORED_WORDS:
                 self.empty()
-                new = list(dict.fromkeys(some))
-            if new:
-                self.learn(new)
-            index = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+            index = np.fromiter(map(self.numbers.__getitem__, part), np.int64, len(part))
+            if self.numbers.new:
+                self.learn()
             start, length = self.starts[index], self.starts[index + 1] - self.starts[index]
             ends = np.cumsum(length)
-            ids.append(self.ids[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)])
+            ids.append(self.ids[np.repeat(start - ends + length, length) + np.arange(ends[-1])])
             lengths.append(length)
-        length = np.concatenate([[0], *lengths]) if lengths else np.zeros(1, np.int64)
-        ends = np.cumsum(length)[np.cumsum([0, *counts])]
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.diff(ends)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        return np.concatenate(ids), np.diff(ends[np.cumsum([0, *map(len, own)])])
+
+
+def runs(own: list[list[str]]) -> Iterator[list[str]]:
+    """The words of all texts in runs of at most STORED_WORDS."""
+    words = list(chain.from_iterable(own))
+    for a in range(0, len(words), STORED_WORDS):
+        yield words[a : a + STORED_WORDS]
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -98,7 +120,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pid, within = Encoder.of(tokenizer_path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in common.slices(whole, 1, 8 << 20):
+            for batch in common.slices(whole, 1, 2 << 20):
                 all_ids, counts = encoder.encode(batch.column(1).to_pylist())
                 rows, at = [], 0
                 for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
