@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lines, matroska, packing, quality, repeats, sharding, tokens
+from . import decontaminate, jaccard, langid, lines, matroska, packing, quality, repeats, sharding, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digest(documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 5-word shingles have a similarity of 0.75 or more."""
+    return jaccard.similar_components(documents(spark, sf_dir), 5, 75)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each with id 2 at its end, in sequences of 4096 ids."""
     return packing.packed_digest(packing.pack(documents(spark, sf_dir), word_bpe(), end_id=2, length=4096))
@@ -65,7 +70,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_substring_dedup": op6_substring_dedup, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns}
+    return {"op1_language_id": op1_language_id, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_substring_dedup": op6_substring_dedup, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
