@@ -27,13 +27,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("k"))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, line, words, h1, h2): one row per line; h1 and h2 are null for lines of fewer than LEAST_WORDS."""
+def with_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, line, norm, words, h1, h2): one row per line; h1 and h2 are null for lines of fewer than LEAST_WORDS."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     rows = rows.select("doc_id", "k", "line", F.trim(F.lower("raw")).alias("norm"))
     rows = rows.select("*", F.split("norm", " ").alias("words"))
     use = F.size("words") >= LEAST_WORDS
-    return rows.select("doc_id", "k", "line", "words", F.when(use, F.xxhash64("norm")).alias("h1"), F.when(use, F.xxhash64("norm", F.lit(1))).alias("h2"))
+    return rows.select("*", F.when(use, F.xxhash64("norm")).alias("h1"), F.when(use, F.xxhash64("norm", F.lit(1))).alias("h2"))
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, line, h1, h2, halves): one narrow row per line; halves is null for lines of fewer than NEAR_WORDS."""
+    return with_words(docs).select("doc_id", "k", "line", "h1", "h2", F.when(F.size("words") >= NEAR_WORDS, halves()).alias("halves"))
 
 
 def halves() -> Column:
@@ -50,20 +55,17 @@ def halves() -> Column:
     return F.array(*pair(F.size("words")), *pair(F.size("words") - 1))
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2) of the lines within one edit of a line that first occurs earlier."""
-    long = lines.filter(F.col("h1").isNotNull() & (F.size("words") >= NEAR_WORDS))
-    once = long.select("h1", "h2", F.explode(halves()).alias("half")).distinct()
-    shared = once.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half")
-    candidates = common.cut(once.join(shared, "half", "left_semi").select("h1", "h2").distinct())
-    own = long.join(common.sized(candidates, 64), ["h1", "h2"], "left_semi")
-    own = own.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k", "line")).alias("first"), F.first("words").alias("words"))
-    own = common.cut(own)
+    half = lines.select("h1", "h2", F.explode("halves").alias("half"))
+    shared = common.cut(half.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half"))
+    candidates = common.cut(half.join(common.sized(shared, 24), "half", "left_semi").select("h1", "h2").distinct())
+    own = with_words(docs).join(common.sized(candidates, 32), ["h1", "h2"], "left_semi")
+    own = common.cut(own.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k", "line")).alias("first"), F.first("words").alias("words")))
 
     # a sequence's hash is the sum of its words' hashes with their places: a deletion moves the later words down by one
-    n = F.size("words")
-    words = own.select("h1", "h2", "first", n.alias("n"), F.posexplode("words").alias("p", "word"))
-    words = words.select("h1", "h2", "first", "n", "p", F.xxhash64("word", F.col("p")).alias("here"), F.xxhash64("word", F.col("p") - 1).alias("moved"))
+    words = own.repartition("h1", "h2").select("h1", "h2", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
+    words = words.select("h1", "h2", "n", "p", F.xxhash64("word", F.col("p")).alias("here"), F.xxhash64("word", F.col("p") - 1).alias("moved"))
     whole = Window.partitionBy("h1", "h2")
     ahead = whole.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -71,20 +73,25 @@ def near_lines(lines: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(F.col(column).cast("decimal(20,0)")).over(window), F.lit(0).cast("decimal(30,0)"))
 
     # less than 2^33 words a line: each sum fits
-    cut_hash = total("here", ahead) + total("moved", whole) - total("moved", ahead) - F.col("moved")
-    deleted = words.select("h1", "h2", "first", (F.col("n") - 1).alias("n"), F.col("p").alias("place"), cut_hash.cast("decimal(38,0)").alias("v"))
-    entire = words.groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.sum(F.col("here").cast("decimal(20,0)")).cast("decimal(38,0)").alias("v"))
-    deleted = deleted.select("h1", "h2", "first", "place", F.xxhash64("v", "n").alias("v"))
-    entire = entire.select("h1", "h2", "first", F.xxhash64("v", "n").alias("v"))
-
-    line = F.struct("first", "h1", "h2")
-    by_place = deleted.groupBy("v", "place").agg(F.min(line).alias("e"), F.max(line).alias("z")).filter("e <> z").select("v", "place", "e")
-    by_hash = deleted.groupBy("v").agg(F.min(line).alias("e"))
-    replaced = deleted.join(by_place, ["v", "place"])
-    longer = entire.join(by_hash, "v")  # the earliest line that has one word more
-    shorter = deleted.join(entire.groupBy("v").agg(F.min(line).alias("e")), "v")  # the line that has one word less
-    links = replaced.select("h1", "h2", "first", "e").unionByName(longer.select("h1", "h2", "first", "e")).unionByName(shorter.select("h1", "h2", "first", "e"))
-    links = links.filter(F.col("e.first") < F.col("first")).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct()
+    less = total("here", ahead) + total("moved", whole) - total("moved", ahead) - F.col("moved")
+    rows = words.select("h1", "h2", "n", "p", less.cast("decimal(38,0)").alias("less"), F.when(F.col("p") == 0, total("here", whole)).cast("decimal(38,0)").alias("all"))
+    deleted = common.cut(rows.select("h1", "h2", F.col("p").alias("place"), F.xxhash64("less", F.col("n") - 1).alias("v"), F.when(F.col("p") == 0, F.xxhash64("all", "n")).alias("entire")))
+    entire = deleted.filter("entire is not null").select("h1", "h2", F.col("entire").alias("v"))
+
+    first = own.select("h1", "h2", "first")
+    alike = deleted.groupBy("v", "place").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("v", "place")
+    alike = deleted.join(common.sized(common.cut(alike), 32), ["v", "place"], "left_semi").select("h1", "h2", "v", "place")
+    alike = common.cut(alike.join(common.sized(first, 64), ["h1", "h2"]))  # few: lines with a partner
+    earliest = alike.groupBy("v", "place").agg(F.min(F.struct("first", "h1", "h2")).alias("e"))
+    replaced = alike.join(earliest, ["v", "place"]).filter("e.first < first").select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
+
+    # each deletion meets at most the one line that it equals
+    inside = deleted.select("v", F.col("h1").alias("l1"), F.col("h2").alias("l2")).join(common.sized(entire, 32), "v").select("l1", "l2", "h1", "h2").distinct()
+    inside = inside.join(common.sized(first, 64), ["h1", "h2"]).join(common.sized(first.toDF("l1", "l2", "long_first"), 64), ["l1", "l2"])
+    inside = common.cut(inside)
+    shorter = inside.filter("first < long_first").select(F.col("l1").alias("h1"), F.col("l2").alias("h2"), F.col("h1").alias("e1"), F.col("h2").alias("e2"))
+    longer = inside.filter("long_first < first").groupBy("h1", "h2").agg(F.min(F.struct("long_first", "l1", "l2")).alias("e")).select("h1", "h2", "e.l1", "e.l2").toDF("h1", "h2", "e1", "e2")
+    links = common.cut(replaced.unionByName(longer).unionByName(shorter).distinct())
     texts = own.select("h1", "h2", "words")
     pairs = links.join(texts, ["h1", "h2"]).join(texts.toDF("e1", "e2", "other"), ["e1", "e2"])
     return pairs.filter(within_one_edit()).select("h1", "h2").distinct()
@@ -105,15 +112,16 @@ def within_one_edit() -> Column:
 
 def kept_flags(docs: DataFrame) -> DataFrame:
     """(doc_id, k, flags): for documents that lose lines, whether each line stays."""
-    lines = line_table(docs)
+    lines = common.cut(line_table(docs))
     first = lines.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k", "line")).alias("first"), F.count("*").alias("n"))
-    near = common.sized(common.cut(near_lines(lines)), 64)
-    marked = first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("n > 1 or near")
-    gone = lines.select("doc_id", "k", "line", "h1", "h2").join(marked, ["h1", "h2"], "left")
+    near = common.sized(common.cut(near_lines(docs, lines)), 64)
+    marked = common.cut(first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", "first", "near"))
+    gone = lines.select("doc_id", "k", "line", "h1", "h2").join(common.sized(marked, 80), ["h1", "h2"], "left")
     here = F.struct("doc_id", "k", "line")
     keep = F.col("first").isNull() | (F.col("near").isNull() & here.eqNullSafe(F.col("first")))
-    flags = gone.select("doc_id", "k", "line", keep.alias("keep")).distinct().groupBy("doc_id", "k")
-    return flags.agg(F.min("keep").alias("whole"), F.array_sort(F.collect_list(F.struct("line", "keep"))).alias("f")).filter("not whole").select("doc_id", "k", F.col("f.keep").alias("flags"))
+    flags = gone.select("doc_id", "k", F.struct("line", keep.alias("keep")).alias("f")).groupBy("doc_id", "k")
+    flags = flags.agg(F.array_sort(F.collect_set("f")).alias("f")).select("doc_id", "k", F.col("f.keep").alias("flags"))
+    return flags.filter(F.exists("flags", lambda f: ~f))
 
 
 def dedup_rows(docs: DataFrame) -> DataFrame:
