@@ -7,7 +7,7 @@ overlap can't be reached any more.
 
 Relations between sets replace most comparisons. Equal sets are one class. In every list one set leads; the others are
 compared with it, and a leader's answer serves all sets linked to it, as only reachability is asked. Rounds with new
-leaders go on while they join components; what is left over are pairs of sets in different components, answered from
+leaders go on while they halve what is left; what is then left over are pairs of sets in different components, answered from
 the overlaps of both with a common leader if bounds decide, and by comparison if not. So no link between different
 components is lost, and no list is ever expanded into all pairs but for sets that nothing has joined.
 """
@@ -29,8 +29,8 @@ N, SLICE = 5, 2 << 20
 #: Shingles in FREQUENT of the texts of one slice count as frequent there; the most frequent MOST of all are ordered
 #: last (order alone: an omitted one costs time, never a link).
 FREQUENT, MOST = 3, 100_000
-#: Rounds of leaders stop when the pairs left fall below this many per set, or nothing was joined.
-LEFT_PER_SET, ROUNDS = 4, 12
+#: Rounds of leaders stop when the pairs left fall below this many per set, or a round left more than half of them.
+LEFT_PER_SET = 4
 
 
 class Shingles:
@@ -144,6 +144,11 @@ def reachable(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * most.cast("long") >= percent * (m + n).cast("long"))
 
 
+def early(percent: int) -> Column:
+    """Whether an entry can be the smaller set of a pair in reach; a pair has such an entry, so later positions are only met from these."""
+    return (100 + percent) * (F.col("size") - F.col("at")).cast("long") >= 2 * percent * F.col("size").cast("long")
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (x, y) -> (x, y, m, n, both): sizes and the size of the intersection, by comparison of the sets."""
     sided = pairs.join(sets.toDF("y", "sy"), "y").join(sets.toDF("x", "sx"), "x").select("x", "y", "sx", "sy")
@@ -177,10 +182,10 @@ def led_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     return both.filter(reachable("o", "e", percent)).select(F.col("o.id").alias("x"), F.col("e.id").alias("y")).distinct()
 
 
-def left_over(lists: DataFrame) -> int:
-    """How many pairs of entries in different components the lists hold."""
-    own = lists.groupBy("shingle", "component").agg(F.count("*").alias("c"))
-    per = own.groupBy("shingle").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
+def left_over(lists: DataFrame, percent: int) -> int:
+    """How many pairs of an early entry with another one in a different component the lists hold."""
+    own = lists.groupBy("shingle", "component").agg(F.count("*").alias("c"), F.count_if(early(percent)).alias("k"))
+    per = own.groupBy("shingle").agg((F.sum("c") * F.sum("k") - F.sum(F.col("c") * F.col("k"))).alias("p"))
     return int(per.agg(F.sum("p")).first()[0] or 0)
 
 
@@ -188,7 +193,7 @@ def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(x, y, m, n): all pairs of entries of a list in different components and in reach; blocks of a list out of size range are never met."""
     band = F.floor(F.log(F.col("size").cast("double")) / np.log(100 / percent) + 1e-9).cast("int")
     entry = F.struct("id", "size", "at", "component")
-    probe = lists.select("shingle", entry.alias("o"), F.explode(F.array(band, band + 1)).alias("band"))
+    probe = lists.filter(early(percent)).select("shingle", entry.alias("o"), F.explode(F.array(band, band + 1)).alias("band"))
     index = lists.select("shingle", entry.alias("e"), band.alias("band"))
     both = probe.join(index, ["shingle", "band"]).filter("o.component <> e.component and (o.size < e.size or o.size = e.size and o.id < e.id)")
     both = both.filter(reachable("o", "e", percent))
@@ -228,7 +233,8 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = 75) -> DataFr
     chosen = texts.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]) if has_repeats(rows) else texts.join(reps, "doc_id", "left_semi")
 
     once = prefixes(chosen, order, n, percent)
-    shared = common.cut(once.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("shingle"))
+    shared = once.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max(early(percent)).alias("early"))
+    shared = common.cut(shared.filter("a < z and early").select("shingle"))
     index = common.cut(once.join(common.sized(shared, 24), "shingle", "left_semi"))
     ids = common.sized(common.cut(index.select(F.col("id").alias("doc_id")).distinct()), 24)
     sets = common.cut(set_table(chosen.join(ids, "doc_id", "left_semi"), n).dropDuplicates(["id"]))
@@ -246,30 +252,29 @@ def has_repeats(rows: DataFrame) -> bool:
 
 def join_links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) whose components are those of all links of the indexed sets."""
-    count = sets.count()
+    bar, before, turn = LEFT_PER_SET * sets.count(), None, 0
     known: list[DataFrame] = []
     links: DataFrame | None = None
     found: DataFrame | None = None
-    before = None
-    for turn in range(ROUNDS):
+    while True:
         if found is None:
             lists = index.withColumn("component", F.col("id"))
         else:
             lists = index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         crossing = lists.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("z")).filter("a < z").select("shingle")
         lists = common.cut(lists.join(crossing, "shingle", "left_semi"))
-        pairs_left = left_over(lists)
-        if not pairs_left or turn and (pairs_left <= LEFT_PER_SET * count or pairs_left == before):
+        left = left_over(lists, percent)
+        if not left or before is not None and (left <= bar or 2 * left > before):
             break
-        before = pairs_left
         measured = common.cut(overlaps(led_pairs(lists, turn, percent), sets))
         known.append(measured)
         new = measured.filter(linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = new if links is None else links.unionByName(new)
         found = components(links)
+        before, turn = left, turn + 1
     if links is None:
         links = index.sparkSession.createDataFrame([], "a long, b long")
-    if pairs_left:
+    if left:
         facts = known[0]
         for k in known[1:]:
             facts = facts.unionByName(k)
@@ -285,5 +290,5 @@ def join_links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = N, percent: int = 75) -> DataFrame:
     """The rows of docs, columns unchanged, whose id is their component's smallest; of equal ids each row stays."""
     found = similar_components(docs, n, percent).select("doc_id", "component_id")
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = common.cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(common.sized(gone, 24), "doc_id", "left_anti").select(docs.columns)
