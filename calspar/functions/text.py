@@ -201,7 +201,7 @@ def stem(c: Column) -> Column:
 def like_ascii(c: Column, query: Column) -> Column:
     """Substring search that folds ASCII case only and leaves % and _ of the query active."""
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(c, up, low).like(F.concat(F.lit("%"), F.translate(query, up, low), F.lit("%")))
+    return F.like(F.translate(c, up, low), F.concat(F.lit("%"), F.translate(query, up, low), F.lit("%")))
 
 
 def unfenced(c: Column) -> Column:
