@@ -10,6 +10,9 @@ compared with it, and a leader's answer serves all sets linked to it, as only re
 leaders go on while they halve what is left; what is then left over are pairs of sets in different components, answered from
 the overlaps of both with a common leader if bounds decide, and by comparison if not. So no link between different
 components is lost, and no list is ever expanded into all pairs but for sets that nothing has joined.
+
+Sets are large, so a pair first meets by its sketches: counts of shingles by hash range, an eighth of a set's bytes,
+which bound the overlap from above. Only for pairs that this bound leaves are the sets themselves made and moved.
 """
 
 from __future__ import annotations
@@ -136,6 +139,28 @@ def set_table(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(work, "id long, set binary")
 
 
+def sketch_table(texts: DataFrame, n: int) -> DataFrame:
+    """(id, size, over, sketch): how many shingles fall into each of equal hash ranges, about as many as there are shingles.
+
+    A count has one byte; what doesn't fit in is summed in `over`.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.slices(whole, 1, SLICE):
+                sets = Shingles(batch.column(1).to_pylist(), n)
+                over, sketches = [], []
+                for a, b in zip(sets.bounds[:-1], sets.bounds[1:]):
+                    bits = max(1, int(b - a).bit_length() - 1)
+                    counts = np.bincount((sets.values[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                    kept = np.minimum(counts, 255)
+                    over.append(int((counts - kept).sum()))
+                    sketches.append(kept.astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.sizes().astype(np.int32)), pa.array(over, pa.int32()), pa.array(sketches, pa.binary())], ["id", "size", "over", "sketch"])
+
+    return texts.mapInArrow(work, "id long, size int, over int, sketch binary")
+
+
 def reachable(x: str, y: str, percent: int) -> Column:
     """Whether two index entries can still belong to sets within the threshold: sizes in range, and enough shingles from both positions on."""
     m, n = F.col(f"{x}.size"), F.col(f"{y}.size")
@@ -149,8 +174,35 @@ def early(percent: int) -> Column:
     return (100 + percent) * (F.col("size") - F.col("at")).cast("long") >= 2 * percent * F.col("size").cast("long")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y) -> (x, y, m, n, both): sizes and the size of the intersection, by comparison of the sets."""
+def most_common(a: bytes, b: bytes) -> int:
+    """At most so many shingles two sketches have in common: the smaller count of each range."""
+    u, v = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(u) < len(v):
+        u, v = v, u
+    if len(u) > len(v):
+        u = u.reshape(len(v), -1).sum(axis=1, dtype=np.int64)
+    return int(np.minimum(u, v).sum(dtype=np.int64))
+
+
+def close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (x, y) that the bound of their sketches doesn't show to be apart."""
+    sided = pairs.select("x", "y").join(sketches.toDF("y", "n", "oy", "sy"), "y").join(sketches.toDF("x", "m", "ox", "sx"), "x").select("x", "y", (F.col("m") + F.col("n")).alias("sum"), (F.col("ox") + F.col("oy")).alias("over"), "sx", "sy")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                (100 + percent) * (most_common(a, b) + over) >= percent * total
+                for total, over, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            ]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return sided.mapInArrow(work, "x long, y long")
+
+
+def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """pairs (x, y) -> (x, y, m, n, both): sizes and the size of the intersection, by comparison of the sets of these ids only."""
+    ids = common.cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    sets = common.cut(set_table(texts.join(common.sized(ids, 24), "doc_id", "left_semi"), n))
     sided = pairs.join(sets.toDF("y", "sy"), "y").join(sets.toDF("x", "sx"), "x").select("x", "y", "sx", "sy")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,15 +282,21 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = 75) -> DataFr
     key = ["size", "s1", "s2"]
     classes = common.cut(rows.filter("size > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")))
     reps = common.sized(common.cut(classes.select(F.col("rep").alias("doc_id")).distinct()), 24)
-    chosen = texts.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]) if has_repeats(rows) else texts.join(reps, "doc_id", "left_semi")
+    repeated = has_repeats(rows)
+    chosen = texts.join(reps, "doc_id", "left_semi")
+    if repeated:
+        chosen = chosen.dropDuplicates(["doc_id", "text"])
 
     once = prefixes(chosen, order, n, percent)
     shared = once.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max(early(percent)).alias("early"))
     shared = common.cut(shared.filter("a < z and early").select("shingle"))
     index = common.cut(once.join(common.sized(shared, 24), "shingle", "left_semi"))
     ids = common.sized(common.cut(index.select(F.col("id").alias("doc_id")).distinct()), 24)
-    sets = common.cut(set_table(chosen.join(ids, "doc_id", "left_semi"), n).dropDuplicates(["id"]))
-    found = components(join_links(index, sets, percent))
+    indexed = chosen.join(ids, "doc_id", "left_semi")
+    if repeated:
+        indexed = indexed.dropDuplicates(["doc_id"])
+    sketches = common.cut(sketch_table(indexed, n))
+    found = components(join_links(index, sketches, indexed, n, percent))
 
     named = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, key, "left")
@@ -250,9 +308,9 @@ def has_repeats(rows: DataFrame) -> bool:
     return rows.select("doc_id").filter("doc_id is not null").distinct().count() < counts
 
 
-def join_links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def join_links(index: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) whose components are those of all links of the indexed sets."""
-    bar, before, turn = LEFT_PER_SET * sets.count(), None, 0
+    bar, before, turn = LEFT_PER_SET * sketches.count(), None, 0
     known: list[DataFrame] = []
     links: DataFrame | None = None
     found: DataFrame | None = None
@@ -266,7 +324,8 @@ def join_links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         left = left_over(lists, percent)
         if not left or before is not None and (left <= bar or 2 * left > before):
             break
-        measured = common.cut(overlaps(led_pairs(lists, turn, percent), sets))
+        close = common.cut(close_pairs(led_pairs(lists, turn, percent), sketches, percent))
+        measured = common.cut(overlaps(close, texts, n))
         known.append(measured)
         new = measured.filter(linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = new if links is None else links.unionByName(new)
@@ -282,7 +341,8 @@ def join_links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         done = facts.select("x", "y").unionByName(facts.select(F.col("y").alias("x"), F.col("x").alias("y")))
         pairs = common.cut(pairs.join(done, ["x", "y"], "left_anti"))
         sure, unsure = derived(pairs, facts, percent)
-        more = overlaps(unsure, sets).filter(linked(percent)).select("x", "y").unionByName(sure)
+        close = common.cut(close_pairs(unsure, sketches, percent))
+        more = overlaps(close, texts, n).filter(linked(percent)).select("x", "y").unionByName(sure)
         links = links.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return links
 
