@@ -35,9 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
-def sized(small: DataFrame, row_bytes: int) -> DataFrame:
+def sized(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """`small` (cheap to count: a checkpoint) with a broadcast hint if its counted size allows it, else as it is."""
-    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+    return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
 def partitions(spark: SparkSession) -> int:

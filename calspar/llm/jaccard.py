@@ -34,6 +34,8 @@ N, SLICE = 5, 2 << 20
 FREQUENT, MOST = 3, 100_000
 #: Rounds of leaders stop when the pairs left fall below this many per set, or a round left more than half of them.
 LEFT_PER_SET = 4
+#: Ids and shingles are broadcast only up to this many bytes of counted rows: the driver holds several times that.
+SENT_BYTES = 8 << 20
 
 
 class Shingles:
@@ -89,11 +91,26 @@ def summaries(texts: DataFrame, n: int) -> DataFrame:
 
 
 def frequent_order(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles sorted, their counts): at most MOST of them."""
-    rows = summary.filter("shingle is not null").groupBy("shingle").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "shingle").limit(MOST).collect()
-    values = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
+    """(shingles sorted, their counts): the most frequent ones, at most MOST of them.
+
+    The least count comes from a histogram of counts in bins of a 16th of an octave, so that nothing is sorted and only
+    the chosen rows reach the driver; a bin that doesn't fit in is left out whole.
+    """
+    counts = common.cut(summary.filter("shingle is not null").groupBy("shingle").agg(F.sum("size").alias("n")))
+    bin_of = F.floor(16 * F.log2("n")).cast("int")
+    bins = counts.groupBy(bin_of.alias("bin")).count().collect()
+    least, held = None, 0
+    for row in sorted(bins, key=lambda r: -r["bin"]):
+        held += row["count"]
+        if held > MOST:
+            break
+        least = row["bin"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    chosen = counts.filter(bin_of >= least).toArrow()
+    values = chosen["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(values)
-    return values[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return values[order], chosen["n"].to_numpy()[order]
 
 
 def prefixes(texts: DataFrame, order: tuple[np.ndarray, np.ndarray], n: int, percent: int) -> DataFrame:
@@ -202,7 +219,7 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
 def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """pairs (x, y) -> (x, y, m, n, both): sizes and the size of the intersection, by comparison of the sets of these ids only."""
     ids = common.cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    sets = common.cut(set_table(texts.join(common.sized(ids, 24), "doc_id", "left_semi"), n))
+    sets = common.cut(set_table(texts.join(common.sized(ids, 24, SENT_BYTES), "doc_id", "left_semi"), n))
     sided = pairs.join(sets.toDF("y", "sy"), "y").join(sets.toDF("x", "sx"), "x").select("x", "y", "sx", "sy")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +298,7 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = 75) -> DataFr
     order = frequent_order(summary)
     key = ["size", "s1", "s2"]
     classes = common.cut(rows.filter("size > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    reps = common.sized(common.cut(classes.select(F.col("rep").alias("doc_id")).distinct()), 24)
+    reps = common.sized(common.cut(classes.select(F.col("rep").alias("doc_id")).distinct()), 24, SENT_BYTES)
     repeated = has_repeats(rows)
     chosen = texts.join(reps, "doc_id", "left_semi")
     if repeated:
@@ -290,8 +307,8 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = 75) -> DataFr
     once = prefixes(chosen, order, n, percent)
     shared = once.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max(early(percent)).alias("early"))
     shared = common.cut(shared.filter("a < z and early").select("shingle"))
-    index = common.cut(once.join(common.sized(shared, 24), "shingle", "left_semi"))
-    ids = common.sized(common.cut(index.select(F.col("id").alias("doc_id")).distinct()), 24)
+    index = common.cut(once.join(common.sized(shared, 24, SENT_BYTES), "shingle", "left_semi"))
+    ids = common.sized(common.cut(index.select(F.col("id").alias("doc_id")).distinct()), 24, SENT_BYTES)
     indexed = chosen.join(ids, "doc_id", "left_semi")
     if repeated:
         indexed = indexed.dropDuplicates(["doc_id"])
@@ -351,4 +368,4 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = 75) -> DataFrame:
     """The rows of docs, columns unchanged, whose id is their component's smallest; of equal ids each row stays."""
     found = similar_components(docs, n, percent).select("doc_id", "component_id")
     gone = common.cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(common.sized(gone, 24), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(common.sized(gone, 24, SENT_BYTES), "doc_id", "left_anti").select(docs.columns)
