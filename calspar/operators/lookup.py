@@ -97,13 +97,15 @@ def availability(wanted: DataFrame, locations: DataFrame, groups: DataFrame, pdf
 
 def streetwide(wanted: DataFrame, pdf_rows: DataFrame) -> DataFrame:
     """Types with a row of exactly the street for all houses: no inheritance from the village."""
-    rows = pdf_rows.filter(all_houses(F.col("house_numbers"))).select(effective("seniunija").alias("seniunija"), effective("village").alias("village"), effective_street().alias("street"), "waste_type")
-    return wanted.select(*PLACE, "street").distinct().join(rows, [*PLACE, "street"]).select(*PLACE, "street", "waste_type").distinct()
+    rows = pdf_rows.filter(all_houses(F.col("house_numbers"))).select(effective("seniunija").alias("seniunija"), effective("village").alias("village"), effective_street().alias("street"), "waste_type").distinct()
+    return wanted.select(*PLACE, "street").distinct().join(rows, [*PLACE, "street"]).select(*PLACE, "street", "waste_type")
 
 
 def best_rows(wanted: DataFrame, pdf_rows: DataFrame) -> DataFrame:
     """Per selection and waste type its best row: the street before the village, then bucket, all houses, others, then the smallest id."""
     rows = pdf_rows.select("id", effective("seniunija").alias("seniunija"), effective("village").alias("village"), effective_street().alias("row_street"), F.coalesce("house_numbers", F.lit("")).alias("hn"), "waste_type", "kaimai_hash")
+    # ranks depend on these columns alone: of rows equal in them only the first can be the best
+    rows = rows.groupBy(*PLACE, "row_street", "hn", "waste_type").agg(F.min(F.struct("id", "kaimai_hash")).alias("r")).select(*PLACE, "row_street", "hn", "waste_type", "r.id", "r.kaimai_hash")
     asked = wanted.withColumn("row_street", F.explode(F.array_distinct(F.array("street", F.lit("")))))
     street_rank = F.when(F.col("row_street") == F.col("street"), 0).otherwise(1)
     bucket_rank = F.when(F.col("hn") == F.col("bucket"), 0).when(all_houses(F.col("hn")), 1).otherwise(2)

@@ -29,8 +29,7 @@ select l_orderkey * 10 + l_linenumber as id, r_name as seniunija, case when l_or
   case when l_linenumber % 2 = 0 then 'plastikas' else 'stiklas' end as waste_type,
   concat('k1_', substr(SHA(concat(n_name, '|', case l_partkey % 4 when 2 then 'BUILDING' when 3 then 'MACHINERY' else '' end)), 1, 12)) as kaimai_hash,
   cast(l_shipdate as date) as d
-from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-where l_orderkey % 50 in (7, 8, 10)""",
+from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
     "v_streams": """
 select concat('cs_', substr(SHA(concat(waste_type, '|', dates_hash, '|0')), 1, 12)) as id, waste_type, dates_hash, max(iso) as iso, min(first_date) as first_date, max(last_date) as last_date, max(date_count) as date_count,
   case when substr(dates_hash, 1, 1) < '6' then null else concat('cal_', dates_hash) end as calendar_id,
