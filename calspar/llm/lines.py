@@ -1,7 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions alone.
 
-Lines are compared as sequences of words, trimmed and in lower case. Of equal lines only the earliest occurrence stays;
-a line of NEAR_WORDS or more also goes if it is within one word edit (a word replaced, inserted or deleted) of a line
+Lines are compared as sequences of words, trimmed and in lower case; any white space parts words. Of equal lines only
+the earliest occurrence stays, unless they have neither LEAST_WORDS words nor LEAST_BYTES bytes. A long line of few
+words (text without spaces, a URL) is compared as a sequence of characters: see `with_words`.
+A line of NEAR_WORDS or more, or compared by characters, also goes if it is within one word edit (a word replaced, inserted or deleted) of a line
 that first occurs earlier, whether that one stays or not. Two lines are within one edit exactly if deleting one word
 of the one gives the other, or deleting the word at the same place of each gives the same: so every line emits the
 hashes of all its deletions, equal hashes are joined, and the earliest line of each joined group is verified.
@@ -18,8 +20,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Lines of fewer words always stay; lines of fewer than NEAR_WORDS go only as equal copies.
-LEAST_WORDS, NEAR_WORDS = 3, 8
+#: Lines of fewer words always stay if they have fewer bytes, too; lines of fewer than NEAR_WORDS go only as equal copies, unless they are compared by characters.
+LEAST_WORDS, NEAR_WORDS, LEAST_BYTES = 3, 8, 32
+#: Lines of fewer than NEAR_WORDS are compared by characters from so many bytes on, and so many a word: 16 characters of Chinese.
+NEAR_BYTES, WORD_BYTES = 48, 16
+#: White space other than the space and the line feed.
+SPACES = r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -28,17 +34,24 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, line, norm, words, h1, h2): one row per line; h1 and h2 are null for lines of fewer than LEAST_WORDS."""
+    """(doc_id, k, line, norm, words, near, h1, h2): one row per line; h1 and h2 are null for lines that always stay.
+
+    words are a line's words or, with a line feed after each, its characters; near: whether it is compared with others than its equals.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rows = rows.select("doc_id", "k", "line", F.trim(F.lower("raw")).alias("norm"))
-    rows = rows.select("*", F.split("norm", " ").alias("words"))
-    use = F.size("words") >= LEAST_WORDS
-    return rows.select("*", F.when(use, F.xxhash64("norm")).alias("h1"), F.when(use, F.xxhash64("norm", F.lit(1))).alias("h2"))
+    rows = rows.select("doc_id", "k", "line", F.trim(F.regexp_replace(F.lower("raw"), SPACES, " ")).alias("norm"))
+    rows = rows.select("*", F.split("norm", " ").alias("words"), F.octet_length("norm").alias("size"))
+    use = (F.size("words") >= LEAST_WORDS) | (F.col("size") >= LEAST_BYTES)
+    many = F.size("words") >= NEAR_WORDS
+    letters = ~many & (F.col("size") >= NEAR_BYTES) & (F.col("size") >= F.size("words") * WORD_BYTES)
+    words = F.when(letters, F.transform(F.split("norm", ""), lambda c: F.concat(c, F.lit("\n")))).otherwise(F.col("words"))
+    keys = [F.when(use, F.xxhash64("norm")).alias("h1"), F.when(use, F.xxhash64("norm", F.lit(1))).alias("h2")]
+    return rows.select("doc_id", "k", "line", "norm", words.alias("words"), (many | letters).alias("near"), *keys)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, line, h1, h2, halves): one narrow row per line; halves is null for lines of fewer than NEAR_WORDS."""
-    return with_words(docs).select("doc_id", "k", "line", "h1", "h2", F.when(F.size("words") >= NEAR_WORDS, halves()).alias("halves"))
+    """(doc_id, k, line, h1, h2, halves): one narrow row per line; halves is null for lines that go only as equal copies."""
+    return with_words(docs).select("doc_id", "k", "line", "h1", "h2", F.when(F.col("near"), halves()).alias("halves"))
 
 
 def halves() -> Column:
@@ -127,7 +140,7 @@ def kept_flags(docs: DataFrame) -> DataFrame:
 def dedup_rows(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text, n_lines, n_removed): each input row in a struct, and its text without the lines that go.
 
-    Lines end at line feeds; lines of fewer than LEAST_WORDS words always stay. A null text has no lines and stays
+    Lines end at line feeds; lines of fewer than LEAST_WORDS words and LEAST_BYTES bytes always stay. A null text has no lines and stays
     null; rows with equal id and text count as one document and keep the same lines; null ids come first.
     """
     rows, flags = keyed(docs), kept_flags(docs)
