@@ -3,7 +3,7 @@
 A sequence of tokens is the encoding of their concatenation exactly when each neighbouring pair is the encoding of
 its own concatenation. So the last token of a prefix is the one token that ends there and stands rightly after the
 last token of the prefix before it, and its count is that prefix's count plus one. `Prefixes` keeps both for each
-prefix of a word; over a text, counts add up at word boundaries. What is stored answers truncation and budget
+prefix of a word; over a text, counts add up at word boundaries. `prefix_counts` stores the count at every character, which answers truncation and budget
 questions: no text is encoded again.
 """
 
@@ -141,6 +141,13 @@ class Prefixes:
         return [self.ended(s, i, last, count) for i in range(1, len(s) + 1)]
 
 
+    def characters(self, piece: str) -> list[int]:
+        """`all` at the ends of characters only."""
+        s, ends = self.v.letters_of(piece), np.cumsum([len(c.encode()) for c in piece]).tolist()
+        last, count = self.inner(s[:-1])
+        return [self.ended(s, i, last, count) for i in ends]
+
+
 class Cache(dict):
     """A bounded dict whose missing entries are made by a function."""
 
@@ -165,6 +172,7 @@ class Counter:
         self.prefixes = Prefixes(self.v)
         self.pieces = Cache(self.prefixes.total, PIECE_CACHE)
         self.words = Cache(lambda w: sum(map(self.pieces.__getitem__, self.split(w))), WORD_CACHE)
+        self.inside = Cache(self.prefixes.characters, PIECE_CACHE // 4)
 
     @classmethod
     def of(cls, path: str) -> Counter:
@@ -188,6 +196,48 @@ class Counter:
                     yield at + m.end(), self.words[m[0]]
             at += len(part)
 
+    def word_prefixes(self, word: str) -> list[int]:
+        """Counts of each prefix of a word without white space, from one character on."""
+        norm = word.lower()
+        if PLAIN.fullmatch(word):
+            spans = [m.span() for m in PIECES.finditer(norm)]
+        else:
+            normal = self.v.library.normalizer.normalize_str
+            norm = normal(word)
+            if len(norm) != len(word) or norm != "".join(map(normal, word)):  # characters that join or grow: no prefix follows from another
+                return [sum(map(self.pieces.__getitem__, self.split(word[:i]))) for i in range(1, len(word) + 1)]
+            spans = [at for _, at in self.v.library.pre_tokenizer.pre_tokenize_str(norm)]
+        out, before = [], 0
+        for a, b in spans:
+            piece = norm[a:b]
+            out += [before] * (a - len(out))
+            if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():  # cut short, 're is two pieces
+                out += [before + sum(map(self.pieces.__getitem__, self.split(piece[:i]))) for i in range(1, len(piece) + 1)]
+            else:
+                out += [before + n for n in self.inside[piece]]
+            before = out[-1]
+        return out + [before] * (len(word) - len(out))
+
+    def every(self, text: str) -> list[int]:
+        """Tokens of each prefix of a text, from one character on."""
+        parts = self.v.split_special.split(text) if "<|" in text and self.v.split_special else [text]
+        out, total = [], 0
+        for k, part in enumerate(parts):
+            if k % 2:  # cut short, a special string is letters and signs that go on with the word before it
+                run = parts[k - 1][len(parts[k - 1]) - len(next(iter(WORD.findall(parts[k - 1])[-1:]), "")) :] if WORD.match(parts[k - 1][-1:]) else ""
+                base = out[len(out) - len(run) - 1] if len(out) > len(run) else 0
+                out += [base + n for n in self.word_prefixes(run + part[:-1])[len(run) :]]
+                total += 1
+                out.append(total)
+                continue
+            at = 0
+            for m in WORD.finditer(part):
+                out += [total] * (m.start() - at)
+                out += [total + n for n in self.word_prefixes(m[0])]
+                total, at = out[-1], m.end()
+            out += [total] * (len(part) - at)
+        return out
+
     def count(self, text: str) -> int:
         parts = self.v.split_special.split(text) if "<|" in text and self.v.split_special else [text]
         return sum(sum(map(self.words.__getitem__, words_of(part))) if k % 2 == 0 else 1 for k, part in enumerate(parts))
@@ -226,33 +276,41 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 
 def prefix_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, ends array<int>, counts array<int>.
+    """One row per input row: doc_id, ends array<int>, counts array<int>, prefixes array<int>.
 
-    counts[k] is the exact count of the text's first ends[k] characters; ends are those of words. A null or blank
-    text has empty arrays. `tokens_at` and `cut_at` answer from these columns.
+    counts[k] is the exact count of the text's first ends[k] characters; ends are those of words. prefixes[k] is that
+    of its first k + 1 characters, inside words too. A null text has empty arrays, a blank one no ends. `tokens_at` and `cut_at` answer from these columns.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of(tokenizer_path)
         for batch in batches:
-            ends, counts = [], []
+            ends, counts, prefixes = [], [], []
             for text in batch.column(1).to_pylist():
                 spans = list(counter.spans(text))
                 ends.append([e for e, _ in spans])
                 counts.append(np.cumsum([n for _, n in spans], dtype=np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "ends", "counts"])
+                prefixes.append(np.array(counter.every(text), np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int32()))], ["doc_id", "ends", "counts", "prefixes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, ends array<int>, counts array<int>")
+    return rows.mapInArrow(work, "doc_id long, ends array<int>, counts array<int>, prefixes array<int>")
 
 
 def tokens_at(characters):
-    """Tokens of the whole words within the first `characters` characters, from prefix_counts' columns."""
-    within = F.size(F.filter("ends", lambda e: e <= characters))
-    return F.when(within > 0, F.element_at("counts", within)).otherwise(0)
-
-
-def cut_at(budget):
-    """The length in characters of the longest prefix of whole words that has at most `budget` tokens."""
-    within = F.size(F.filter("counts", lambda n: n <= budget))
-    return F.when(within > 0, F.element_at("ends", within)).otherwise(0)
+    """Tokens of the first `characters` characters, from prefix_counts' columns."""
+    within = F.least(F.size("prefixes"), F.lit(characters))
+    return F.when(within > 0, F.get("prefixes", within - 1)).otherwise(0)
+
+
+def cut_at(budget, inside: bool = False):
+    """The length in characters of the longest prefix of whole words that has at most `budget` tokens; with `inside`, of any prefix that doesn't end in white space."""
+    if not inside:
+        within = F.size(F.filter("counts", lambda n: n <= budget))
+        return F.when(within > 0, F.element_at("ends", within)).otherwise(0)
+    fits = F.array_position(F.reverse(F.transform("prefixes", lambda n: n <= budget)), True)
+    longest = F.when(fits > 0, F.size("prefixes") - fits + 1).otherwise(0).cast("int")
+    # a word's first character adds a token: a count as at the last end means white space after it
+    whole = F.size(F.filter("ends", lambda e: e <= longest))
+    end, n = (F.when(whole > 0, F.get(c, whole - 1)).otherwise(0) for c in ("ends", "counts"))
+    return F.when((longest > 0) & (F.get("prefixes", longest - 1) > n), longest).otherwise(end)
