@@ -1,22 +1,24 @@
 """Exact n-gram Jaccard join by set relations, and the components of its links.
 
-Sets are ordered by rarity (frequent shingles last); two sets within the threshold share one of the first shingles of
-each, so only these prefixes are indexed. An index list is the sets that share a shingle, in blocks by size band, with
-each set's position in the list's order: blocks out of size range are skipped, and so are positions from which the
-overlap can't be reached any more.
-
-Relations between sets replace most comparisons. Equal sets are one class. In every list one set leads; the others are
-compared with it, and a leader's answer serves all sets linked to it, as only reachability is asked. Rounds with new
-leaders go on while they halve what is left; what is then left over are pairs of sets in different components, answered from
-the overlaps of both with a common leader if bounds decide, and by comparison if not. So no link between different
-components is lost, and no list is ever expanded into all pairs but for sets that nothing has joined.
-
-Sets are large, so a pair first meets by its sketches: counts of shingles by hash range, an eighth of a set's bytes,
-which bound the overlap from above. Only for pairs that this bound leaves are the sets themselves made and moved.
+A set can only be linked if enough of its shingles stand in other sets, too. So the corpus is first counted: every
+slice of texts sends its shingle hashes, by hash range, to the tasks that count them, and gets back how many of each
+set's shingles are shared. What remains, the candidates, is counted once more among itself, and keeps its shared
+shingles only, rarest first. Sets within the threshold share one of the first shingles of each, so only these
+prefixes are indexed. An index list is the sets that share a shingle, in blocks by size band, with each set's
+position in the list's order: blocks out of size range are skipped, and so are positions from which the overlap can't
+be reached any more.
+
+Relations between sets replace most comparisons. Equal sets are one class. In every list one set leads, the one with
+the fewest shingles of its own; the others are compared with it, and its answer serves all sets linked to it, as only
+reachability is asked. A list stays open while it holds sets of different components in reach that no leader has met;
+open lists get more leaders each round, chosen evenly over their components. From the second round on, most pairs are
+answered from the overlaps of both sets with a common earlier leader. A leader has met its whole list and leaves it,
+so every list ends, no list is expanded into its pairs, and no link between different components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,10 @@ from .components import components
 from .wordhash import Words, mixed, FIRST, SECOND
 
 N, SLICE = 5, 2 << 20
-#: Shingles in FREQUENT of the texts of one slice count as frequent there; the most frequent MOST of all are ordered
-#: last (order alone: an omitted one costs time, never a link).
-FREQUENT, MOST = 3, 100_000
-#: Rounds of leaders stop when the pairs left fall below this many per set, or a round left more than half of them.
-LEFT_PER_SET = 4
+#: Hash ranges hold about so many shingles each, and there are 2 ** LEAST_BITS of them at least.
+RANGE, LEAST_BITS = 4 << 20, 8
+#: Times more leaders an open list gets each round.
+MORE = 8
 #: Ids and shingles are broadcast only up to this many bytes of counted rows: the driver holds several times that.
 SENT_BYTES = 8 << 20
 
@@ -63,6 +64,17 @@ class Shingles:
     def sizes(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    def identities(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit values that identify each set."""
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(self.values * m), dtype=np.uint64)]) for m in (FIRST, SECOND)]
+        return tuple(mixed(s[self.bounds[1:]] - s[self.bounds[:-1]]).view(np.int64) for s in sums)
+
+    def chosen(self, keep: np.ndarray) -> None:
+        """Leaves only the texts for which keep is true."""
+        sizes = self.sizes()
+        self.values = self.values[np.repeat(keep, sizes)]
+        self.bounds = np.cumsum([0, *sizes[keep]])
+
 
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -72,110 +84,162 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def summaries(texts: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, s1, s2) for every text, s1 and s2 identifying its set; and (null, count, shingle, null) for shingles frequent in a slice."""
+def range_bits(shingles: int) -> int:
+    return max(LEAST_BITS, math.ceil(math.log2(max(1, shingles) / RANGE)))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in common.slices(whole, 1, SLICE):
-                sets = Shingles(batch.column(1).to_pylist(), n)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(sets.values * m), dtype=np.uint64)]) for m in (FIRST, SECOND)]
-                s1, s2 = (mixed(s[sets.bounds[1:]] - s[sets.bounds[:-1]]) for s in sums)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.sizes().astype(np.int64)), signed(s1), signed(s2), pa.nulls(len(s1), pa.int64())], ["doc_id", "size", "s1", "s2", "shingle"])
-                values, counts = np.unique(sets.values, return_counts=True)
-                often = counts >= FREQUENT
-                none = pa.nulls(int(often.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(counts[often].astype(np.int64)), none, none, signed(values[often])], ["doc_id", "size", "s1", "s2", "shingle"])
 
-    return texts.mapInArrow(work, "doc_id long, size long, s1 long, s2 long, shingle long")
+def small(x: np.ndarray) -> bytes:
+    """Counts in one byte each if they fit, in four if not."""
+    return x.astype(np.uint8 if x.max(initial=0) < 256 else np.uint32).tobytes()
 
 
-def frequent_order(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles sorted, their counts): the most frequent ones, at most MOST of them.
+def counts_of(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32).astype(np.int64)
 
-    The least count comes from a histogram of counts in bins of a 16th of an octave, so that nothing is sorted and only
-    the chosen rows reach the driver; a bin that doesn't fit in is left out whole.
-    """
-    counts = common.cut(summary.filter("shingle is not null").groupBy("shingle").agg(F.sum("size").alias("n")))
-    bin_of = F.floor(16 * F.log2("n")).cast("int")
-    bins = counts.groupBy(bin_of.alias("bin")).count().collect()
-    least, held = None, 0
-    for row in sorted(bins, key=lambda r: -r["bin"]):
-        held += row["count"]
-        if held > MOST:
-            break
-        least = row["bin"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    chosen = counts.filter(bin_of >= least).toArrow()
-    values = chosen["shingle"].to_numpy().view(np.uint64)
-    order = np.argsort(values)
-    return values[order], chosen["n"].to_numpy()[order]
 
+def by_range(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, ranges that have values, their bounds in that order)."""
+    ranges = (values >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(ranges, kind="stable")
+    found, starts = np.unique(ranges[order], return_index=True)
+    return order, found, np.append(starts, len(values))
 
-def prefixes(texts: DataFrame, order: tuple[np.ndarray, np.ndarray], n: int, percent: int) -> DataFrame:
-    """(shingle, id, size, at): each set's prefix with the shingles' positions."""
-    sent = texts.sparkSession.sparkContext.broadcast(order)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = sent.value
-        for whole in batches:
-            for batch in common.slices(whole, 1, SLICE):
-                sets = Shingles(batch.column(1).to_pylist(), n)
-                place = np.minimum(np.searchsorted(known, sets.values), max(len(known) - 1, 0))
-                rank = np.where(known[place] == sets.values, counts[place], 0) if len(known) else np.zeros(len(sets.values), np.int64)
-                out, at, text, size = [], [], [], []
-                for k, (a, b) in enumerate(zip(sets.bounds[:-1].tolist(), sets.bounds[1:].tolist())):
-                    m = b - a
-                    if not m:
-                        continue
-                    first = m - -(-percent * m // 100) + 1  # a set within the threshold shares at least percent of its shingles
-                    own = sets.values[a:b]
-                    if rank[a:b].any():
-                        own = own[np.argsort(rank[a:b], kind="stable")]
-                    out.append(own[:first])
-                    at.append(np.arange(first, dtype=np.int32))
-                    text.append(np.full(first, k))
-                    size.append(np.full(first, m, np.int32))
-                if out:
-                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(out)), batch.column(0).take(pa.array(np.concatenate(text))), pa.array(np.concatenate(size)), pa.array(np.concatenate(at))], ["shingle", "id", "size", "at"])
-
-    return texts.mapInArrow(work, "shingle long, id long, size int, at int")
-
-
-def set_table(texts: DataFrame, n: int) -> DataFrame:
-    """(id, set): sorted shingle hashes as bytes."""
+def low_part(values: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits after a value's range."""
+    return ((values >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in common.slices(whole, 1, SLICE):
-                sets = Shingles(batch.column(1).to_pylist(), n)
-                blobs = [sets.values[a:b].tobytes() for a, b in zip(sets.bounds[:-1], sets.bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["id", "set"])
 
-    return texts.mapInArrow(work, "id long, set binary")
+def frequencies(blobs: list[bytes]) -> np.ndarray:
+    """For each 32-bit value of all blobs, in how many places it stands. Values equal by chance only make a shingle look more frequent than it is."""
+    values = np.frombuffer(b"".join(blobs), np.uint32)
+    order = np.argsort(values, kind="stable")
+    new = np.diff(values[order], prepend=values[order][:1] + np.uint32(1)) != 0
+    runs = np.cumsum(new) - 1
+    out = np.empty(len(values), np.int64)
+    out[order] = np.bincount(runs)[runs]
+    return out
 
 
-def sketch_table(texts: DataFrame, n: int) -> DataFrame:
-    """(id, size, over, sketch): how many shingles fall into each of equal hash ranges, about as many as there are shingles.
+def set_rows(texts: DataFrame, n: int) -> DataFrame:
+    """(doc_id, size, s1, s2, shared) for every text: s1 and s2 identify its set, shared counts its shingles that other texts have, too."""
+    spark = texts.sparkSession
+    bits = range_bits((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
+    cell = pa.schema([("slice", pa.int64()), ("range", pa.int64()), ("low", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("s1", pa.list_(pa.int64())), ("s2", pa.list_(pa.int64()))])
 
-    A count has one byte; what doesn't fit in is summed in `over`.
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.slices(whole, 1, SLICE):
+                sets = Shingles(batch.column(1).to_pylist(), n)
+                sizes, (s1, s2) = sets.sizes(), sets.identities()
+                ids = batch.column(0).to_pylist()
+                name = hash((*ids, *s1.tolist()))  # of numbers only: the same in every process
+                order, found, bounds = by_range(sets.values, bits)
+                low, owner = low_part(sets.values, bits)[order], np.repeat(np.arange(len(ids)), sizes)[order]
+                rows = [(name, int(r), low[a:b].tobytes(), small(np.bincount(owner[a:b], minlength=len(ids))), None, None, None, None) for r, a, b in zip(found, bounds[:-1], bounds[1:])]
+                rows.append((name, name % (1 << bits), None, None, ids, sizes.tolist(), s1.tolist(), s2.tolist()))
+                yield common.as_batch(rows, cell)
+
+    def counted(table: pa.Table) -> pa.Table:
+        low, counts = table["low"].to_pylist(), table["counts"].to_pylist()
+        shared = np.concatenate([[0], np.cumsum(frequencies([x for x in low if x is not None]) > 1)])
+        out, at = [], 0
+        for values, own in zip(low, counts):
+            if values is None:
+                out.append(None)
+                continue
+            m = len(values) // 4
+            own = np.frombuffer(own, np.uint8) if np.frombuffer(own, np.uint8).sum(dtype=np.int64) == m else np.frombuffer(own, np.uint32)
+            ends = at + np.cumsum(own, dtype=np.int64)
+            out.append(small(np.diff(shared[np.concatenate([[at], ends])])))
+            at += m
+        return table.drop_columns(["low"]).set_column(table.column_names.index("counts") - 1, "counts", pa.array(out, pa.binary()))
+
+    def gathered(table: pa.Table) -> pa.Table:
+        head = [r for r in table.select(["ids", "sizes", "s1", "s2"]).to_pylist() if r["ids"] is not None]
+        total = np.zeros(len(head[0]["ids"]), np.int64)
+        for x in table["counts"].to_pylist():
+            if x is not None:
+                total += counts_of(x, len(total))
+        times = len(head)  # a slice that stands in the input several times
+        return pa.table([pa.array(head[0][c] * times, pa.int64()) for c in ("ids", "sizes", "s1", "s2")] + [pa.array(np.tile(total // times, times))], ["doc_id", "size", "s1", "s2", "shared"])
+
+    head = "ids array<long>, sizes array<long>, s1 array<long>, s2 array<long>"
+    spread = texts.mapInArrow(cells, f"slice long, range long, low binary, counts binary, {head}")
+    answers = spread.groupBy("range").applyInArrow(counted, f"slice long, range long, counts binary, {head}")
+    return answers.groupBy("slice").applyInArrow(gathered, "doc_id long, size long, s1 long, s2 long, shared long")
+
+
+def candidate_sets(texts: DataFrame, n: int, percent: int, shingles: int) -> DataFrame:
+    """texts (doc_id, text, id: the s1 of the wanted set) -> (id, size, own, set) of those that may be linked among themselves.
+
+    own counts the shingles that no other set has; set has the rest as bytes, rarest first.
     """
+    bits = range_bits(shingles)
+    cell = pa.schema([("slice", pa.int64()), ("range", pa.int64()), ("low", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("values", pa.binary())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, 1, SLICE):
                 sets = Shingles(batch.column(1).to_pylist(), n)
-                over, sketches = [], []
-                for a, b in zip(sets.bounds[:-1], sets.bounds[1:]):
-                    bits = max(1, int(b - a).bit_length() - 1)
-                    counts = np.bincount((sets.values[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-                    kept = np.minimum(counts, 255)
-                    over.append(int((counts - kept).sum()))
-                    sketches.append(kept.astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.sizes().astype(np.int32)), pa.array(over, pa.int32()), pa.array(sketches, pa.binary())], ["id", "size", "over", "sketch"])
+                ids = batch.column(2).to_numpy()
+                keep = sets.identities()[0] == ids
+                sets.chosen(keep)
+                ids = ids[keep].tolist()
+                if not ids:
+                    continue
+                name = hash((*ids,))
+                order, found, bounds = by_range(sets.values, bits)
+                low = low_part(sets.values, bits)[order]
+                rows = [(name, int(r), low[a:b].tobytes(), None, None, None) for r, a, b in zip(found, bounds[:-1], bounds[1:])]
+                rows.append((name, name % (1 << bits), None, ids, sets.sizes().tolist(), sets.values.tobytes()))
+                yield common.as_batch(rows, cell)
+
+    def counted(table: pa.Table) -> pa.Table:
+        low = table["low"].to_pylist()
+        found, out, at = np.minimum(frequencies([x for x in low if x is not None]), 255).astype(np.uint8), [], 0
+        for values in low:
+            out.append(None if values is None else found[at : at + len(values) // 4].tobytes())
+            at += 0 if values is None else len(values) // 4
+        return table.set_column(table.column_names.index("low"), "low", pa.array(out, pa.binary()))
+
+    def gathered(table: pa.Table) -> pa.Table:
+        head = next(r for r in table.select(["ids", "sizes", "values"]).to_pylist() if r["ids"] is not None)
+        values = np.frombuffer(head["values"], np.uint64)
+        answers = dict((r, x) for r, x in zip(table["range"].to_pylist(), table["low"].to_pylist()) if x is not None)
+        order, found, _ = by_range(values, bits)
+        count = np.empty(len(values), np.uint8)
+        count[order] = np.frombuffer(b"".join(answers[r] for r in found.tolist()), np.uint8)
+        rows, at = [], 0
+        for key, size in zip(head["ids"], head["sizes"]):
+            own, often = values[at : at + size], count[at : at + size]
+            at += size
+            shared = own[often > 1]
+            if 100 * len(shared) >= percent * size:
+                rows.append((key, size, size - len(shared), shared[np.lexsort((shared, often[often > 1]))].tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["id", "size", "own", "set"])
+
+    head = "ids array<long>, sizes array<long>, values binary"
+    spread = texts.mapInArrow(cells, f"slice long, range long, low binary, {head}")
+    answers = spread.groupBy("range").applyInArrow(counted, f"slice long, range long, low binary, {head}")
+    return answers.groupBy("slice").applyInArrow(gathered, "id long, size int, own int, set binary").dropDuplicates(["id"])
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, id, size, own, at): the shared shingles of each set's prefix with their positions, its own ones standing before them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, owns = (batch.column(k).to_numpy() for k in range(3))
+            # a set within the threshold shares at least percent of its shingles
+            first = sizes - -(-percent * sizes.astype(np.int64) // 100) + 1 - owns
+            values = [np.frombuffer(x, np.uint64)[:k] for x, k in zip(batch.column(3).to_pylist(), first.tolist())]
+            at = [o + np.arange(len(v)) for o, v in zip(owns, values)]
+            k = np.repeat(np.arange(len(ids)), [len(v) for v in values])
+            if len(k):
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(values)), pa.array(ids[k]), pa.array(sizes[k]), pa.array(owns[k]), pa.array(np.concatenate(at).astype(np.int32))], ["shingle", "id", "size", "own", "at"])
 
-    return texts.mapInArrow(work, "id long, size int, over int, sketch binary")
+    return sets.select("id", "size", "own", "set").mapInArrow(work, "shingle long, id long, size int, own int, at int")
 
 
 def reachable(x: str, y: str, percent: int) -> Column:
@@ -187,185 +251,163 @@ def reachable(x: str, y: str, percent: int) -> Column:
 
 
 def early(percent: int) -> Column:
-    """Whether an entry can be the smaller set of a pair in reach; a pair has such an entry, so later positions are only met from these."""
+    """Whether an entry can be the smaller set of a pair in reach; every pair in reach has such an entry."""
     return (100 + percent) * (F.col("size") - F.col("at")).cast("long") >= 2 * percent * F.col("size").cast("long")
 
 
-def most_common(a: bytes, b: bytes) -> int:
-    """At most so many shingles two sketches have in common: the smaller count of each range."""
-    u, v = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(u) < len(v):
-        u, v = v, u
-    if len(u) > len(v):
-        u = u.reshape(len(v), -1).sum(axis=1, dtype=np.int64)
-    return int(np.minimum(u, v).sum(dtype=np.int64))
-
-
-def close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (x, y) that the bound of their sketches doesn't show to be apart."""
-    sided = pairs.select("x", "y").join(sketches.toDF("y", "n", "oy", "sy"), "y").join(sketches.toDF("x", "m", "ox", "sx"), "x").select("x", "y", (F.col("m") + F.col("n")).alias("sum"), (F.col("ox") + F.col("oy")).alias("over"), "sx", "sy")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                (100 + percent) * (most_common(a, b) + over) >= percent * total
-                for total, over, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())
-            ]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return sided.mapInArrow(work, "x long, y long")
-
-
-def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """pairs (x, y) -> (x, y, m, n, both): sizes and the size of the intersection, by comparison of the sets of these ids only."""
-    ids = common.cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    sets = common.cut(set_table(texts.join(common.sized(ids, 24, SENT_BYTES), "doc_id", "left_semi"), n))
-    sided = pairs.join(sets.toDF("y", "sy"), "y").join(sets.toDF("x", "sx"), "x").select("x", "y", "sx", "sy")
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (x, y) -> (x, y, m, n, p, q, both): sizes, how many shingles of each are shared with any set, and the size of the intersection."""
+    columns = ["id", "size", "own", "set"]
+    sided = pairs.select("x", "y").join(sets.select(columns).toDF("y", "n", "oy", "sy"), "y").join(sets.select(columns).toDF("x", "m", "ox", "sx"), "x")
+    sided = sided.select("x", "y", "m", "n", (F.col("m") - F.col("ox")).alias("p"), (F.col("n") - F.col("oy")).alias("q"), "sx", "sy")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, n, both = [], [], []
-            for a, b in zip(batch.column(2), batch.column(3)):
+            both = []
+            for a, b in zip(batch.column(6), batch.column(7)):
                 u, v = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                found = np.searchsorted(v, u)
-                m.append(len(a.as_py()) // 8)
-                n.append(len(b.as_py()) // 8)
-                both.append(int(np.count_nonzero(v[np.minimum(found, len(v) - 1)] == u)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m, pa.int32()), pa.array(n, pa.int32()), pa.array(both, pa.int32())], ["x", "y", "m", "n", "both"])
+                both.append(len(np.intersect1d(u, v, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(both, pa.int32())], ["x", "y", "m", "n", "p", "q", "both"])
 
-    return sided.mapInArrow(work, "x long, y long, m int, n int, both int")
+    return sided.mapInArrow(work, "x long, y long, m int, n int, p int, q int, both int")
 
 
 def linked(percent: int, both: str = "both") -> Column:
     return 100 * F.col(both).cast("long") >= percent * (F.col("m") + F.col("n") - F.col(both)).cast("long")
 
 
-def led_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(x, y): every entry of a list with its leader of this turn, if they are in different components and in reach."""
-    entry = F.struct("id", "size", "at", "component")
-    rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    leads = lists.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), entry.alias("e"))).alias("l")).select("shingle", "l.e")
-    both = lists.select("shingle", entry.alias("o")).join(leads, "shingle").filter("o.component <> e.component")
+def with_leaders(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """The entries of open lists, with whether each leads this turn: one entry a list in the first, then MORE times more each turn."""
+    own = lists.groupBy("shingle", "component").agg(F.count("*").alias("c"), F.count_if(early(percent)).alias("k"), F.min(F.struct((F.col("own") / F.col("size")).alias("rank"), "id")).alias("best"))
+    per = own.groupBy("shingle").agg(F.count("*").alias("parts"), F.min("best").alias("best"), (F.sum("c") * F.sum("k") - F.sum(F.col("c") * F.col("k"))).alias("open"))
+    per = per.filter("open > 0").select("shingle", "parts", F.col("best.id").alias("first"))
+    if turn == 0:
+        return lists.join(per, "shingle").withColumn("leads", F.col("id") == F.col("first")).drop("parts", "first")
+    # a component's entries are led by an equal share of the leaders, so an entry that stands alone leads early
+    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 11) / float(1 << 53)
+    leads = draw * F.col("c") * F.col("parts") < float(MORE) ** turn
+    entries = lists.join(own.select("shingle", "component", "c"), ["shingle", "component"]).join(per, "shingle")
+    return entries.withColumn("leads", leads).drop("c", "parts", "first")
+
+
+def led_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(x, y): every entry of a list with its leaders y, if they are in different components and in reach; blocks of a list out of size range are never met."""
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    entry = F.struct("id", "size", "at", "component", "leads")
+    leaders = lists.filter("leads").select("shingle", entry.alias("e"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    both = lists.select("shingle", entry.alias("o"), band.alias("band")).join(leaders, ["shingle", "band"])
+    both = both.filter("o.component <> e.component and (not o.leads or o.id < e.id)")
     return both.filter(reachable("o", "e", percent)).select(F.col("o.id").alias("x"), F.col("e.id").alias("y")).distinct()
 
 
-def left_over(lists: DataFrame, percent: int) -> int:
-    """How many pairs of an early entry with another one in a different component the lists hold."""
-    own = lists.groupBy("shingle", "component").agg(F.count("*").alias("c"), F.count_if(early(percent)).alias("k"))
-    per = own.groupBy("shingle").agg((F.sum("c") * F.sum("k") - F.sum(F.col("c") * F.col("k"))).alias("p"))
-    return int(per.agg(F.sum("p")).first()[0] or 0)
-
-
-def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(x, y, m, n): all pairs of entries of a list in different components and in reach; blocks of a list out of size range are never met."""
-    band = F.floor(F.log(F.col("size").cast("double")) / np.log(100 / percent) + 1e-9).cast("int")
-    entry = F.struct("id", "size", "at", "component")
-    probe = lists.filter(early(percent)).select("shingle", entry.alias("o"), F.explode(F.array(band, band + 1)).alias("band"))
-    index = lists.select("shingle", entry.alias("e"), band.alias("band"))
-    both = probe.join(index, ["shingle", "band"]).filter("o.component <> e.component and (o.size < e.size or o.size = e.size and o.id < e.id)")
-    both = both.filter(reachable("o", "e", percent))
-    return both.select(F.col("o.id").alias("x"), F.col("e.id").alias("y"), F.col("o.size").alias("m"), F.col("e.size").alias("n")).distinct()
-
-
 def derived(pairs: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, open pairs) of pairs (x, y, m, n), from the overlaps of x and y with common leaders.
+    """(links, open pairs) of pairs (x, y), from the overlaps of x and y with common earlier leaders.
 
-    With o(x) and o(y) shingles of a leader's set of size l in x and y, the overlap of x and y is at least
-    o(x) + o(y) - l and at most min(o(x), o(y)) + min(m - o(x), n - o(y)).
+    With o(x) and o(y) shingles of a leader in x and y, l shingles of the leader shared at all, and p and q of x and y,
+    the overlap of x and y is at least o(x) + o(y) - l and at most min(o(x), o(y)) + min(p - o(x), q - o(y)).
     """
-    to_x = known.select("x", F.col("y").alias("leader"), F.col("both").alias("ox"), F.col("n").alias("l"))
-    to_y = known.select(F.col("x").alias("y"), F.col("y").alias("leader"), F.col("both").alias("oy"))
+    to_x = known.select("x", F.col("y").alias("leader"), F.col("both").alias("ox"), F.col("q").alias("l"), "m", "p")
+    to_y = known.select(F.col("x").alias("y"), F.col("y").alias("leader"), F.col("both").alias("oy"), F.col("m").alias("n"), F.col("p").alias("q"))
     bounds = pairs.join(to_x, "x").join(to_y, ["y", "leader"])
     low = F.col("ox") + F.col("oy") - F.col("l")
-    high = F.least("ox", "oy") + F.least(F.col("m") - F.col("ox"), F.col("n") - F.col("oy"))
-    bounds = bounds.groupBy("x", "y").agg(F.max(low).alias("low"), F.min(high).alias("high"))
+    high = F.least("ox", "oy") + F.least(F.col("p") - F.col("ox"), F.col("q") - F.col("oy"))
+    bounds = bounds.groupBy("x", "y").agg(F.max(low).alias("low"), F.min(high).alias("high"), F.first("m").alias("m"), F.first("n").alias("n"))
     state = common.cut(pairs.join(bounds, ["x", "y"], "left").select("x", "y", F.coalesce(linked(percent, "low"), F.lit(False)).alias("yes"), F.coalesce(~linked(percent, "high"), F.lit(False)).alias("no")))
     return state.filter("yes").select("x", "y"), state.filter("not yes and not no").select("x", "y")
 
 
+def relabelled(table: DataFrame, moved: DataFrame) -> DataFrame:
+    """table with its component replaced by what moved (id, component) says."""
+    to = common.sized(moved.toDF("component", "to"), 16, SENT_BYTES)
+    return table.join(to, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
+
+
+def set_components(sets: DataFrame, percent: int) -> DataFrame:
+    """sets (id, size, own, set) -> (id, component): the components of all links between them, for sets that are linked."""
+    once = prefixes(sets, percent)
+    shared = once.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max(early(percent)).alias("early")).filter("a < z and early").select("shingle")
+    lists = common.cut(once.join(shared, "shingle", "left_semi").withColumn("component", F.col("id")))
+    found: DataFrame | None = None
+    facts: DataFrame | None = None
+    turn = 0
+    while True:
+        lists = common.cut(with_leaders(lists, turn, percent))
+        if lists.isEmpty():
+            break
+        pairs = led_pairs(lists, percent)
+        if facts is None:
+            measured = common.cut(overlaps(pairs, sets))
+            links, facts = measured.filter(linked(percent)).select("x", "y"), measured
+        else:
+            done = facts.select("x", "y").unionByName(facts.select(F.col("y").alias("x"), F.col("x").alias("y")))
+            sure, unsure = derived(pairs.join(done, ["x", "y"], "left_anti"), facts, percent)
+            measured = common.cut(overlaps(unsure, sets))
+            links, facts = measured.filter(linked(percent)).select("x", "y").unionByName(sure), facts.unionByName(measured)
+        lists = lists.filter("not leads").drop("leads")
+        if not links.isEmpty():
+            if found is not None:  # links between the components found so far
+                for side in ("x", "y"):
+                    links = links.join(found.toDF(side, "c"), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+            moved = components(links.toDF("a", "b"))
+            lists = relabelled(lists, moved)
+            if found is None:
+                found = moved
+            else:
+                new = moved.join(found.select("id"), "id", "left_anti")
+                found = common.cut(relabelled(found, moved).select("id", "component").unionByName(new))
+        turn += 1
+    return found if found is not None else sets.sparkSession.createDataFrame([], "id long, component long")
+
+
 def similar_components(docs: DataFrame, n: int = N, percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Shingles are runs of n lower-cased words; a text of fewer words is one shingle, a null or wordless text has none
     and is linked with nothing. Links: 100 * intersection >= percent * union. A null id is linked with nothing and
-    has a null component_id; rows that share an id are one document, so equal rows get equal results.
+    has a null component_id. Rows that share an id are one place for reachability only if they have equal sets;
+    further columns are ignored, an empty table gives no rows. docs is read twice and must give the same rows both times.
     """
     texts = texts_of(docs)
-    summary = common.cut(summaries(texts, n))
-    rows = summary.filter("shingle is null").select("doc_id", "size", "s1", "s2")
-    order = frequent_order(summary)
+    rows = common.cut(set_rows(texts, n))
     key = ["size", "s1", "s2"]
-    classes = common.cut(rows.filter("size > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    reps = common.sized(common.cut(classes.select(F.col("rep").alias("doc_id")).distinct()), 24, SENT_BYTES)
-    repeated = has_repeats(rows)
-    chosen = texts.join(reps, "doc_id", "left_semi")
-    if repeated:
-        chosen = chosen.dropDuplicates(["doc_id", "text"])
-
-    once = prefixes(chosen, order, n, percent)
-    shared = once.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max(early(percent)).alias("early"))
-    shared = common.cut(shared.filter("a < z and early").select("shingle"))
-    index = common.cut(once.join(common.sized(shared, 24, SENT_BYTES), "shingle", "left_semi"))
-    ids = common.sized(common.cut(index.select(F.col("id").alias("doc_id")).distinct()), 24, SENT_BYTES)
-    indexed = chosen.join(ids, "doc_id", "left_semi")
-    if repeated:
-        indexed = indexed.dropDuplicates(["doc_id"])
-    sketches = common.cut(sketch_table(indexed, n))
-    found = components(join_links(index, sketches, indexed, n, percent))
-
-    named = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, key, "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-
-
-def has_repeats(rows: DataFrame) -> bool:
-    counts = rows.agg(F.count("doc_id").alias("n")).first()["n"]
-    return rows.select("doc_id").filter("doc_id is not null").distinct().count() < counts
-
-
-def join_links(index: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) whose components are those of all links of the indexed sets."""
-    bar, before, turn = LEFT_PER_SET * sketches.count(), None, 0
-    known: list[DataFrame] = []
-    links: DataFrame | None = None
-    found: DataFrame | None = None
-    while True:
-        if found is None:
-            lists = index.withColumn("component", F.col("id"))
-        else:
-            lists = index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        crossing = lists.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("z")).filter("a < z").select("shingle")
-        lists = common.cut(lists.join(crossing, "shingle", "left_semi"))
-        left = left_over(lists, percent)
-        if not left or before is not None and (left <= bar or 2 * left > before):
-            break
-        close = common.cut(close_pairs(led_pairs(lists, turn, percent), sketches, percent))
-        measured = common.cut(overlaps(close, texts, n))
-        known.append(measured)
-        new = measured.filter(linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
-        before, turn = left, turn + 1
-    if links is None:
-        links = index.sparkSession.createDataFrame([], "a long, b long")
-    if left:
-        facts = known[0]
-        for k in known[1:]:
-            facts = facts.unionByName(k)
-        pairs = crossing_pairs(lists, percent)
-        done = facts.select("x", "y").unionByName(facts.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        pairs = common.cut(pairs.join(done, ["x", "y"], "left_anti"))
-        sure, unsure = derived(pairs, facts, percent)
-        close = common.cut(close_pairs(unsure, sketches, percent))
-        more = overlaps(close, texts, n).filter(linked(percent)).select("x", "y").unionByName(sure)
-        links = links.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return links
+    classes = common.cut(rows.filter("size > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("shared").alias("shared")))
+    wanted = common.cut(classes.filter(100 * F.col("shared") >= percent * F.col("size")).select(F.col("rep").alias("doc_id"), F.col("s1").alias("id"), "size"))
+    shingles = wanted.agg(F.sum("size")).first()[0] or 0
+    chosen = texts.join(common.sized(wanted.select("doc_id", "id"), 32, SENT_BYTES), "doc_id").select("doc_id", "text", "id")
+    sets = common.cut(candidate_sets(chosen, n, percent, shingles))
+    found = set_components(sets, percent)
+
+    # the smallest document of each component, then of each class that has several documents or links
+    linked_classes = classes.join(found.withColumnRenamed("id", "s1"), "s1")
+    least = linked_classes.groupBy("component").agg(F.min("rep").alias("least"))
+    named = linked_classes.join(least, "component").select(*key, "least")
+    alone = classes.filter("n > 1").join(found.select(F.col("id").alias("s1")), "s1", "left_anti").select(*key, F.col("rep").alias("least"))
+    out = rows.filter("doc_id is not null").join(named.unionByName(alone), key, "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.unionByName(rows.filter("doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = 75) -> DataFrame:
-    """The rows of docs, columns unchanged, whose id is their component's smallest; of equal ids each row stays."""
+    """The rows of docs, columns unchanged, whose id is their component's smallest; of equal ids each row stays, and so do null ids."""
     found = similar_components(docs, n, percent).select("doc_id", "component_id")
     gone = common.cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(common.sized(gone, 24, SENT_BYTES), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(common.sized(gone, 24, SENT_BYTES), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+
+
+#: Every link and its reach, over whole texts.
+ORACLE = r"""
+with recursive word as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingle as (
+  select doc_id, unnest(list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)])) as s from word where len(w) > 0
+), size as (
+  select doc_id, count(*) as n from shingle group by doc_id
+), both as (
+  select a.doc_id as a, b.doc_id as b, count(*) as i from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
+), link as (
+  select a, b from both join size x on x.doc_id = a join size y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)
+), reach(doc_id, c) as (
+  select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join link l on r.c = l.a
+)
+select d.doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(r.c) as component_id
+from documents d join reach r on r.doc_id = d.doc_id left join size s on s.doc_id = d.doc_id group by d.doc_id
+"""

@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op6_substring_dedup": repeats.ORACLE}
+    return {"op2_line_dedup": lines.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op6_substring_dedup": repeats.ORACLE, "op7_ngram_jaccard_join": jaccard.ORACLE}

@@ -33,10 +33,9 @@ def brute(docs, n, percent):
     return sorted(((d, len(sets[i]), least[find(i)] if d is not None else None) for i, (d, _) in enumerate(docs)), key=str)
 
 
-@pytest.mark.parametrize("n, percent, per_set", [(2, 75, 4), (3, 60, 0), (1, 80, 10**6)])
-def test_against_brute_force(spark, monkeypatch, n, percent, per_set):
-    monkeypatch.setattr(jaccard, "LEFT_PER_SET", per_set)
-    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+@pytest.mark.parametrize("n, percent, more", [(2, 75, 8), (3, 60, 2), (1, 80, 100)])
+def test_against_brute_force(spark, monkeypatch, n, percent, more):
+    monkeypatch.setattr(jaccard, "MORE", more)
     random.seed(n)
     pool = [f"{a}{b}" for a in "aBcdÉ" for b in "vwxyz1"]
     bases = [[random.choice(pool) for _ in range(random.randint(1, 40))] for _ in range(12)]
@@ -56,12 +55,38 @@ def test_against_brute_force(spark, monkeypatch, n, percent, per_set):
 
 
 def test_bounds_decide_without_comparison(spark):
-    known = spark.createDataFrame([(1, 9, 100, 100, 98), (2, 9, 100, 100, 97), (3, 9, 100, 100, 20)], "x long, y long, m int, n int, both int")
-    pairs = spark.createDataFrame([(1, 2, 100, 100), (1, 3, 100, 100), (1, 4, 100, 100)], "x long, y long, m int, n int")
+    known = spark.createDataFrame([(1, 9, 100, 100, 99, 100, 98), (2, 9, 100, 100, 97, 100, 97), (3, 9, 100, 100, 90, 100, 20)], "x long, y long, m int, n int, p int, q int, both int")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "x long, y long")
     yes, unsure = jaccard.derived(pairs, known, 75)
     assert [tuple(r) for r in yes.collect()] == [(1, 2)] and [tuple(r) for r in unsure.collect()] == [(1, 4)]
 
 
+def test_long_texts_and_clashing_columns(spark):
+    """A text of 60,000 words, its copy less a tenth, and columns named like the operator's own, one with a dot."""
+    random.seed(4)
+    words = [f"w{random.randrange(10**6)}" for _ in range(60_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:54_000])), (3, " ".join(words[:30_000])), (4, "w1 " * 50_000), (5, "w1 " * 40_000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("id", F.lit(7)).withColumn("component", F.lit("c")).withColumn("a.b", F.lit(1))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_components(table, 5, 75).collect()}
+    assert got == {1: (59_996, 1), 2: (53_996, 1), 3: (29_996, 3), 4: (1, 4), 5: (1, 4)}
+    kept = jaccard.keep_one(table)
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_group_without_a_centre(spark):
+    """Copies of a text that isn't there itself, each with changes of its own: links by brute force, lists stay open for several turns."""
+    random.seed(9)
+    base = [f"w{k}" for k in range(120)]
+    docs = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(random.choice([1, 2, 3, 4, 5])):
+            w[random.randrange(len(w))] = f"x{random.randrange(10**6)}"
+        docs.append((k, " ".join(w)))
+    got = sorted(map(tuple, jaccard.similar_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 75).collect()), key=str)
+    assert got == brute(docs, 3, 75)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101 + i) for i in range(30)] + [(500, 500), (60, 200), (200, 250)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
