@@ -60,7 +60,8 @@ def with_statistics(rows: DataFrame, text_col: str) -> DataFrame:
         words / lines,
     ]
     empty = F.length("text") == 0
-    return rows.select(*others, F.struct(*[F.when(empty, 0.0).otherwise(v.cast("double")).alias(n) for n, v in zip(STATISTICS, values)]).alias("s"))
+    s = F.struct(*[F.when(empty, 0.0).otherwise(v.cast("double")).alias(n) for n, v in zip(STATISTICS, values)])
+    return rows.select(*others, F.explode(F.array(s)).alias("s"))  # generated, so that no filter on s computes the statistics anew for every rule
 
 
 @dataclass
@@ -206,7 +207,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bar: float = 0.7) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, bar: float = 0.7) -> DataFrame:
-    """The rows of docs, columns unchanged, whose score is at least bar."""
+    """The rows of docs, columns unchanged, whose score is at least bar.
+
+    Null texts count as empty and are scored like any other; null ids and repeated rows are kept or dropped by their
+    texts alone; an empty table gives no rows, and without labels every row has the same score.
+    """
     rules = learned(docs, labels)
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     return with_statistics(rows, "text").filter(rules.column() >= bar).select("row.*")
