@@ -1,9 +1,11 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions alone.
 
 Lines are compared as sequences of words, trimmed and in lower case; any white space parts words. Of equal lines only
-the earliest occurrence stays, unless they have neither LEAST_WORDS words nor LEAST_BYTES bytes. A long line of few
-words (text without spaces, a URL) is compared as a sequence of characters: see `with_words`.
-A line of NEAR_WORDS or more, or compared by characters, also goes if it is within one word edit (a word replaced, inserted or deleted) of a line
+the earliest occurrence stays, however short they are; blank lines always stay. The edit bound is one word edit (a
+word replaced, inserted or deleted) for lines of `near_words` words or more, and none for shorter ones, so a line
+differs in no more than one part in near_words from the one it repeats. A long line of few
+words (text without spaces, a URL) is compared as a sequence of characters, with the bound of one character: see `with_words`.
+A line also goes if it is within the bound of a line
 that first occurs earlier, whether that one stays or not. Two lines are within one edit exactly if deleting one word
 of the one gives the other, or deleting the word at the same place of each gives the same: so every line emits the
 hashes of all its deletions, equal hashes are joined, and the earliest line of each joined group is verified.
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Lines of fewer words always stay if they have fewer bytes, too; lines of fewer than NEAR_WORDS go only as equal copies, unless they are compared by characters.
-LEAST_WORDS, NEAR_WORDS, LEAST_BYTES = 3, 8, 32
-#: Lines of fewer than NEAR_WORDS are compared by characters from so many bytes on, and so many a word: 16 characters of Chinese.
+#: The default of near_words: one edit is allowed for lines of so many words or more.
+NEAR_WORDS = 8
+#: Shorter lines are compared by characters from so many bytes on, and so many a word: 16 characters of Chinese.
 NEAR_BYTES, WORD_BYTES = 48, 16
 #: White space other than the space and the line feed.
 SPACES = r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -33,25 +35,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("k"))
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, line, norm, words, near, h1, h2): one row per line; h1 and h2 are null for lines that always stay.
+def with_words(docs: DataFrame, near_words: int) -> DataFrame:
+    """(doc_id, k, line, words, near, h1, h2): one row per line that isn't blank.
 
     words are a line's words or, with a line feed after each, its characters; near: whether it is compared with others than its equals.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     rows = rows.select("doc_id", "k", "line", F.trim(F.regexp_replace(F.lower("raw"), SPACES, " ")).alias("norm"))
-    rows = rows.select("*", F.split("norm", " ").alias("words"), F.octet_length("norm").alias("size"))
-    use = (F.size("words") >= LEAST_WORDS) | (F.col("size") >= LEAST_BYTES)
-    many = F.size("words") >= NEAR_WORDS
+    rows = rows.filter("norm <> ''").select("*", F.split("norm", " ").alias("words"), F.octet_length("norm").alias("size"))
+    many = F.size("words") >= near_words
     letters = ~many & (F.col("size") >= NEAR_BYTES) & (F.col("size") >= F.size("words") * WORD_BYTES)
     words = F.when(letters, F.transform(F.split("norm", ""), lambda c: F.concat(c, F.lit("\n")))).otherwise(F.col("words"))
-    keys = [F.when(use, F.xxhash64("norm")).alias("h1"), F.when(use, F.xxhash64("norm", F.lit(1))).alias("h2")]
-    return rows.select("doc_id", "k", "line", "norm", words.alias("words"), (many | letters).alias("near"), *keys)
+    keys = [F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2")]
+    return rows.select("doc_id", "k", "line", words.alias("words"), (many | letters).alias("near"), *keys)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, near_words: int) -> DataFrame:
     """(doc_id, k, line, h1, h2, halves): one narrow row per line; halves is null for lines that go only as equal copies."""
-    return with_words(docs).select("doc_id", "k", "line", "h1", "h2", F.when(F.col("near"), halves()).alias("halves"))
+    return with_words(docs, near_words).select("doc_id", "k", "line", "h1", "h2", F.when(F.col("near"), halves()).alias("halves"))
 
 
 def halves() -> Column:
@@ -68,12 +69,12 @@ def halves() -> Column:
     return F.array(*pair(F.size("words")), *pair(F.size("words") - 1))
 
 
-def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, near_words: int) -> DataFrame:
     """(h1, h2) of the lines within one edit of a line that first occurs earlier."""
     half = lines.select("h1", "h2", F.explode("halves").alias("half"))
     shared = common.cut(half.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half"))
     candidates = common.cut(half.join(common.sized(shared, 24), "half", "left_semi").select("h1", "h2").distinct())
-    own = with_words(docs).join(common.sized(candidates, 32), ["h1", "h2"], "left_semi")
+    own = with_words(docs, near_words).join(common.sized(candidates, 32), ["h1", "h2"], "left_semi")
     own = common.cut(own.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k", "line")).alias("first"), F.first("words").alias("words")))
 
     # a sequence's hash is the sum of its words' hashes with their places: a deletion moves the later words down by one
@@ -123,51 +124,47 @@ def within_one_edit() -> Column:
     return (F.abs(a - b) <= 1) & (alike(False) + alike(True) >= F.greatest(a, b) - 1)
 
 
-def kept_flags(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, flags): for documents that lose lines, whether each line stays."""
-    lines = common.cut(line_table(docs))
-    first = lines.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k", "line")).alias("first"), F.count("*").alias("n"))
-    near = common.sized(common.cut(near_lines(docs, lines)), 64)
+def lost_lines(docs: DataFrame, near_words: int) -> DataFrame:
+    """(doc_id, k, lost): for documents that lose lines, the places of those, from 0. Lines that nothing repeats are never moved."""
+    lines = common.cut(line_table(docs, near_words))
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k", "line")).alias("first"), F.count("*").alias("n"))
+    near = common.sized(common.cut(near_lines(docs, lines, near_words)), 64)
     marked = common.cut(first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", "first", "near"))
-    gone = lines.select("doc_id", "k", "line", "h1", "h2").join(common.sized(marked, 80), ["h1", "h2"], "left")
-    here = F.struct("doc_id", "k", "line")
-    keep = F.col("first").isNull() | (F.col("near").isNull() & here.eqNullSafe(F.col("first")))
-    flags = gone.select("doc_id", "k", F.struct("line", keep.alias("keep")).alias("f")).groupBy("doc_id", "k")
-    flags = flags.agg(F.array_sort(F.collect_set("f")).alias("f")).select("doc_id", "k", F.col("f.keep").alias("flags"))
-    return flags.filter(F.exists("flags", lambda f: ~f))
+    found = lines.select("doc_id", "k", "line", "h1", "h2").join(common.sized(marked, 80), ["h1", "h2"])
+    lost = found.filter(F.col("near").isNotNull() | ~F.struct("doc_id", "k", "line").eqNullSafe(F.col("first")))
+    return lost.groupBy("doc_id", "k").agg(F.collect_set("line").alias("lost"))
 
 
-def dedup_rows(docs: DataFrame) -> DataFrame:
+def dedup_rows(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """(row, doc_id, text, n_lines, n_removed): each input row in a struct, and its text without the lines that go.
 
-    Lines end at line feeds; lines of fewer than LEAST_WORDS words and LEAST_BYTES bytes always stay. A null text has no lines and stays
+    Lines end at line feeds; blank lines always stay. A null text has no lines and stays
     null; rows with equal id and text count as one document and keep the same lines; null ids come first.
     """
-    rows, flags = keyed(docs), kept_flags(docs)
-    on = rows.doc_id.eqNullSafe(flags.doc_id) & (rows.k == flags.k)
-    joined = rows.join(flags, on, "left").select(rows.row, rows.doc_id, rows.text, flags.flags)
+    rows, lost = keyed(docs), lost_lines(docs, near_words)
+    on = rows.doc_id.eqNullSafe(lost.doc_id) & (rows.k == lost.k)
+    joined = rows.join(lost, on, "left").select(rows.row, rows.doc_id, rows.text, lost.lost)
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda _, i: F.get("flags", i))
-    n, kept = F.coalesce(F.size(lines), F.lit(0)), F.size(F.filter("flags", lambda f: f))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
     return joined.select(
         "row",
         "doc_id",
-        F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
-        F.when(F.col("flags").isNull(), 0).otherwise(F.size("flags") - kept).cast("long").alias("n_removed"),
+        F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_removed"),
     )
 
 
-def line_digest(docs: DataFrame) -> DataFrame:
+def line_digest(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, kept_sha256 (of the text that is left; a null text counts as empty)."""
-    return dedup_rows(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_rows(docs, near_words).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with their texts less the lines that go; documents that lose every line with a word go too. Columns unchanged, but n_chars, if there is one, follows the text."""
-    rows = dedup_rows(docs).filter((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    rows = dedup_rows(docs, near_words).filter((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return rows.select(*[changed[c].alias(c) if c in changed and c in docs.columns else F.col("row")[c].alias(c) for c in docs.columns])
+    return rows.select(*[changed[c].alias(c) if c in changed and c in docs.columns else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
@@ -175,7 +172,7 @@ with line as (
   select doc_id, i, l, trim(lower(l)) as s, len(string_split(trim(lower(l)), ' ')) as n
   from (select doc_id, string_split(text, chr(10)) as ls from documents), unnest(ls) with ordinality as t(l, i)
 ), first as (
-  select s, n, string_split(s, ' ') as w, min({'d': doc_id, 'i': i}) as f from line where n >= 3 group by s, n
+  select s, n, string_split(s, ' ') as w, min({'d': doc_id, 'i': i}) as f from line where s <> '' group by s, n
 ), gone as (
   select s, w, n, f, p, array_to_string(list_concat(w[1 : p - 1], w[p + 1 :]), ' ') as v from first, unnest(range(1, n + 1)) as t(p) where n >= 8
 ), near as (
@@ -184,7 +181,7 @@ with line as (
   union select b.s from gone a join first b on a.v = b.s and b.n >= 8 and a.f < b.f
 ), mark as (
   select doc_id, line.i, l, f is null or (f.d = doc_id and f.i = line.i and line.s not in (select s from near)) as keep
-  from line left join first on line.s = first.s and line.n >= 3
+  from line left join first on line.s = first.s
 )
 select d.doc_id, count(m.i) as n_lines, count(m.i) filter (not keep) as n_removed,
   sha256(coalesce(string_agg(l, chr(10) order by m.i) filter (keep), '')) as kept_sha256

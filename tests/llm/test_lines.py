@@ -19,7 +19,7 @@ def brute(docs):
     for doc_id, text in docs:
         for i, l in enumerate(text.split("\n") if text is not None else []):
             w = l.lower().strip(" ").split(" ")
-            if len(w) >= 3:
+            if w != [""]:
                 seen.append(((doc_id, i), w))
     first = {}
     for at, w in sorted(seen):
@@ -28,7 +28,7 @@ def brute(docs):
     out = []
     for doc_id, text in docs:
         ls = text.split("\n") if text is not None else []
-        kept = [l for i, l in enumerate(ls) for w in [tuple(l.lower().strip(" ").split(" "))] if len(w) < 3 or (first[w] == (doc_id, i) and w not in near)]
+        kept = [l for i, l in enumerate(ls) for w in [tuple(l.lower().strip(" ").split(" "))] if w == ("",) or (first[w] == (doc_id, i) and w not in near)]
         out.append((doc_id, len(ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out)
 
@@ -64,6 +64,20 @@ def test_odd_rows(spark):
     assert lines.line_digest(docs.limit(0)).count() == 0
 
 
+def test_bound_is_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "one two three 4"), (3, "one 2 3 4"), (4, "}"), (5, "}\n\n")], "doc_id long, text string")
+    removed = lambda n: {r["doc_id"]: r["n_removed"] for r in lines.line_digest(docs, n).collect()}
+    assert removed(4) == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+    assert removed(5) == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "row", "k", "lost", "line", "h1", "h2", "first", "near", "a.b"]
+    docs = spark.createDataFrame([(1, "same line\nx", *"abcdefghi"), (2, "same line\ny", *"abcdefghi")], names)
+    out = lines.dedup_lines(docs)
+    assert out.columns == names and sorted(r["text"] for r in out.collect()) == ["same line\nx", "y"]
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = lines.line_digest(docs)._jdf.queryExecution().executedPlan().toString()
