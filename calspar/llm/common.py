@@ -15,11 +15,13 @@ BATCH_ROWS, BATCH_BYTES = 4096, 32 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
+    """The shared folder that the cluster names; a temporary one only in local mode, as in tests."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not context.master.startswith("local") and not context._jsc.sc().getCheckpointDir().isDefined():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="calspar-"))
     return context._jsc.sc().getCheckpointDir().get()
@@ -40,6 +42,12 @@ def sized(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Dat
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of a store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
