@@ -158,6 +158,21 @@ def group_schedules(groups: DataFrame, locations: DataFrame) -> DataFrame:
     return groups.join(places, "kaimai_hash", "left").withColumn("location_count", F.coalesce("location_count", F.lit(0)))
 
 
+def group_links(links: DataFrame, streams: DataFrame) -> DataFrame:
+    """Every linked group's stream."""
+    held = streams.select("id", "waste_type", "dates_hash", "date_count", "calendar_id")
+    return links.join(held, F.col("calendar_stream_id") == F.col("id")).drop("calendar_stream_id")
+
+
+def schedule_json(groups: DataFrame, locations: DataFrame) -> DataFrame:
+    """(id, body): every group with its dates and locations as JSON text, nulls written out."""
+    place = F.struct("id", *PLACE, "street", "house_numbers")
+    places = locations.groupBy("kaimai_hash").agg(F.array_sort(F.collect_list(place)).alias("locations"))
+    kind = places.schema["locations"].dataType
+    body = F.struct(F.col("id").alias("schedule_group_id"), "waste_type", "dates", F.coalesce("locations", F.array().cast(kind)).alias("locations"))
+    return groups.join(places, "kaimai_hash", "left").select("id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
+
+
 def group_schedule(groups: DataFrame, locations: DataFrame, group_id: str, waste_type: str) -> DataFrame:
     """One group's schedule as a row with `error`: null, or why there is none."""
     own = group_schedules(groups.filter(F.col("id") == group_id), locations)

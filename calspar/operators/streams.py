@@ -98,6 +98,18 @@ def orphan_calendars(external: DataFrame, streams: DataFrame) -> DataFrame:
     return external.join(streams.filter("calendar_id is not null").select("calendar_id"), "calendar_id", "left_anti")
 
 
+def available_calendars(external: DataFrame, markers: list[str]) -> DataFrame:
+    """External calendars whose summary holds every marker."""
+    for m in markers:
+        external = external.filter(F.col("summary").contains(m))
+    return external
+
+
+def subscriptions(streams: DataFrame, prefix: str) -> DataFrame:
+    """Streams that have a calendar, with the link to subscribe to it."""
+    return streams.filter("calendar_id is not null").withColumn("link", F.concat(F.lit(prefix), "calendar_id"))
+
+
 def representative_district(streams: DataFrame, links: DataFrame, groups: DataFrame, locations: DataFrame) -> DataFrame:
     """Per stream the first district among its groups' locations, for the calendar's name."""
     own = links.join(groups.select(F.col("id").alias("schedule_group_id"), "kaimai_hash"), "schedule_group_id").join(locations.select("kaimai_hash", "seniunija"), "kaimai_hash")

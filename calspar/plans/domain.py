@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: View name -> SQL. SHA(...), TEXT, DATES(...) and HASHED(...) stand for what the two engines write differently.
@@ -43,33 +45,91 @@ from v_groups where substr(dates_hash, 3, 1) <> '7'""",
     "v_existing": """
 select user_id as stream, cast(ts as date) as d, case when max(case when event_type = 'error' then 1 else 0 end) = 1 then 'error' else 'created' end as status
 from events where event_type in ('click', 'error') group by user_id, cast(ts as date)""",
+    # what arrives: sheets of months by rows, parses of cells by a model, logs of fetches, tables of pages
+    "v_days": """select distinct o_custkey as k, month(o_orderdate) as m, day(o_orderdate) as n from orders where month(o_orderdate) <= 6""",
+    "v_filled": """select k, m, DAYLIST(n) as txt from v_days group by k, m""",
+    "v_paper": """
+select concat('f', cast(floor(c_custkey / 50) as integer)) as file, c_custkey as row_no, case c_custkey % 4 when 0 then n_name when 1 then '' when 2 then '  ' else null end as seniunija,
+  case c_custkey % 8 when 0 then concat('Vieta', c_custkey % 997) when 1 then concat(' Vieta', c_custkey % 997, ' (Aukso g., Beržo al.)') when 2 then concat('Vieta', c_custkey % 997, ' (Aukso g. nuo 1 iki 9)')
+  when 3 then '   ' when 5 then concat('Vieta', c_custkey % 997, ', Aukso g.') when 6 then concat('Vieta', c_custkey % 997, ' (Ievų g., Liepų g. (nuo Nr. 2 iki 8), Klevų skg.)')
+  when 7 then concat('Vieta', c_custkey % 997, ' (Uosių g. 5, 7)') else null end as kaimai,
+  max(case when m = 1 then txt end) as m1, max(case when m = 2 then txt end) as m2, max(case when m = 3 then txt end) as m3, max(case when m = 4 then txt end) as m4, max(case when m = 5 then txt end) as m5, max(case when m = 6 then txt end) as m6
+from customer join nation on c_nationkey = n_nationkey left join v_filled on k = c_custkey group by c_custkey, n_name""",
+    "v_parses": """
+select substr(SHA(trim(kaimai)), 1, 16) as key, max(case row_no % 997 % 5
+  when 0 then concat('{"village": "Vieta', row_no % 997, '", "streets": [{"street": "Aukso g.", "house_numbers": "nuo 1 iki 9"}]}')
+  when 1 then concat('```json\n{"village": " Vieta', row_no % 997, '", "streets": [{"street": "Aukso g. ", "house_numbers": "1 iki 9"}]}\n```')
+  when 2 then '{"village": " ", "streets": []}'
+  when 3 then concat('[{"village": "Vieta', row_no % 997, '", "streets": []}]')
+  else concat('{"village": "Vieta', row_no % 997, '", "streets": [{"street": "Aukso g.", "house_numbers": "x"}]}') end) as parsed_result
+from v_paper where row_no % 8 in (2, 5, 6, 7) and row_no % 11 <> 0 group by trim(kaimai)""",
+    "v_arrived": """
+select c_custkey as item, case c_custkey % 11 when 0 then '' when 1 then ' ' else n_name end as seniunija,
+  case c_custkey % 7 when 0 then '' when 1 then 'Vieta (Aukso g.' when 2 then 'Aukso g. Beržo g.' when 3 then 'Vieta, Aukso g.' when 4 then '(Vieta, Aukso g' else 'Vieta' end as village,
+  case when c_custkey % 13 = 0 then null else '' end as street, o.dates
+from customer join nation on c_nationkey = n_nationkey left join (select k, DATES(d) as dates from (select distinct o_custkey as k, cast(o_orderdate as date) as d from orders) x group by k) o on o.k = c_custkey""",
+    "v_log": """
+select event_id as id, case when event_type in ('view', 'click') then 'xlsx' else 'pdf' end as kind, concat('u', user_id) as source_url, case when event_id % 3 = 0 then null else concat('e', event_id % 2) end as etag,
+  cast(cast(ts as date) as TEXT) as last_modified, event_id % 5 as content_length, concat('h', event_id % 4) as content_hash, case event_id % 4 when 0 then 'failed' when 1 then 'seeded' else 'success' end as status, ts as created_at
+from events""",
+    "v_offered": """
+select kind, source_url, case when count(*) % 3 = 0 then '' else concat('e', count(*) % 2) end as etag, max(last_modified) as last_modified, max(id) % 5 as content_length, concat('h', count(*) % 4) as content_hash
+from v_log group by kind, source_url""",
+    "v_named": """
+select 'village' as category, n_name as source_value, concat(n_name, ' k.') as target_value, 'rule' as mapping_method from nation where n_nationkey % 2 = 0
+union all select 'seniunija', r_name, lower(r_name), 'rule' from region where r_regionkey % 2 = 1
+union all select 'street', 'BUILDING', 'Building g.', 'model' from region where r_regionkey = 0""",
+    "v_outside": """
+select concat('cal_', dates_hash) as calendar_id, concat('Atliekos - ', waste_type, case when substr(dates_hash, 1, 1) < '8' then ' - grafikas' else '' end) as summary from v_groups group by dates_hash, waste_type""",
+    "v_changed": """
+select id, waste_type, kaimai_hash, case when substr(id, 5, 1) < '4' then substr(SHA(cast(first_date as TEXT)), 1, 16) else dates_hash end as dates_hash,
+  case when substr(id, 5, 1) < '4' then LISTOF(first_date) else dates end as dates, first_date, case when substr(id, 5, 1) < '4' then first_date else last_date end as last_date, case when substr(id, 5, 1) < '4' then 1 else date_count end as date_count
+from v_groups""",
+    "v_pages": """
+select doc, concat('<p>Grafikas</p><table><tr><th>Seniūnijos pavadinimas</th><th>Atliekos</th><th>Sausio</th><th>Vasario</th><th>Kovo</th></tr>', JOINEDX, '</table>') as html from (
+select cast(floor(c_custkey / 20) as integer) as doc, c_custkey as k, concat(
+  case c_custkey % 20 when 7 then '<tr><th>Seniūnijos<br>pavadinimas</th><th>Atliekos</th><th>Sausio</th><th>Vasario</th><th>Kovo</th></tr>'
+  when 13 then '<tr><th>Gyvenvietės pavadinimas</th><th rowspan="2">Atliekos</th><th colspan="3"></th></tr><tr><td></td><td>Sausio</td><td>Vasario</td><td>Kovo</td></tr>' else '' end,
+  '<tr><td> ', n_name, ' k. ', c_custkey, '</td><td>', case c_custkey % 3 when 0 then 'Pakuotė' when 1 then 'Stiklas' else '' end, '</td><td>', coalesce(max(case when m = 1 then txt end), ''), '</td><td>',
+  coalesce(max(case when m = 2 then txt end), ''), '</td><td>', coalesce(max(case when m = 3 then txt end), ''), '</td></tr>', case c_custkey % 20 when 19 then '<tr><td colspan="5">Parengė : skyrius</td></tr>' else '' end) as x
+from customer join nation on c_nationkey = n_nationkey left join v_filled on k = c_custkey group by c_custkey, n_name) t group by doc""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 def spark_sql(sql: str) -> str:
-    return sql.replace("SHA(", "sha2x(").replace("TEXT", "string").replace("DATES(d)", "array_sort(collect_list(d))").replace("ISO(d)", "array_join(array_sort(collect_list(cast(d as string))), ',')")
+    return sql.replace("SHA(", "sha2x(").replace("TEXT", "string").replace("DATES(d)", "array_sort(collect_list(d))").replace("ISO(d)", "array_join(array_sort(collect_list(cast(d as string))), ',')").replace("DAYLIST(n)", "array_join(transform(array_sort(collect_list(n)), v -> concat(v, ' d.')), ', ')").replace("LISTOF(", "array(").replace("JOINEDX", "array_join(transform(array_sort(collect_list(struct(k, x))), s -> s.x), '')")
 
 
 def duck_sql(sql: str) -> str:
-    return sql.replace("SHA(", "sha256(").replace("TEXT", "varchar").replace("DATES(d)", "list(d order by d)").replace("ISO(d)", "string_agg(cast(d as varchar), ',' order by d)")
+    return sql.replace("SHA(", "sha256(").replace("TEXT", "varchar").replace("DATES(d)", "list(d order by d)").replace("ISO(d)", "string_agg(cast(d as varchar), ',' order by d)").replace("DAYLIST(n)", "string_agg(concat(n, ' d.'), ', ' order by n)").replace("LISTOF(", "list_value(").replace("JOINEDX", "string_agg(x, '' order by k)")
+
+
+class Views(dict):
+    """Tables and views of a folder by name, each planned once, when it is first asked for."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
 
-def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    def __missing__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        else:
+            body = spark_sql(VIEWS[name]).replace("{", "{{").replace("}", "}}")
+            used = {k: self[k] for k in (*TABLES, *VIEWS) if re.search(rf"\b(from|join) {k}\b", body)}
+            self[name] = self.spark.sql(with_bits(body, used), **used)
+        return self[name]
+
+
+def views(spark: SparkSession, sf_dir: str) -> Views:
     """The views as DataFrames; nothing is registered, so queries over different folders don't meet."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    for name, sql in VIEWS.items():
-        body = spark_sql(sql)
-        used = {k: v for k, v in frames.items() if k in body}
-        frames[name] = spark.sql(with_bits(body, used), **used)
-    return frames
+    return Views(spark, sf_dir)
 
 
 def with_bits(body: str, used: dict) -> str:
     """Writes sha2x(x) as sha2(x, 256), and table names as parameters of the statement."""
-    import re
-
     out, i = [], 0
     while (at := body.find("sha2x(", i)) >= 0:
         out.append(body[i:at] + "sha2(")

@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from calspar.plans import registry
+from calspar.plans import arrivals, registry
+
+QUERIES, ORACLES = registry.queries() | arrivals.queries(), registry.oracle_sql() | arrivals.oracle_sql()
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,10 +18,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    got = registry.queries()[name](spark, DATA).toArrow()
-    want = duck.execute(registry.oracle_sql()[name]).to_arrow_table()
+    got = QUERIES[name](spark, DATA).toArrow()
+    want = duck.execute(ORACLES[name]).to_arrow_table()
     names = sorted(got.column_names)
     assert names == sorted(want.column_names)
 
