@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text
+from . import store, streams
 
 # What messages of a failed check hold if they forbid a write.
 CRITICAL = ["no locations", "empty seniunija", "empty village", "invalid village format", "missing required"]
@@ -125,3 +126,35 @@ def source_plan(heads: DataFrame, log: DataFrame, force: bool = False) -> DataFr
     joined = heads.withColumn("new", F.struct("etag", "last_modified", "content_length")).join(last, ["kind", "source_url"], "left").join(seen, ["kind", "source_url", "content_hash"], "left")
     action = F.when(F.lit(force), "fetch").when(F.col("old").isNotNull() & same_head("old", "new"), "unchanged").when(F.col("seen"), "parsed").otherwise("fetch")
     return joined.select("kind", "source_url", action.alias("action"))
+
+
+def write_schedules(versions: store.Versions, rows: DataFrame, waste_type: str, now: Column, source: str) -> bool:
+    """Takes schedule rows into the tables groups, locations, streams and links, and logs the fetch, as one version.
+
+    rows (seniunija, village, street, house_numbers, dates, kaimai_str). If a row has a critical issue, or there is no
+    row, only the log gets a line. The tables of the current version must exist. False: nothing but the log was written.
+    """
+    held = {t: versions.read(t) for t in ("groups", "locations", "streams", "links", "fetches")}
+    found = issues(rows.withColumn("_key", ids.location_hash(F.col("kaimai_str"))), "_key").filter("critical")
+    failed = rows.isEmpty() or not found.isEmpty()
+    line = rows.sparkSession.createDataFrame([(source, "validation_error" if failed else "success")], "source string, status string").withColumn("created_at", now)
+    log = held["fetches"].unionByName(line)
+    if failed:
+        versions.commit({**held, "fetches": log})
+        return False
+    keyed = rows.withColumn("kaimai_hash", ids.location_hash(F.col("kaimai_str")))
+    each = keyed.groupBy("kaimai_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("dates")))).alias("dates"))
+    each = each.select(
+        ids.group_id(F.lit(waste_type), F.col("kaimai_hash")).alias("id"), "kaimai_hash", F.lit(waste_type).alias("waste_type"), "dates", ids.dates_hash(F.col("dates")).alias("dates_hash"),
+        F.array_min("dates").alias("first_date"), F.array_max("dates").alias("last_date"), F.size("dates").cast("long").alias("date_count"),
+    )
+    groups = store.upsert_groups(held["groups"], each, now)
+    place = ["seniunija", "village", "street", "house_numbers"]
+    new = store.latest(keyed.select(*place, "kaimai_hash"), place, ["kaimai_hash"]).withColumn("updated_at", now)
+    locations = store.upsert(held["locations"], new, place)
+    after, links = streams.reconcile(held["streams"], held["links"], groups, now)
+    unlinked = each.join(links.select(F.col("schedule_group_id").alias("id")), "id", "left_anti").select(F.col("id").alias("schedule_group_id"), *streams.PATTERN, "dates")
+    after, placed = streams.find_or_create(after, unlinked, now)
+    links = links.unionByName(placed.filter("stream_id is not null").select("schedule_group_id", F.col("stream_id").alias("calendar_stream_id")))
+    versions.commit({"groups": groups, "locations": locations, "streams": after, "links": links, "fetches": log})
+    return True

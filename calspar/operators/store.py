@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,10 +44,12 @@ def upsert_groups(target: DataFrame, source: DataFrame, now: Column) -> DataFram
 
 
 def surrogate_ids(rows: DataFrame, keys: list[str], first: int = 1) -> DataFrame:
-    """Dense ids in key order, found in two passes: counts of range partitions, then numbers within each."""
-    spread = rows.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    from pyspark.sql import Window
+    """Dense ids in key order, found in two passes: counts of range partitions, then numbers within each.
 
+    The partition's number is written down once, in a checkpoint, as both passes must see the same one.
+    """
+    spread = rows.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_p", F.spark_partition_id())
+    spread = spread.checkpoint()
     counts = spread.groupBy("_p").agg(F.count("*").alias("_n"))
     bases = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     numbered = spread.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
@@ -76,9 +77,10 @@ def set_value(table: DataFrame, key: str, value, **changes: Column) -> tuple[Dat
 
 
 class Versions:
-    """Several tables that change together: each commit writes a new folder, then moves one pointer file.
+    """Several tables that change together: each commit writes a new folder, then a small file COMMITTED-<number>.
 
-    A reader sees the folder of the pointer; a failed commit leaves it as it was.
+    A reader sees the folder of the highest number. Such a file is made at once or not at all and never overwritten, so
+    a commit that fails or is cut off at any point leaves what readers see as it was.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -88,16 +90,16 @@ class Versions:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def current(self) -> int:
-        pointer = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(pointer):
+        if not self._fs.exists(self._path(self.root)):
             return 0
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first()[0])["version"]
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return max([int(n.removeprefix("COMMITTED-")) for n in names if n.startswith("COMMITTED-")], default=0)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/v{self.current()}/{name}")
 
     def commit(self, tables: dict[str, DataFrame], check: Callable[[str], None] | None = None) -> int:
-        """Writes all tables, runs `check` on the new folder, then points at it; if anything fails the folder goes."""
+        """Writes all tables, runs `check` on the new folder, then marks it as committed; if anything fails the folder goes."""
         version = self.current() + 1
         folder = f"{self.root}/v{version}"
         try:
@@ -108,11 +110,8 @@ class Versions:
         except Exception:
             self._fs.delete(self._path(folder), True)
             raise
-        out = self._fs.create(self._path(f"{self.root}/CURRENT.next"), True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        self._fs.delete(self._path(f"{self.root}/CURRENT"), False)
-        self._fs.rename(self._path(f"{self.root}/CURRENT.next"), self._path(f"{self.root}/CURRENT"))
+        if not self._fs.createNewFile(self._path(f"{self.root}/COMMITTED-{version}")):
+            raise RuntimeError(f"version {version} was committed by another writer")
         return version
 
 
