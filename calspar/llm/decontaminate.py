@@ -1,30 +1,31 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-A window is a run of WINDOW consecutive words of an item (a shorter item is one window). Words are ordered by
-rarity, counted over all documents; to hold a window whole, a document must hold the window's rarest word, so that
-word alone is the necessary prefix which windows and documents are joined on. A match gives the place where the
-window would lie; places that leave the document are out by length and position, and the rest is verified word by
-word over the window's own span.
+A window is a run of WINDOW consecutive words of an item (a shorter item is one window). Its shingles, runs of SHINGLE
+words, are ordered by rarity, counted over all documents; to hold a window, a document must hold all its shingles, so
+a window with a shingle that no document has is out, and the rarest shingle of each other one is the necessary prefix
+on which windows and documents are joined. A match gives the place where the window would lie; places that leave the
+document are out by length and position, and the rest is verified word by word over the window's own span.
+
+Neither windows nor items reach the driver. What is sent to the tasks is a table of bits of a fixed size that tells
+which shingles may be those of a window; the join then finds out.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .wordhash import FIRST, SECOND, Words, mixed
 
-WINDOW = 10
-#: Windows that are joined with all documents at a time: what is sent to the tasks has this bound, and a larger
-#: benchmark takes several passes over the documents.
-BLOCK_WINDOWS = 200_000
-#: Vocabulary words that are counted over all documents at a time.
-BLOCK_WORDS = 500_000
+WINDOW, SHINGLE = 10, 3
+#: The table of bits has 2 ** TABLE_BITS of them, 8 MB; with more shingles than that it lets more rows through to the join.
+TABLE_BITS = 26
+SLICE = 2 << 20
 
 # Lower-case a-z, digits and bytes of characters beyond ASCII are of words; every other byte separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -41,80 +42,131 @@ def windows_of(item: list[bytes], length: int = WINDOW) -> list[tuple[bytes, ...
     return [tuple(item[k : k + length]) for k in range(max(1, len(item) - length + 1))]
 
 
+def shingles(own: Words, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words from each word on; those that leave their text are of no use."""
+    h = np.zeros(own.n, np.uint64)
+    for k in range(min(size, own.n)):
+        h[: own.n - k] = h[: own.n - k] * FIRST + own.hash[k:]
+    return mixed(h ^ (np.uint64(size) * SECOND))
+
+
 def window_table(benchmark: DataFrame, length: int) -> DataFrame:
-    """Distinct windows of all items: window (its words joined by a space), with its items."""
-    schema = pa.schema([("item_id", pa.string()), ("window", pa.binary())])
+    """(item_id, words, shingles): every distinct window of every item, with its shingles in order."""
+    schema = pa.schema([("item_id", pa.string()), ("words", pa.list_(pa.string())), ("shingles", pa.list_(pa.int64()))])
 
     def work(item_id, text):
-        for w in set(windows_of(words(text), length)):
-            yield item_id, b" ".join(w)
+        item = words(text)
+        if not item:
+            return
+        n = min(length, len(item))
+        size = min(SHINGLE, n)
+        h = shingles(Words([b" ".join(item)]), size).view(np.int64).tolist()
+        seen = set()
+        for k, w in enumerate(windows_of(item, length)):
+            if w not in seen:
+                seen.add(w)
+                yield item_id, [x.decode() for x in w], h[k : k + n - size + 1]
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(common.by_rows(work, schema), "item_id string, window binary")
+    return rows.mapInArrow(common.by_rows(work, schema), "item_id string, words array<string>, shingles array<long>")
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """Bytes of 2 ** TABLE_BITS bits, with those of a column `shingle` set."""
+    slot = F.shiftrightunsigned("shingle", 64 - TABLE_BITS)
+    blocks = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("block")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(shingle, {64 - TABLE_BITS}) & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    table[blocks["block"].to_numpy()] = blocks["bits"].to_numpy()
+    return table
+
+
+def listed(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h >> np.uint64(64 - (64 * len(table)).bit_length() + 1)
+    return (table[(slot >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], Words]]:
+    for whole in batches:
+        for batch in common.slices(whole, column, SLICE):
+            texts = [(t or b"").translate(WORD_BYTES) for t in batch.column(column).to_pylist()]
+            yield batch, texts, Words(texts)
+
+
+def shingle_counts(texts: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """(shingle, n): how often each wanted shingle stands in the texts; those that stand nowhere don't appear."""
+    sent = texts.sparkSession.sparkContext.broadcast(bit_table(wanted))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, own in sliced(batches, 0):
+            left = own.left()
+            for size in sizes:
+                h = shingles(own, size)[left >= size]
+                found, n = np.unique(h[listed(sent.value, h)], return_counts=True)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+    counts = texts.select("text").mapInArrow(work, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return counts.join(wanted, "shingle", "left_semi")
+
+
+def prefix_table(texts: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(shingle, place, words): each window that may occur, by its rarest shingle and that shingle's place in it."""
+    each = windows.select("words", F.posexplode("shingles").alias("place", "shingle"))
+    counts = shingle_counts(texts, each.select("shingle").distinct(), sizes)
+    known = each.join(counts, "shingle", "left")
+    best = known.groupBy("words").agg(F.min(F.struct("n", "shingle", "place")).alias("b"), F.count_if(F.col("n").isNull()).alias("absent"))
+    return best.filter("absent = 0").select("b.shingle", "b.place", "words")
+
+
+CANDIDATE = pa.struct([("pos", pa.int32()), ("shingle", pa.int64()), ("at", pa.int32()), ("near", pa.list_(pa.string()))])
 
 
-def word_counts(texts: DataFrame, vocabulary: list[bytes]) -> dict[bytes, int]:
-    """In how many documents each word occurs, over all documents."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-    sent = texts.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def candidates(texts: DataFrame, prefixes: DataFrame, sizes: list[int], length: int) -> DataFrame:
+    """(doc_id, k1, k2, n_words, found): for every row, the places of shingles that may be prefixes, each with the words around it that a window could cover."""
+    sent = texts.sparkSession.sparkContext.broadcast(bit_table(prefixes.select("shingle")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, counts = sent.value, Counter()
-        for batch in batches:
-            for text in batch.column(1):
-                counts.update(wanted.intersection(words(text.as_py())))
-        if counts:
-            yield common.as_batch(list(counts.items()), schema)
-
-    found = texts.mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in found.collect()}
-
-
-class Index:
-    """Windows by their rarest word: word -> [(place of the word in the window, window's number)]."""
-
-    def __init__(self, windows: list[bytes], counts: dict[bytes, int]):
-        self.windows = [tuple(w.split()) for w in windows]
-        self.by_word: dict[bytes, list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.windows):
-            rarest = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-            self.by_word.setdefault(w[rarest], []).append((rarest, k))
-        self.words = frozenset(self.by_word)
-
-    def find(self, doc: list[bytes]) -> list[tuple[int, int]]:
-        """(start, window's number) of each occurrence in a document."""
-        if self.words.isdisjoint(doc):
-            return []
-        out = []
-        for at, word in enumerate(doc):
-            for place, k in self.by_word.get(word, ()) if word in self.words else ():
-                window, start = self.windows[k], at - place
-                if start >= 0 and start + len(window) <= len(doc) and tuple(doc[start : start + len(window)]) == window:
-                    out.append((start, k))
-        return out
-
-
-def matches(texts: DataFrame, index: Index) -> DataFrame:
-    """(row, n_words, starts, lengths, windows): one row per document, its occurrences as arrays."""
-    schema = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("windows", pa.list_(pa.int32()))])
-    sent = texts.sparkSession.sparkContext.broadcast(index)
-
-    def work(row, text):
-        own = sent.value
-        doc = words(text)
-        found = own.find(doc)
-        yield row, len(doc), [s for s, _ in found], [len(own.windows[k]) for _, k in found], [k for _, k in found]
-
-    return texts.mapInArrow(common.by_rows(work, schema), "row long, n_words long, starts array<long>, lengths array<int>, windows array<int>")
-
-
-def hit_words(starts: list[int], lengths: list[int]) -> int:
-    """How many words the spans cover."""
-    covered, end = 0, 0
-    for a, n in sorted(zip(starts, lengths)):
-        covered += max(0, a + n - max(a, end))
-        end = max(end, a + n)
-    return covered
+        for batch, texts, own in sliced(batches, 3):
+            found: list[list | None] = [None] * len(texts)
+            left = own.left()
+            for size in sizes:
+                h = shingles(own, size)
+                hits = np.flatnonzero((left >= size) & listed(sent.value, h))
+                owners = np.searchsorted(own.bounds, hits, side="right") - 1
+                docs, firsts = np.unique(owners, return_index=True)
+                for doc, a, b in zip(docs.tolist(), firsts, [*firsts[1:], len(hits)]):
+                    split, start = texts[doc].split(), int(own.bounds[doc])
+                    for at in hits[a:b].tolist():
+                        a = max(0, at - start - length + 1)
+                        near = [w.decode() for w in split[a : at - start + length]]
+                        found[doc] = found[doc] or []
+                        found[doc].append({"pos": at - start, "shingle": int(h[at].view(np.int64)), "at": at - start - a, "near": near})
+            n = np.diff(own.bounds).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(found, pa.list_(CANDIDATE))], ["doc_id", "k1", "k2", "n_words", "found"])
+
+    rows = texts.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), "text")
+    return rows.mapInArrow(work, "doc_id long, k1 long, k2 long, n_words long, found array<struct<pos: int, shingle: long, at: int, near: array<string>>>")
+
+
+def verified(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(k1, k2, start, words): the occurrences of windows in the texts of these keys, each once."""
+    each = rows.filter("found is not null").select("k1", "k2", F.explode("found").alias("f")).select("k1", "k2", "f.*")
+    met = each.join(common.sized(prefixes, 400), "shingle")
+    first, n = F.col("at") - F.col("place"), F.size("words")
+    inside = (first >= 0) & (first + n <= F.size("near"))
+    same = F.when(inside, F.slice("near", F.when(inside, first + 1).otherwise(1), n) == F.col("words")).otherwise(False)
+    return met.filter(same).select("k1", "k2", (F.col("pos") - F.col("place")).alias("start"), "words").distinct()
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows as `candidates` gives them, occurrences, windows with their items), the first two computed once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    table = common.cut(window_table(benchmark, length))
+    windows = table.select("words", "shingles").distinct()
+    sizes = sorted(r[0] for r in table.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())  # SHINGLE values at most
+    prefixes = common.cut(prefix_table(texts, windows, sizes))
+    rows = common.cut(candidates(texts, prefixes, sizes, length))
+    return rows, common.cut(verified(rows, prefixes)), table
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
@@ -122,97 +174,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -
 
     A null or wordless text has no words; items without words have no windows; null ids and repeated rows stay;
     a null item_id counts as no item, though its windows hit; further columns are ignored. An empty benchmark hits nothing.
+    docs is read twice and must give the same rows both times.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("row"), F.col("text").cast("binary").alias("text"))
-    table = common.cut(window_table(benchmark, length))
-    schema = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())])
-    # window numbers are unbounded only in the number of blocks: each block below is read by itself
-    numbered = table.groupBy("window").agg(F.collect_set("item_id").alias("items"))
-    count = numbered.count()
-    blocks = max(1, -(-count // BLOCK_WINDOWS))
-    if blocks == 1:
-        found = [(bytes(r["window"]), sorted(r["items"])) for r in numbered.collect()]
-        index = indexed(texts, found)
-        names = spark.sparkContext.broadcast([items for _, items in found])
-
-        def work(row, n_words, starts, lengths, windows):
-            items = sorted({i for k in windows for i in names.value[k]})
-            yield row, n_words, hit_words(starts, lengths), len(items), hashlib.sha256(",".join(items).encode()).hexdigest()
-
-        out = matches(texts, index).mapInArrow(common.by_rows(work, schema), "row long, n_words long, n_hit long, n_items long, items_sha256 string")
-        return finished(out)
-    return blocked(docs, numbered, blocks)
-
-
-def indexed(texts: DataFrame, found: list[tuple[bytes, list[str]]]) -> Index:
-    vocabulary = sorted({w for window, _ in found for w in window.split()})
-    counts: dict[bytes, int] = {}
-    for a in range(0, len(vocabulary), BLOCK_WORDS):
-        counts |= word_counts(texts, vocabulary[a : a + BLOCK_WORDS])
-    return Index([w for w, _ in found], counts)
-
-
-def finished(out: DataFrame) -> DataFrame:
-    return out.select(F.col("row").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def blocked(docs: DataFrame, numbered: DataFrame, blocks: int) -> DataFrame:
-    """The same for benchmarks of more than BLOCK_WINDOWS windows: one pass a block, joined by a row number of the documents."""
-    rows = common.cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
-    texts = rows.select("row", "text")
-    block = F.pmod(F.xxhash64("window"), F.lit(blocks))
-    parts = []
-    for b in range(blocks):
-        found = [(bytes(r["window"]), sorted(r["items"])) for r in numbered.filter(block == b).collect()]
-        if not found:
-            continue
-        names = docs.sparkSession.sparkContext.broadcast([items for _, items in found])
-        schema = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-
-        def work(row, n_words, starts, lengths, windows, names=names):
-            spans = [x for s, n in zip(starts, lengths) for x in (s, n)]
-            yield row, n_words, spans, sorted({i for k in windows for i in names.value[k]})
-
-        parts.append(common.cut(matches(texts, indexed(texts, found)).mapInArrow(common.by_rows(work, schema), "row long, n_words long, spans array<long>, items array<string>")))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    merged = whole.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    schema = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())])
-
-    def close(row, n_words, spans, items):
-        yield row, n_words, hit_words(spans[::2], spans[1::2]), len(items), hashlib.sha256(",".join(items).encode()).hexdigest()
-
-    out = merged.mapInArrow(common.by_rows(close, schema), "row long, n_words long, n_hit long, n_items long, items_sha256 string")
-    named = rows.select("row", "doc_id").join(out, "row")
-    return finished(named.select(F.col("doc_id").alias("row"), "n_words", "n_hit", "n_items", "items_sha256"))
+    rows, found, table = occurrences(docs, benchmark, length)
+    # words that spans cover: a span adds what lies beyond the farthest end before it
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.size("words")).alias("end"))))
+    step = lambda acc, s: F.struct((acc["n"] + F.greatest(s["end"] - F.greatest(s["start"], acc["to"]), F.lit(0))).alias("n"), F.greatest(acc["to"], s["end"]).alias("to"))
+    covered = found.groupBy("k1", "k2").agg(spans.alias("spans")).select("k1", "k2", F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step, lambda a: a["n"]).cast("long").alias("n_hit"))
+    owners = table.filter("item_id is not null").select("words", "item_id").distinct()
+    items = found.select("k1", "k2", "words").distinct().join(common.sized(owners, 400), "words").select("k1", "k2", "item_id").distinct()
+    items = items.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    hits = common.cut(covered.join(items, ["k1", "k2"], "left").select("k1", "k2", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256")))
+    out = rows.select("doc_id", "k1", "k2", "n_words").join(common.sized(hits, 160), ["k1", "k2"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
-    """The rows of docs, columns unchanged, in which no window of an item occurs."""
-    table = window_table(benchmark, length).select("window").distinct()
-    table = common.cut(table)
-    blocks = max(1, -(-table.count() // BLOCK_WINDOWS))
-    texts = docs.select(F.lit(0).cast("long").alias("row"), F.col("text").cast("binary").alias("text"))
-    block = F.pmod(F.xxhash64("window"), F.lit(blocks))
-    for b in range(blocks):
-        found = [(bytes(r["window"]), []) for r in table.filter(block == b).collect()]
-        if found:
-            docs = without(docs, indexed(texts, found))
-    return docs
-
-
-def without(docs: DataFrame, index: Index) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-    place = docs.columns.index("text")
+    """The rows of docs, columns unchanged, in which no window of an item occurs.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [not sent.value.find(words(t.encode() if t else None)) for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
-
-    return docs.mapInArrow(work, docs.schema)
+    Null and wordless texts, null ids and repeated rows of clean texts stay; an empty benchmark leaves all rows.
+    """
+    _, found, _ = occurrences(docs, benchmark, length)
+    hit = common.cut(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
+    text = F.col("text").cast("binary")
+    on = (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(text, F.lit(1)) == F.col("_k2"))
+    return docs.join(common.sized(hit, 32), on, "left_anti")
 
 
 ORACLE = r"""
