@@ -207,11 +207,7 @@ def compared_houses(c: Column) -> Column:
 
 def stem(c: Column) -> Column:
     """fold() without the first ending of ENDINGS that it has, if more than one letter is left."""
-    s = fold(c)
-    out = F.when(F.lit(False), s)
-    for e in ENDINGS:
-        out = out.when(s.endswith(e) & (F.length(s) > len(e) + 1), s.substr(F.lit(1), F.length(s) - len(e)))
-    return out.otherwise(s)
+    return F.regexp_replace(fold(c), rf"(?s)^(.{{2,}}?)({'|'.join(ENDINGS)})$", "$1")
 
 
 def like_ascii(c: Column, query: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .store import written
 
 # Words that comparison drops from village, district and street names.
 VILLAGE_WORDS, DISTRICT_WORDS, STREET_WORDS = ["k", "vs", "mstl", "m"], ["sen", "seniunija"], ["g", "al", "akl", "pl", "kel", "tak", "skg", "aklg"]
@@ -31,29 +32,43 @@ def keys(seniunija: Column, village: Column, street: Column, houses: Column, str
     ]
 
 
-def tier_table(locations: DataFrame, tier: str, strict: bool = False) -> DataFrame:
+def tier_table(named: DataFrame, tier: str) -> DataFrame:
     """Per key of a tier its location's hash: the first by id, or only those of a single location."""
-    named = locations.select("id", "kaimai_hash", *keys(F.col("seniunija"), F.col("village"), F.col("street"), F.col("house_numbers"), strict))
     table = named.groupBy(*TIERS[tier]).agg(F.count("*").alias("n"), F.min_by("kaimai_hash", "id").alias(tier))
     return (table.filter("n = 1") if tier in UNIQUE else table).drop("n")
 
 
 def match(rows: DataFrame, locations: DataFrame, strict: bool = False) -> DataFrame:
-    """rows with match_hash and match_method: the first tier that has the row's key. Each tier is one equality join."""
-    out = rows.withColumns(dict(zip(["s", "v", "vs", "st", "h"], keys(F.coalesce("mapped_seniunija", "seniunija"), F.coalesce("mapped_village", "village"), F.coalesce("mapped_street", "street"), F.col("house_numbers"), strict))))
+    """rows with match_hash and match_method: the first tier that has the row's key. Each tier is one equality join.
+
+    Names are put into their compared forms and matched once for each distinct set of them, then joined with the rows.
+    """
+    names = {"_s": F.coalesce("mapped_seniunija", "seniunija"), "_v": F.coalesce("mapped_village", "village"), "_st": F.coalesce("mapped_street", "street"), "_h": F.col("house_numbers")}
+    named = rows.withColumns(names)
+    each = named.select(*names).distinct()
+    each = each.select(*names, *keys(F.col("_s"), F.col("_v"), F.col("_st"), F.col("_h"), strict))
+    places = written(locations.select("id", "kaimai_hash", *keys(F.col("seniunija"), F.col("village"), F.col("street"), F.col("house_numbers"), strict)))
     for tier, on in TIERS.items():
-        out = out.join(tier_table(locations, tier, strict), on, "left")
+        each = each.join(tier_table(places, tier), on, "left")
     method = F.coalesce(*[F.when(F.col(t).isNotNull(), t) for t in TIERS])
-    return out.withColumn("match_hash", F.coalesce(*TIERS)).withColumn("match_method", method).drop(*TIERS, "s", "v", "vs", "st", "h")
+    found = each.select(*[F.col(n).alias(f"{n}2") for n in names], F.coalesce(*TIERS).alias("match_hash"), method.alias("match_method"))
+    same = [F.col(n).eqNullSafe(F.col(f"{n}2")) for n in names]
+    return named.join(found, same).drop(*names, *[f"{n}2" for n in names])
 
 
 def outcome(matched: DataFrame, groups: DataFrame) -> DataFrame:
-    """matched with `outcome`: overlap, conflict or no_match, by its dates and those of the general group of its match."""
-    general = groups.filter("waste_type = 'bendros'").select(F.col("kaimai_hash").alias("match_hash"), F.col("dates").alias("general_dates"))
-    both = matched.join(general, "match_hash", "left")
-    ours, theirs = (F.array_sort(F.array_distinct(c)) for c in (F.col("dates"), F.col("general_dates")))
-    empty = (F.coalesce(F.size("dates"), F.lit(0)) <= 0) | (F.size("general_dates") <= 0)
-    return both.withColumn("outcome", F.when(F.col("general_dates").isNull(), "no_match").when(empty, "empty").when(ours == theirs, "overlap").otherwise("conflict"))
+    """matched with `outcome`: overlap, conflict or no_match, by its dates and those of the general group of its match.
+
+    Sets of dates are compared by a digest, made once for each group.
+    """
+
+    def digest(dates: Column) -> Column:
+        return F.when(F.size(dates) > 0, F.sha2(F.array_join(F.array_sort(F.array_distinct(dates)).cast("array<string>"), ","), 256)).otherwise("")
+
+    general = groups.filter("waste_type = 'bendros'").select(F.col("kaimai_hash").alias("match_hash"), digest(F.col("dates")).alias("_theirs"))
+    both = matched.join(general, "match_hash", "left").withColumn("_ours", F.coalesce(digest(F.col("dates")), F.lit("")))
+    empty = (F.col("_ours") == "") | (F.col("_theirs") == "")
+    return both.withColumn("outcome", F.when(F.col("_theirs").isNull(), "no_match").when(empty, "empty").when(F.col("_ours") == F.col("_theirs"), "overlap").otherwise("conflict")).drop("_ours", "_theirs")
 
 
 def report(results: DataFrame) -> DataFrame:

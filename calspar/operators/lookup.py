@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import store
 
 TYPES = ["bendros", "plastikas", "stiklas"]
 PLACE = ["seniunija", "village"]
@@ -101,11 +102,19 @@ def streetwide(wanted: DataFrame, pdf_rows: DataFrame) -> DataFrame:
     return wanted.select(*PLACE, "street").distinct().join(rows, [*PLACE, "street"]).select(*PLACE, "street", "waste_type")
 
 
+def reduced(pdf_rows: DataFrame) -> DataFrame:
+    """pdf_rows by their effective names, of rows equal in place, street, house numbers and type only the one of the smallest id: all that availability, streetwide and best_rows depend on."""
+    rows = pdf_rows.select("id", effective("seniunija").alias("seniunija"), effective("village").alias("village"), effective_street().alias("street"), F.coalesce("house_numbers", F.lit("")).alias("house_numbers"), "waste_type", "kaimai_hash")
+    key = [*PLACE, "street", "house_numbers", "waste_type"]
+    first = rows.groupBy(*key).agg(F.min(F.struct("id", "kaimai_hash")).alias("r"))
+    none = [F.lit(None).cast("string").alias(f"mapped_{c}") for c in (*PLACE, "street")]
+    return first.select(*key, "r.id", "r.kaimai_hash", *none)
+
+
 def best_rows(wanted: DataFrame, pdf_rows: DataFrame) -> DataFrame:
     """Per selection and waste type its best row: the street before the village, then bucket, all houses, others, then the smallest id."""
-    rows = pdf_rows.select("id", effective("seniunija").alias("seniunija"), effective("village").alias("village"), effective_street().alias("row_street"), F.coalesce("house_numbers", F.lit("")).alias("hn"), "waste_type", "kaimai_hash")
-    # ranks depend on these columns alone: of rows equal in them only the first can be the best
-    rows = rows.groupBy(*PLACE, "row_street", "hn", "waste_type").agg(F.min(F.struct("id", "kaimai_hash")).alias("r")).select(*PLACE, "row_street", "hn", "waste_type", "r.id", "r.kaimai_hash")
+    # ranks depend on place, house numbers and type alone: of rows equal in them only the first can be the best
+    rows = reduced(pdf_rows).select(*PLACE, F.col("street").alias("row_street"), F.col("house_numbers").alias("hn"), "waste_type", "id", "kaimai_hash")
     asked = wanted.withColumn("row_street", F.explode(F.array_distinct(F.array("street", F.lit("")))))
     street_rank = F.when(F.col("row_street") == F.col("street"), 0).otherwise(1)
     bucket_rank = F.when(F.col("hn") == F.col("bucket"), 0).when(all_houses(F.col("hn")), 1).otherwise(2)
@@ -129,6 +138,7 @@ def multi_schedule(wanted: DataFrame, locations: DataFrame, groups: DataFrame, p
     provided that they are available. Dates aren't merged between types.
     """
     key = [*PLACE, "street", "bucket"]
+    pdf_rows = store.written(reduced(pdf_rows))  # read by availability and by best_rows
     given = wanted.withColumn("bucket", F.coalesce("bucket", F.lit("")))
     have = availability(wanted, locations, groups, pdf_rows).withColumn("bucket", F.coalesce("bucket", F.lit("")))
     needs = given.join(street_flags(locations), [*PLACE, "street"], "left").filter(~F.coalesce("has_buckets", F.lit(False)) | (F.col("bucket") != "")).select(*key)

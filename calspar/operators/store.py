@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df computed once into the checkpoint folder that the cluster names, for plans that read it in several places."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="calspar-"))
+    return df.checkpoint()
+
+
 def same_key(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality, so that a null in a key doesn't make every run add its row again."""
     out = F.lit(True)
@@ -49,7 +60,7 @@ def surrogate_ids(rows: DataFrame, keys: list[str], first: int = 1) -> DataFrame
     The partition's number is written down once, in a checkpoint, as both passes must see the same one.
     """
     spread = rows.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_p", F.spark_partition_id())
-    spread = spread.checkpoint()
+    spread = written(spread)
     counts = spread.groupBy("_p").agg(F.count("*").alias("_n"))
     bases = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     numbered = spread.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
