@@ -401,10 +401,10 @@ with recursive word as (
   select doc_id, unnest(list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)])) as s from word where len(w) > 0
 ), size as (
   select doc_id, count(*) as n from shingle group by doc_id
-), both as (
+), pair as (
   select a.doc_id as a, b.doc_id as b, count(*) as i from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
 ), link as (
-  select a, b from both join size x on x.doc_id = a join size y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)
+  select a, b from pair join size x on x.doc_id = a join size y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)
 ), reach(doc_id, c) as (
   select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join link l on r.c = l.a
 )
