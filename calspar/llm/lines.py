@@ -144,13 +144,15 @@ def dedup_rows(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     rows, lost = keyed(docs), lost_lines(docs, near_words)
     on = rows.doc_id.eqNullSafe(lost.doc_id) & (rows.k == lost.k)
     joined = rows.join(lost, on, "left").select(rows.row, rows.doc_id, rows.text, lost.lost)
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
-    return joined.select(
+    # generated, so that the text is split once and not for each line that is taken from it
+    split = joined.select("*", F.explode(F.array(F.when(F.col("lost").isNotNull(), F.split("text", "\n")))).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return split.select(
         "row",
         "doc_id",
-        F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")).alias("text"),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_removed"),
     )
 
