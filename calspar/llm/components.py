@@ -20,8 +20,10 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = common.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("id"), "to"))
         while True:
-            ends = to.select(F.col("id").alias("to"), F.col("to").alias("end"))
-            moved = common.cut(to.join(ends, "to").select("id", F.col("end").alias("new"), (F.col("end") != F.col("to")).alias("moved")))
+            # two steps at a time: a star is done after one look
+            step = to.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            last = to.select(F.col("id").alias("next"), F.col("to").alias("end"))
+            moved = common.cut(to.join(step, "to").join(last, "next").select("id", F.col("end").alias("new"), (F.col("end") != F.col("next")).alias("moved")))
             to = moved.select("id", F.col("new").alias("to"))
             if moved.filter("moved").isEmpty():
                 break

@@ -34,7 +34,7 @@ N, SLICE = 5, 2 << 20
 #: Hash ranges hold about so many shingles each, and there are 2 ** LEAST_BITS of them at least.
 RANGE, LEAST_BITS = 4 << 20, 8
 #: Times more leaders an open list gets each round.
-MORE = 8
+MORE = 64
 #: Ids and shingles are broadcast only up to this many bytes of counted rows: the driver holds several times that.
 SENT_BYTES = 8 << 20
 
@@ -300,8 +300,8 @@ def led_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return both.filter(reachable("o", "e", percent)).select(F.col("o.id").alias("x"), F.col("e.id").alias("y")).distinct()
 
 
-def derived(pairs: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, open pairs) of pairs (x, y), from the overlaps of x and y with common earlier leaders.
+def derived(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """pairs (x, y) with `yes`: whether they are linked by the overlaps of x and y with common earlier leaders; null if these don't decide it.
 
     With o(x) and o(y) shingles of a leader in x and y, l shingles of the leader shared at all, and p and q of x and y,
     the overlap of x and y is at least o(x) + o(y) - l and at most min(o(x), o(y)) + min(p - o(x), q - o(y)).
@@ -312,8 +312,7 @@ def derived(pairs: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame
     low = F.col("ox") + F.col("oy") - F.col("l")
     high = F.least("ox", "oy") + F.least(F.col("p") - F.col("ox"), F.col("q") - F.col("oy"))
     bounds = bounds.groupBy("x", "y").agg(F.max(low).alias("low"), F.min(high).alias("high"), F.first("m").alias("m"), F.first("n").alias("n"))
-    state = common.cut(pairs.join(bounds, ["x", "y"], "left").select("x", "y", F.coalesce(linked(percent, "low"), F.lit(False)).alias("yes"), F.coalesce(~linked(percent, "high"), F.lit(False)).alias("no")))
-    return state.filter("yes").select("x", "y"), state.filter("not yes and not no").select("x", "y")
+    return pairs.join(bounds, ["x", "y"], "left").select("x", "y", F.when(linked(percent, "low"), True).when(~linked(percent, "high"), False).alias("yes"))
 
 
 def relabelled(table: DataFrame, moved: DataFrame) -> DataFrame:
@@ -339,10 +338,9 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
             measured = common.cut(overlaps(pairs, sets))
             links, facts = measured.filter(linked(percent)).select("x", "y"), measured
         else:
-            done = facts.select("x", "y").unionByName(facts.select(F.col("y").alias("x"), F.col("x").alias("y")))
-            sure, unsure = derived(pairs.join(done, ["x", "y"], "left_anti"), facts, percent)
-            measured = common.cut(overlaps(unsure, sets))
-            links, facts = measured.filter(linked(percent)).select("x", "y").unionByName(sure), facts.unionByName(measured)
+            state = common.cut(derived(pairs, facts, percent))
+            measured = common.cut(overlaps(state.filter("yes is null"), sets))
+            links, facts = measured.filter(linked(percent)).select("x", "y").unionByName(state.filter("yes").select("x", "y")), facts.unionByName(measured)
         lists = lists.filter("not leads").drop("leads")
         if not links.isEmpty():
             if found is not None:  # links between the components found so far
