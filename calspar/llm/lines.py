@@ -28,6 +28,8 @@ NEAR_WORDS = 8
 NEAR_BYTES, WORD_BYTES = 48, 16
 #: White space other than the space and the line feed.
 SPACES = r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: What a line has if it isn't blank; found at its first character as a rule.
+VISIBLE = SPACES.replace("[", "[^ ")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -40,9 +42,9 @@ def with_words(docs: DataFrame, near_words: int) -> DataFrame:
 
     words are a line's words or, with a line feed after each, its characters; near: whether it is compared with others than its equals.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k"), F.posexplode(F.split("text", "\n")).alias("line", "raw")).filter(F.col("raw").rlike(VISIBLE))
     rows = rows.select("doc_id", "k", "line", F.trim(F.regexp_replace(F.lower("raw"), SPACES, " ")).alias("norm"))
-    rows = rows.filter("norm <> ''").select("*", F.split("norm", " ").alias("words"), F.octet_length("norm").alias("size"))
+    rows = rows.select("*", F.split("norm", " ").alias("words"), F.octet_length("norm").alias("size"))
     many = F.size("words") >= near_words
     letters = ~many & (F.col("size") >= NEAR_BYTES) & (F.col("size") >= F.size("words") * WORD_BYTES)
     words = F.when(letters, F.transform(F.split("norm", ""), lambda c: F.concat(c, F.lit("\n")))).otherwise(F.col("words"))
@@ -148,12 +150,13 @@ def dedup_rows(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     split = joined.select("*", F.explode(F.array(F.when(F.col("lost").isNotNull(), F.split("text", "\n")))).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     return split.select(
         "row",
         "doc_id",
-        F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")).alias("text"),
         F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_removed"),
+        F.explode(F.array(kept)).alias("text"),  # generated, too: a filter on the text doesn't join its lines again
     )
 
 
