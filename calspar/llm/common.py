@@ -42,6 +42,11 @@ def sized(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Dat
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that stays a shuffled one however small its sides: loops of many small joins would build each right side in the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def deleted(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of a store that Spark reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

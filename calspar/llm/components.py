@@ -23,15 +23,15 @@ def components(links: DataFrame) -> DataFrame:
             # two steps at a time: a star is done after one look
             step = to.select(F.col("id").alias("to"), F.col("to").alias("next"))
             last = to.select(F.col("id").alias("next"), F.col("to").alias("end"))
-            moved = common.cut(to.join(step, "to").join(last, "next").select("id", F.col("end").alias("new"), (F.col("end") != F.col("next")).alias("moved")))
+            moved = common.cut(common.met(common.met(to, step, "to"), last, "next").select("id", F.col("end").alias("new"), (F.col("end") != F.col("next")).alias("moved")))
             to = moved.select("id", F.col("new").alias("to"))
             if moved.filter("moved").isEmpty():
                 break
         if found is None:
             found = to.select("id", F.col("to").alias("component"))
         else:
-            found = common.cut(found.join(to.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+            found = common.cut(common.met(found, to.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
         ends = to.select(F.col("id").alias("a"), F.col("to").alias("x"))
-        links = links.join(ends, "a").select("x", "b").join(ends.toDF("b", "y"), "b").filter("x <> y")
+        links = common.met(common.met(links, ends, "a").select("x", "b"), ends.toDF("b", "y"), "b").filter("x <> y")
         links = common.cut(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return found if found is not None else links.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -258,7 +258,7 @@ def early(percent: int) -> Column:
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (x, y) -> (x, y, m, n, p, q, both): sizes, how many shingles of each are shared with any set, and the size of the intersection."""
     columns = ["id", "size", "own", "set"]
-    sided = pairs.select("x", "y").join(sets.select(columns).toDF("y", "n", "oy", "sy"), "y").join(sets.select(columns).toDF("x", "m", "ox", "sx"), "x")
+    sided = common.met(common.met(pairs.select("x", "y"), sets.select(columns).toDF("y", "n", "oy", "sy"), "y"), sets.select(columns).toDF("x", "m", "ox", "sx"), "x")
     sided = sided.select("x", "y", "m", "n", (F.col("m") - F.col("ox")).alias("p"), (F.col("n") - F.col("oy")).alias("q"), "sx", "sy")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,11 +282,11 @@ def with_leaders(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     per = own.groupBy("shingle").agg(F.count("*").alias("parts"), F.min("best").alias("best"), (F.sum("c") * F.sum("k") - F.sum(F.col("c") * F.col("k"))).alias("open"))
     per = per.filter("open > 0").select("shingle", "parts", F.col("best.id").alias("first"))
     if turn == 0:
-        return lists.join(per, "shingle").withColumn("leads", F.col("id") == F.col("first")).drop("parts", "first")
+        return common.met(lists, per, "shingle").withColumn("leads", F.col("id") == F.col("first")).drop("parts", "first")
     # a component's entries are led by an equal share of the leaders, so an entry that stands alone leads early
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 11) / float(1 << 53)
     leads = draw * F.col("c") * F.col("parts") < float(MORE) ** turn
-    entries = lists.join(own.select("shingle", "component", "c"), ["shingle", "component"]).join(per, "shingle")
+    entries = common.met(common.met(lists, own.select("shingle", "component", "c"), ["shingle", "component"]), per, "shingle")
     return entries.withColumn("leads", leads).drop("c", "parts", "first")
 
 
@@ -295,7 +295,7 @@ def led_pairs(lists: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
     entry = F.struct("id", "size", "at", "component", "leads")
     leaders = lists.filter("leads").select("shingle", entry.alias("e"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    both = lists.select("shingle", entry.alias("o"), band.alias("band")).join(leaders, ["shingle", "band"])
+    both = common.met(lists.select("shingle", entry.alias("o"), band.alias("band")), leaders, ["shingle", "band"])
     both = both.filter("o.component <> e.component and (not o.leads or o.id < e.id)")
     return both.filter(reachable("o", "e", percent)).select(F.col("o.id").alias("x"), F.col("e.id").alias("y")).distinct()
 
@@ -308,24 +308,23 @@ def derived(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """
     to_x = known.select("x", F.col("y").alias("leader"), F.col("both").alias("ox"), F.col("q").alias("l"), "m", "p")
     to_y = known.select(F.col("x").alias("y"), F.col("y").alias("leader"), F.col("both").alias("oy"), F.col("m").alias("n"), F.col("p").alias("q"))
-    bounds = pairs.join(to_x, "x").join(to_y, ["y", "leader"])
+    bounds = common.met(common.met(pairs, to_x, "x"), to_y, ["y", "leader"])
     low = F.col("ox") + F.col("oy") - F.col("l")
     high = F.least("ox", "oy") + F.least(F.col("p") - F.col("ox"), F.col("q") - F.col("oy"))
     bounds = bounds.groupBy("x", "y").agg(F.max(low).alias("low"), F.min(high).alias("high"), F.first("m").alias("m"), F.first("n").alias("n"))
-    return pairs.join(bounds, ["x", "y"], "left").select("x", "y", F.when(linked(percent, "low"), True).when(~linked(percent, "high"), False).alias("yes"))
+    return common.met(pairs, bounds, ["x", "y"], "left").select("x", "y", F.when(linked(percent, "low"), True).when(~linked(percent, "high"), False).alias("yes"))
 
 
 def relabelled(table: DataFrame, moved: DataFrame) -> DataFrame:
     """table with its component replaced by what moved (id, component) says."""
-    to = common.sized(moved.toDF("component", "to"), 16, SENT_BYTES)
-    return table.join(to, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
+    return common.met(table, moved.toDF("component", "to"), "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
 
 
 def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """sets (id, size, own, set) -> (id, component): the components of all links between them, for sets that are linked."""
     once = prefixes(sets, percent)
     shared = once.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max(early(percent)).alias("early")).filter("a < z and early").select("shingle")
-    lists = common.cut(once.join(shared, "shingle", "left_semi").withColumn("component", F.col("id")))
+    lists = common.cut(common.met(once, shared, "shingle", "left_semi").withColumn("component", F.col("id")))
     found: DataFrame | None = None
     facts: DataFrame | None = None
     turn = 0
@@ -345,13 +344,13 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
         if not links.isEmpty():
             if found is not None:  # links between the components found so far
                 for side in ("x", "y"):
-                    links = links.join(found.toDF(side, "c"), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+                    links = common.met(links, found.toDF(side, "c"), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
             moved = components(links.toDF("a", "b"))
             lists = relabelled(lists, moved)
             if found is None:
                 found = moved
             else:
-                new = moved.join(found.select("id"), "id", "left_anti")
+                new = common.met(moved, found.select("id"), "id", "left_anti")
                 found = common.cut(relabelled(found, moved).select("id", "component").unionByName(new))
         turn += 1
     return found if found is not None else sets.sparkSession.createDataFrame([], "id long, component long")
@@ -376,10 +375,10 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = 75) -> DataFr
     found = set_components(sets, percent)
 
     # the smallest document of each component, then of each class that has several documents or links
-    linked_classes = classes.join(found.withColumnRenamed("id", "s1"), "s1")
+    linked_classes = common.met(classes, found.withColumnRenamed("id", "s1"), "s1")
     least = linked_classes.groupBy("component").agg(F.min("rep").alias("least"))
-    named = linked_classes.join(least, "component").select(*key, "least")
-    alone = classes.filter("n > 1").join(found.select(F.col("id").alias("s1")), "s1", "left_anti").select(*key, F.col("rep").alias("least"))
+    named = common.met(linked_classes, least, "component").select(*key, "least")
+    alone = common.met(classes.filter("n > 1"), found.select(F.col("id").alias("s1")), "s1", "left_anti").select(*key, F.col("rep").alias("least"))
     out = rows.filter("doc_id is not null").join(named.unionByName(alone), key, "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     return out.unionByName(rows.filter("doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
