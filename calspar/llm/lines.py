@@ -30,6 +30,8 @@ NEAR_BYTES, WORD_BYTES = 48, 16
 SPACES = r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: What a line has if it isn't blank; found at its first character as a rule.
 VISIBLE = SPACES.replace("[", "[^ ")
+#: SPACES, but characters of two ranges without any of them, nearly all of a text, are passed by before the longer class is tried.
+RARE_SPACES = r"(?![ -~\u00a1-\u167f])" + SPACES
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def with_words(docs: DataFrame, near_words: int) -> DataFrame:
     words are a line's words or, with a line feed after each, its characters; near: whether it is compared with others than its equals.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k"), F.posexplode(F.split("text", "\n")).alias("line", "raw")).filter(F.col("raw").rlike(VISIBLE))
-    rows = rows.select("doc_id", "k", "line", F.trim(F.regexp_replace(F.lower("raw"), SPACES, " ")).alias("norm"))
+    rows = rows.select("doc_id", "k", "line", F.trim(F.regexp_replace(F.lower("raw"), RARE_SPACES, " ")).alias("norm"))
     rows = rows.select("*", F.split("norm", " ").alias("words"), F.octet_length("norm").alias("size"))
     many = F.size("words") >= near_words
     letters = ~many & (F.col("size") >= NEAR_BYTES) & (F.col("size") >= F.size("words") * WORD_BYTES)

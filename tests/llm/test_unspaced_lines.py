@@ -1,5 +1,7 @@
 """Line dedup of lines without spaces, and of those parted by other white space."""
 
+from pyspark.sql import functions as F
+
 from calspar.llm import lines
 
 CHINESE = "今天天气很好我们一起去公园散步吧然后回家吃饭看书睡觉"
@@ -22,3 +24,9 @@ def test_lines_without_spaces(spark):
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.line_digest(table).collect()}
     assert got == {0: (len(kept), 0)} | {k + 1: (1, 0 if stays else 1) for k, (_, stays) in enumerate(again)}
+
+
+def test_rare_spaces_are_the_spaces(spark):
+    text = "".join(chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x10000)))
+    row = spark.createDataFrame([(text,)], "text string").select(F.regexp_replace("text", lines.SPACES, " ").alias("a"), F.regexp_replace("text", lines.RARE_SPACES, " ").alias("b")).first()
+    assert row.a == row.b != text
