@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over whole tables, with production parameters."""
+"""The thirteen operators as registered queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, lines, matroska, packing, quality, repeats, sharding, tokens
+from . import audit, codes, decontaminate, jaccard, kdtree, langid, lines, matroska, packing, quality, repeats, sharding, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +69,24 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source of all documents, in every order."""
+    return audit.interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as four bytes each, by codebooks of 256 entries."""
+    return codes.code_digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all embeddings for every twentieth id."""
+    return kdtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_substring_dedup": op6_substring_dedup, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns}
+    return {"op1_language_id": op1_language_id, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_substring_dedup": op6_substring_dedup, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_media_columns": op10_media_columns, "op11_filter_audit": op11_filter_audit, "op12_vector_codes": op12_vector_codes, "op13_exact_top_k": op13_exact_top_k}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op6_substring_dedup": repeats.ORACLE, "op7_ngram_jaccard_join": jaccard.ORACLE}
+    return {"op2_line_dedup": lines.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op6_substring_dedup": repeats.ORACLE, "op7_ngram_jaccard_join": jaccard.ORACLE, "op11_filter_audit": audit.ORACLE, "op12_vector_codes": codes.ORACLE, "op13_exact_top_k": kdtree.ORACLE}
