@@ -57,10 +57,11 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     E: the same text stands in a row of a smaller id anywhere; a null id is neither smaller nor larger than another.
     """
     rows = common.cut(facts(docs))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # cut, so that the join deals both sides anew and can split the rows of a text that very many share
+    first = common.cut(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     marked = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     own = [F.getbit("fails", F.lit(k)) == 1 for k in range(4)]
-    out = rows.join(first, "digest", "left").join(marked, "doc_id", "left")
+    out = rows.join(common.sized(first, 64), "digest", "left").join(marked, "doc_id", "left")
     no = F.lit(False)
     return out.select("part", *[c.alias(FILTERS[k]) for k, c in enumerate(own)], F.coalesce(F.col("doc_id") > F.col("first"), no).alias("E"), F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))
 
