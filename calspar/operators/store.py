@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df computed once into the checkpoint folder that the cluster names, for plans that read it in several places."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; a temporary one only in local mode."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="calspar-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The name of a folder that nothing else uses, in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df computed once into the checkpoint folder that the cluster names, for plans that read it in several places."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

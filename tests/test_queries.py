@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from calspar.plans import arrivals, registry
+from calspar.plans import arrivals, live, registry
 
-QUERIES, ORACLES = registry.queries() | arrivals.queries(), registry.oracle_sql() | arrivals.oracle_sql()
+QUERIES, ORACLES = registry.queries() | arrivals.queries() | live.queries(), registry.oracle_sql() | arrivals.oracle_sql() | live.oracle_sql()
 
 DATA = "/root/testdata/sf0.001"
 
