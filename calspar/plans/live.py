@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store
+from ..sources import changed
 from ..streaming import events, queue, runs
 from . import domain
 
@@ -97,6 +98,31 @@ def event_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("stream").cast(v["v_existing"].schema["stream"].dataType).alias("stream"), "d", "status", "event_id", "error_message")
 
 
+def changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each page's file was opened and parsed in three runs, and the hash of its last content.
+
+    All pages are written as files and read; then some change, some are only touched; then nothing happens.
+    """
+    own, folder = runs.stateful(spark), store.new_folder(spark, "pages")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+
+    def put(rows: DataFrame) -> None:
+        changed.write_files(rows.select(F.concat("page_id", F.lit(".html")).alias("name"), F.col("html").alias("content")), f"{folder}/in")
+
+    def run() -> None:
+        runs.drain(changed.fetches(changed.changed_files(own, f"{folder}/in", f"{folder}/listings")).drop("content"), f"{folder}/log", f"{folder}/state")
+
+    put(pages)
+    run()
+    last = F.col("page_id") % 10
+    put(pages.filter(last == 0).withColumn("html", F.concat("html", F.lit("<!-- changed -->"))).unionByName(pages.filter(last == 1)))
+    run()
+    run()
+    log = spark.read.parquet(f"{folder}/log")
+    out = log.groupBy("name").agg(F.count("*").alias("opened"), F.count_if(F.col("seen") == 0).alias("parsed"), F.max_by("content_hash", "tag").alias("content_hash"))
+    return out.select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("page_id"), "opened", "parsed", "content_hash")
+
+
 def event_states_sql() -> str:
     from .arrivals import QUERIES as arrived
 
@@ -107,6 +133,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "sync_queue_stream": (sync_queue_stream, """
 with s as (select id, dates_hash, (calendar_id is null or calendar_synced_at is null) and pending_clean_started_at is null as due, substr(id, 5, 1) < '8' as ok from v_streams)
 select id, dates_hash, case when not due then 'withdrawn' when ok then 'done' else 'due' end as event, cast(case when due and not ok then 2 else 1 end as integer) as attempt, cast(case when due and not ok then 2 else 1 end as bigint) as n_due from s"""),
+    "changed_pages": (changed_pages, """
+select page_id, cast(case when page_id % 10 in (0, 1) then 2 else 1 end as bigint) as opened, cast(case when page_id % 10 = 0 then 2 else 1 end as bigint) as parsed,
+  sha256(case when page_id % 10 = 0 then concat(html, '<!-- changed -->') else html end) as content_hash from pages"""),
     "event_states_stream": (event_states_stream, event_states_sql()),
 }
 

@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     return con
 
