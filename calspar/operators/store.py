@@ -99,44 +99,85 @@ def set_value(table: DataFrame, key: str, value, **changes: Column) -> tuple[Dat
     return out, not table.filter(hit).limit(1).isEmpty()
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since the tables were read."""
+
+
 class Versions:
-    """Several tables that change together: each commit writes a new folder, then a small file COMMITTED-<number>.
+    """Several tables that change together: each commit writes a folder of its own, then a small file COMMITTED-<number> that names it.
 
-    A reader sees the folder of the highest number. Such a file is made at once or not at all and never overwritten, so
-    a commit that fails or is cut off at any point leaves what readers see as it was.
+    A reader sees the folder that the highest number names. Such a file is made by one writer only and never overwritten,
+    and no two commits share a folder: a commit that fails, loses or is cut off at any point leaves what readers see as it
+    was. A file without a name in it, left by a writer that was cut off just then, counts for nothing but its number.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path, self._io = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> int:
+    def _numbers(self) -> list[int]:
         if not self._fs.exists(self._path(self.root)):
-            return 0
+            return []
         names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
-        return max([int(n.removeprefix("COMMITTED-")) for n in names if n.startswith("COMMITTED-")], default=0)
+        return sorted((int(n.removeprefix("COMMITTED-")) for n in names if n.startswith("COMMITTED-")), reverse=True)
+
+    def _folder(self, number: int) -> str:
+        stream = self._fs.open(self._path(f"{self.root}/COMMITTED-{number}"))
+        try:
+            return self._io.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def holds(self, path: str) -> bool:
+        """Whether a file or folder of the same store is there."""
+        return self._fs.exists(self._path(path))
+
+    def current(self) -> int:
+        """The version that readers see; 0 before the first commit."""
+        return next((n for n in self._numbers() if self._folder(n)), 0)
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{self.current()}/{name}")
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{self._folder(version or self.current())}/{name}")
 
-    def commit(self, tables: dict[str, DataFrame], check: Callable[[str], None] | None = None) -> int:
-        """Writes all tables, runs `check` on the new folder, then marks it as committed; if anything fails the folder goes."""
-        version = self.current() + 1
-        folder = f"{self.root}/v{version}"
+    def commit(self, tables: dict[str, DataFrame], check: Callable[[str], None] | None = None, base: int | None = None) -> int:
+        """Writes all tables, runs `check` on their folder, then commits it; if anything fails the folder goes.
+
+        base: the version that the tables were made from. Conflict: another one was committed since.
+        """
+        folder = f"v-{uuid.uuid4().hex}"
+        base = self.current() if base is None else base
         try:
             for name, table in tables.items():
-                table.write.mode("overwrite").parquet(f"{folder}/{name}")
+                table.write.parquet(f"{self.root}/{folder}/{name}")
             if check:
-                check(folder)
-        except Exception:
-            self._fs.delete(self._path(folder), True)
+                check(f"{self.root}/{folder}")
+            version = max(self._numbers(), default=0) + 1
+            if self.current() != base:
+                raise Conflict(f"version {self.current()} was committed since version {base} was read")
+            if not self._claimed(version, folder):
+                raise Conflict(f"version {version} was committed by another writer")
+        except BaseException:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
             raise
-        if not self._fs.createNewFile(self._path(f"{self.root}/COMMITTED-{version}")):
-            raise RuntimeError(f"version {version} was committed by another writer")
         return version
 
+    def _claimed(self, version: int, folder: str) -> bool:
+        """Makes the file of a version, unless another writer has."""
+        path = self._path(f"{self.root}/COMMITTED-{version}")
+        try:
+            out = self._fs.create(path, False)
+        except Exception:
+            if self._fs.exists(path):
+                return False
+            raise
+        try:
+            out.write(bytearray(folder.encode()))
+        finally:
+            out.close()
+        return True
+
 
 def month_export(rows: DataFrame, keys: list[str], month: str = "month", days: str = "days") -> DataFrame:
     """One line per key with a column of day lists ("2 d., 16 d.") for each of twelve months: the CSV export."""

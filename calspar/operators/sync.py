@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +26,3 @@ def apply_results(existing: DataFrame, results: DataFrame, now: Column) -> DataF
         "stream", "d", F.when(F.col("ok"), "created").otherwise("error").alias("status"), F.when(F.col("ok"), F.col("event_id")).alias("event_id"), F.when(~F.col("ok"), F.col("error_message")).alias("error_message")
     )
     return kept.unionByName(done, allowMissingColumns=True).withColumn("updated_at", now)
-
-
-def carry_out(actions: DataFrame, client: Callable[[], Callable[[str, object, str], None]]) -> None:
-    """Hands every action to a client made once per partition, deletes first."""
-    order = F.when(F.col("action") == "delete", 0).when(F.col("action") == "add", 1).otherwise(2)
-
-    def send(rows):
-        call = client()
-        for r in rows:
-            call(r["stream"], r["d"], r["action"])
-
-    actions.repartition("stream").sortWithinPartitions("stream", order, "d").foreachPartition(send)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import store
+from ..operators import outbox, store
 from ..sources import changed
 from ..streaming import events, queue, runs
 from . import domain
@@ -123,6 +123,38 @@ def changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("page_id"), "opened", "parsed", "content_hash")
 
 
+class Answering:
+    """A service without a memory: no calendars for every eighth stream, no events for every third sum of stream and day."""
+
+    def answered(self, keys: list[str]) -> dict[str, str | None]:
+        return {}
+
+    def send(self, message: outbox.Message) -> str | None:
+        stream = int(message.stream)
+        if stream % 8 == 0 if message.action == "create" else (stream + message.d.day) % 3 == 0:
+            raise ValueError("no answer")
+        return f"cal_{message.name}" if message.action == "create" else f"{message.calendar_id}/{message.d}"
+
+
+def sync_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stream's calendar and events after two rounds of plan, messages, answers and commit."""
+    v = domain.views(spark, sf_dir)
+    existing = v["v_existing"].select(F.col("stream").cast("string").alias("stream"), "d", "status", F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("error_message"))
+    wanted = v["v_desired"].groupBy("stream").agg(F.array_sort(F.collect_list("d")).alias("dates"))
+    held = v["v_existing"].select("stream").union(v["v_desired"].select("stream")).distinct().join(wanted, "stream", "left")
+    none = F.lit(None).cast("timestamp")
+    held = held.select(
+        F.col("stream").cast("string").alias("id"), F.coalesce("dates", F.array().cast("array<date>")).alias("dates"), F.when(F.col("stream") % 4 != 0, F.concat(F.lit("own_"), "stream")).alias("calendar_id"),
+        none.alias("calendar_synced_at"), none.alias("pending_clean_started_at"),
+    )
+    versions = store.Versions(spark, store.new_folder(spark, "chain"))
+    versions.commit({"streams": held, "events": existing})
+    for _ in range(2):
+        outbox.sync_round(versions, Answering, F.lit(START).cast("timestamp"))
+    calendars = versions.read("streams").select(F.col("id").alias("stream"), "calendar_id", F.col("calendar_synced_at").isNotNull().alias("synced"))
+    return calendars.join(versions.read("events").drop("updated_at"), "stream", "left")
+
+
 def event_states_sql() -> str:
     from .arrivals import QUERIES as arrived
 
@@ -136,6 +168,16 @@ select id, dates_hash, case when not due then 'withdrawn' when ok then 'done' el
     "changed_pages": (changed_pages, """
 select page_id, cast(case when page_id % 10 in (0, 1) then 2 else 1 end as bigint) as opened, cast(case when page_id % 10 = 0 then 2 else 1 end as bigint) as parsed,
   sha256(case when page_id % 10 = 0 then concat(html, '<!-- changed -->') else html end) as content_hash from pages"""),
+    "sync_chain": (sync_chain, """
+with s as (select *, case when stream % 4 <> 0 then concat('own_', stream) when stream % 8 <> 0 then concat('cal_', stream) end as calendar_id from (select stream from v_existing union select stream from v_desired) x
+), todo as (
+select coalesce(w.stream, e.stream) as stream, coalesce(w.d, e.d) as d, case when w.stream is null then 'delete' when e.status is null then 'add' when e.status = 'error' then 'retry' end as action
+from v_desired w full join v_existing e on w.stream = e.stream and w.d = e.d where coalesce(w.stream, e.stream) in (select stream from v_desired) and coalesce(w.stream, e.stream) % 8 <> 0
+), events as (
+select stream, d, status, cast(null as varchar) as event_id, cast(null as varchar) as error_message from v_existing e where not exists (select 1 from todo t where t.stream = e.stream and t.d = e.d and action is not null)
+union all select stream, d, case when (stream + day(d)) % 3 <> 0 then 'created' else 'error' end, case when (stream + day(d)) % 3 <> 0 then concat(calendar_id, '/', d) end, case when (stream + day(d)) % 3 = 0 then 'no answer' end
+from todo join s using (stream) where action in ('add', 'retry'))
+select cast(s.stream as varchar) as stream, s.calendar_id, s.calendar_id is not null as synced, d, status, event_id, error_message from s left join events using (stream)"""),
     "event_states_stream": (event_states_stream, event_states_sql()),
 }
 
