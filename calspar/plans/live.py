@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import outbox, store
+from ..operators import incremental, outbox, store, streams
 from ..sources import changed
 from ..streaming import events, queue, runs
-from . import domain
+from . import arrivals, domain
 
 #: When the first rows arrive.
 START = "2026-01-01 08:00:00"
@@ -123,6 +123,44 @@ def changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("page_id"), "opened", "parsed", "content_hash")
 
 
+def reconciled_in_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(streams, links, ids of touched streams, changed groups) after some groups' dates have changed in a model in which every group has the stream of its pattern."""
+    v = domain.views(spark, sf_dir)
+    groups = store.written(v["v_changed"])
+    before = v["v_groups"].select("id", "waste_type", "dates_hash")
+    none = F.lit(None).cast("timestamp")
+    first = F.to_timestamp("first_date").alias("created_at")
+    held = v["v_streams"].select("id", *streams.PATTERN, F.split("iso", ",").cast("array<date>").alias("dates"), "first_date", "last_date", "date_count", "calendar_id", F.to_timestamp("calendar_synced_at").alias("calendar_synced_at"), *[none.alias(c) for c in streams.PENDING], first, first.alias("updated_at"))
+    links = before.join(held.select(F.col("id").alias("calendar_stream_id"), *streams.PATTERN), streams.PATTERN).select(F.col("id").alias("schedule_group_id"), "calendar_stream_id")
+    held, links = store.written(held), store.written(links)
+    changed = groups.join(before.select("id", F.col("dates_hash").alias("_before")), "id").filter("dates_hash <> _before").drop("_before")
+    changed = store.written(changed)
+    after, linked, touched = incremental.reconcile_touched(held, links, groups, changed, F.lit(START).cast("timestamp"), linking=False)
+    return after, linked, touched, changed
+
+
+def incremental_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All streams after a part of the groups has changed, only those touched computed anew."""
+    out = reconciled_in_part(spark, sf_dir)[0]
+    return out.select("id", *streams.PATTERN, "first_date", F.col("date_count").cast("long").alias("date_count"), "calendar_id", F.col("calendar_synced_at").isNotNull().alias("synced"), F.col("pending_clean_started_at").isNotNull().alias("leaving"))
+
+
+def incremental_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconciled_in_part(spark, sf_dir)[1]
+
+
+def incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many groups changed, and how many streams were computed anew for them."""
+    _, _, touched, changed = reconciled_in_part(spark, sf_dir)
+    return changed.agg(F.count("*").alias("n")).select(F.lit("groups changed").alias("what"), "n").unionByName(touched.agg(F.count("*").alias("n")).select(F.lit("streams touched").alias("what"), "n"))
+
+
+#: The model in which every group has the stream of its pattern, and what reconciling all of it gives.
+WHOLE_MODEL = """b_streams as (select id, waste_type, dates_hash, first_date, date_count, calendar_id, calendar_synced_at from v_streams
+), b_links as (select id as schedule_group_id, concat('cs_', substr(sha256(concat(waste_type, '|', dates_hash, '|0')), 1, 12)) as calendar_stream_id from v_groups
+), """ + arrivals.RECONCILED.replace("v_links", "b_links").replace("v_streams", "b_streams")
+
+
 class Answering:
     """A service without a memory: no calendars for every eighth stream, no events for every third sum of stream and day."""
 
@@ -156,9 +194,7 @@ def sync_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_states_sql() -> str:
-    from .arrivals import QUERIES as arrived
-
-    return arrived["event_states"][1]
+    return arrivals.QUERIES["event_states"][1]
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -168,6 +204,16 @@ select id, dates_hash, case when not due then 'withdrawn' when ok then 'done' el
     "changed_pages": (changed_pages, """
 select page_id, cast(case when page_id % 10 in (0, 1) then 2 else 1 end as bigint) as opened, cast(case when page_id % 10 = 0 then 2 else 1 end as bigint) as parsed,
   sha256(case when page_id % 10 = 0 then concat(html, '<!-- changed -->') else html end) as content_hash from pages"""),
+    "incremental_streams": (incremental_streams, f"""
+with {WHOLE_MODEL} select id, waste_type, dates_hash, first_date, date_count, calendar_id, synced, leaving from moved
+union all select id, waste_type, dates_hash, first_date, date_count, null, false, false from made"""),
+    "incremental_links": (incremental_links, f"""
+with {WHOLE_MODEL} select schedule_group_id, calendar_stream_id from b_links where schedule_group_id not in (select schedule_group_id from going)
+union all select g.schedule_group_id, e.stream_id from going g join (select waste_type, dates_hash, stream_id from open union all select waste_type, dates_hash, id from made) e using (waste_type, dates_hash)"""),
+    "incremental_counts": (incremental_counts, """
+with c as (select n.id, n.waste_type, n.dates_hash as after, o.dates_hash as before from v_changed n join v_groups o using (id) where n.dates_hash <> o.dates_hash)
+select 'groups changed' as what, count(*) as n from c union all
+select 'streams touched', count(*) from v_streams s where (waste_type, dates_hash) in (select (waste_type, before) from c) or (waste_type, dates_hash) in (select (waste_type, after) from c)"""),
     "sync_chain": (sync_chain, """
 with s as (select *, case when stream % 4 <> 0 then concat('own_', stream) when stream % 8 <> 0 then concat('cal_', stream) end as calendar_id from (select stream from v_existing union select stream from v_desired) x
 ), todo as (
