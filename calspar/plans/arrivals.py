@@ -16,7 +16,7 @@ NOW = "2026-01-01"
 VILLAGE = "concat('Vieta', row_no % 997)"
 #: Dates of a sheet's row, and the rows that have a district above them and a date.
 DATED = """dated as (
-select k, string_agg(cast(d as varchar), ',' order by d) as iso from (select k, try_cast(concat('2026-0', m, '-', lpad(cast(n as varchar), 2, '0')) as date) as d from v_days) x where d is not null group by k
+select k, string_agg(cast(d as varchar), ',' order by d) as iso from (select k, try_cast(concat('2026-', lpad(cast(m as varchar), 2, '0'), '-', lpad(cast(n as varchar), 2, '0')) as date) as d from v_days) x where d is not null group by k
 ), filled as (
 select p.*, last_value(nullif(trim(seniunija), '') ignore nulls) over (partition by file order by row_no rows between unbounded preceding and current row) as above from v_paper p
 ), usable as (select file, row_no, above as seniunija, iso, row_no % 8 as form, row_no % 997 % 5 as kind from filled join dated on k = row_no where above is not null)"""
@@ -24,7 +24,7 @@ select p.*, last_value(nullif(trim(seniunija), '') ignore nulls) over (partition
 
 def paper(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = domain.views(spark, sf_dir)
-    rows = v["v_paper"].select("file", F.col("row_no").alias("row"), "seniunija", "kaimai", *[F.col(f"m{k + 1}").alias(m) for k, m in enumerate(MONTHS[:6])])
+    rows = v["v_paper"].select("file", F.col("row_no").alias("row"), "seniunija", "kaimai", *[F.col(f"m{k + 1}").alias(m) for k, m in enumerate(MONTHS)])
     return rows, v["v_parses"]
 
 
@@ -34,13 +34,13 @@ def shown(rows: DataFrame) -> DataFrame:
 
 def sheet_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schedules of all sheets' rows by the rules alone."""
-    return shown(ingest.sheet_schedules(paper(spark, sf_dir)[0], MONTHS[:6]))
+    return shown(ingest.sheet_schedules(paper(spark, sf_dir)[0], MONTHS))
 
 
 def sheet_schedules_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schedules of all sheets' rows, hard cells answered by the parses known."""
     rows, parses = paper(spark, sf_dir)
-    return shown(ingest.sheet_schedules(rows, MONTHS[:6], cache=parses))
+    return shown(ingest.sheet_schedules(rows, MONTHS, cache=parses))
 
 
 def row_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,8 +182,8 @@ select kind, source_url, id, etag, content_hash, status from (select *, row_numb
     "table_schedules": (table_schedules, """
 with base as (
 select c_custkey as k, cast(floor(c_custkey / 20) as integer) as doc, 1 + (case when c_custkey % 20 >= 7 then 1 else 0 end) + (case when c_custkey % 20 >= 13 then 1 else 0 end) as section,
-  concat(n_name, ' k. ', c_custkey) as location, case c_custkey % 3 when 0 then 'plastikas' when 1 then 'stiklas' end as own, (select count(*) from v_days where k = c_custkey and m <= 3) = 0 as blank,
-  (select string_agg(cast(d as varchar), ',' order by d) from (select try_cast(concat('2026-0', m, '-', lpad(cast(n as varchar), 2, '0')) as date) as d from v_days where k = c_custkey and m <= 3) x where d is not null) as iso
+  concat(n_name, ' k. ', c_custkey) as location, case c_custkey % 3 when 0 then 'plastikas' when 1 then 'stiklas' end as own, (select count(*) from v_days where k = c_custkey) = 0 as blank,
+  (select string_agg(cast(d as varchar), ',' order by d) from (select try_cast(concat('2026-', lpad(cast(m as varchar), 2, '0'), '-', lpad(cast(n as varchar), 2, '0')) as date) as d from v_days where k = c_custkey) x where d is not null) as iso
 from customer join nation on c_nationkey = n_nationkey
 ), lined as (
 select *, last_value(own ignore nulls) over w as waste_type, lead(blank) over (partition by doc, section order by k) as next_blank, lag(blank) over (partition by doc, section order by k) as last_blank,

@@ -6,13 +6,17 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.dates import MONTHS
+
+#: The months' headings of a page's tables.
+HEADS = "".join(f"<th>{m}</th>" for m in MONTHS)
 #: View name -> SQL. SHA(...), TEXT, DATES(...) and HASHED(...) stand for what the two engines write differently.
 VIEWS = {
     "v_locations": """
 select c_custkey as id, r_name as seniunija, n_name as village, n_nationkey,
-  case when n_nationkey % 3 = 0 and c_custkey % 5 = 0 then '' else c_mktsegment end as street,
+  case when c_custkey % 40 = 1 then concat('Gatve ', c_custkey) when n_nationkey % 3 = 0 and c_custkey % 5 = 0 then '' else c_mktsegment end as street,
   case when c_custkey % 3 = 0 then null else cast(c_custkey % 7 as TEXT) end as house_numbers,
-  concat('k1_', substr(SHA(concat(n_name, '|', case when n_nationkey % 3 = 0 and c_custkey % 5 = 0 then '' else c_mktsegment end)), 1, 12)) as kaimai_hash
+  concat('k1_', substr(SHA(concat(n_name, '|', case when c_custkey % 40 = 1 then concat('Gatve ', c_custkey) when n_nationkey % 3 = 0 and c_custkey % 5 = 0 then '' else c_mktsegment end)), 1, 12)) as kaimai_hash
 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
     "v_group_dates": """
 select distinct l.kaimai_hash, cast(o_orderdate as date) as d,
@@ -24,9 +28,9 @@ select concat('sg_', substr(SHA(concat(waste_type, ':', kaimai_hash)), 1, 12)) a
   substr(SHA(iso), 1, 16) as dates_hash, first_date, last_date, date_count
 from (select kaimai_hash, waste_type, DATES(d) as dates, ISO(d) as iso, min(d) as first_date, max(d) as last_date, count(*) as date_count from v_group_dates group by kaimai_hash, waste_type) g""",
     "v_pdf_rows": """
-select l_orderkey * 10 + l_linenumber as id, r_name as seniunija, case when l_orderkey % 4 = 0 then null else r_name end as mapped_seniunija,
-  n_name as village, cast(null as TEXT) as mapped_village,
-  case l_partkey % 4 when 0 then '' when 1 then null when 2 then 'BUILDING' else 'MACHINERY' end as street, cast(null as TEXT) as mapped_street,
+select l_orderkey * 10 + l_linenumber as id, r_name as seniunija, case when l_orderkey % 4 = 0 then null when l_orderkey % 9 = 5 then 'OTHER' else r_name end as mapped_seniunija,
+  n_name as village, case when l_orderkey % 6 = 5 then concat(substr(n_name, 1, length(n_name) - 1), case when n_name like '%A' then 'E' when n_name like '%E' then 'A' else substr(n_name, length(n_name), 1) end) end as mapped_village,
+  case when l_orderkey % 10 = 3 then concat('Gatve ', 1 + 40 * (l_partkey % 30)) when l_partkey % 4 = 0 then '' when l_partkey % 4 = 1 then null when l_partkey % 4 = 2 then 'BUILDING' else 'MACHINERY' end as street, cast(null as TEXT) as mapped_street,
   case l_orderkey % 4 when 0 then null when 1 then '' when 2 then 'ALL' else cast(l_partkey % 7 as TEXT) end as house_numbers,
   case when l_linenumber % 2 = 0 then 'plastikas' else 'stiklas' end as waste_type,
   concat('k1_', substr(SHA(concat(n_name, '|', case l_partkey % 4 when 2 then 'BUILDING' when 3 then 'MACHINERY' else '' end)), 1, 12)) as kaimai_hash,
@@ -46,14 +50,14 @@ from v_groups where substr(dates_hash, 3, 1) <> '7'""",
 select user_id as stream, cast(ts as date) as d, case when max(case when event_type = 'error' then 1 else 0 end) = 1 then 'error' else 'created' end as status
 from events where event_type in ('click', 'error') group by user_id, cast(ts as date)""",
     # what arrives: sheets of months by rows, parses of cells by a model, logs of fetches, tables of pages
-    "v_days": """select distinct o_custkey as k, month(o_orderdate) as m, day(o_orderdate) as n from orders where month(o_orderdate) <= 6""",
+    "v_days": """select distinct o_custkey as k, month(o_orderdate) as m, day(o_orderdate) as n from orders""",
     "v_filled": """select k, m, DAYLIST(n) as txt from v_days group by k, m""",
-    "v_paper": """
+    "v_paper": f"""
 select concat('f', cast(floor(c_custkey / 50) as integer)) as file, c_custkey as row_no, case c_custkey % 4 when 0 then n_name when 1 then '' when 2 then '  ' else null end as seniunija,
   case c_custkey % 8 when 0 then concat('Vieta', c_custkey % 997) when 1 then concat(' Vieta', c_custkey % 997, ' (Aukso g., Beržo al.)') when 2 then concat('Vieta', c_custkey % 997, ' (Aukso g. nuo 1 iki 9)')
   when 3 then '   ' when 5 then concat('Vieta', c_custkey % 997, ', Aukso g.') when 6 then concat('Vieta', c_custkey % 997, ' (Ievų g., Liepų g. (nuo Nr. 2 iki 8), Klevų skg.)')
   when 7 then concat('Vieta', c_custkey % 997, ' (Uosių g. 5, 7)') else null end as kaimai,
-  max(case when m = 1 then txt end) as m1, max(case when m = 2 then txt end) as m2, max(case when m = 3 then txt end) as m3, max(case when m = 4 then txt end) as m4, max(case when m = 5 then txt end) as m5, max(case when m = 6 then txt end) as m6
+  {", ".join(f"max(case when m = {k} then txt end) as m{k}" for k in range(1, 13))}
 from customer join nation on c_nationkey = n_nationkey left join v_filled on k = c_custkey group by c_custkey, n_name""",
     "v_parses": """
 select substr(SHA(trim(kaimai)), 1, 16) as key, max(case row_no % 997 % 5
@@ -85,13 +89,13 @@ select concat('cal_', dates_hash) as calendar_id, concat('Atliekos - ', waste_ty
 select id, waste_type, kaimai_hash, case when substr(id, 5, 1) < '4' then substr(SHA(cast(first_date as TEXT)), 1, 16) else dates_hash end as dates_hash,
   case when substr(id, 5, 1) < '4' then LISTOF(first_date) else dates end as dates, first_date, case when substr(id, 5, 1) < '4' then first_date else last_date end as last_date, case when substr(id, 5, 1) < '4' then 1 else date_count end as date_count
 from v_groups""",
-    "v_pages": """
-select doc, concat('<p>Grafikas</p><table><tr><th>Seniūnijos pavadinimas</th><th>Atliekos</th><th>Sausio</th><th>Vasario</th><th>Kovo</th></tr>', JOINEDX, '</table>') as html from (
+    "v_pages": f"""
+select doc, concat('<p>Grafikas</p><table><tr><th>Seniūnijos pavadinimas</th><th>Atliekos</th>{HEADS}</tr>', JOINEDX, '</table>') as html from (
 select cast(floor(c_custkey / 20) as integer) as doc, c_custkey as k, concat(
-  case c_custkey % 20 when 7 then '<tr><th>Seniūnijos<br>pavadinimas</th><th>Atliekos</th><th>Sausio</th><th>Vasario</th><th>Kovo</th></tr>'
-  when 13 then '<tr><th>Gyvenvietės pavadinimas</th><th rowspan="2">Atliekos</th><th colspan="3"></th></tr><tr><td></td><td>Sausio</td><td>Vasario</td><td>Kovo</td></tr>' else '' end,
-  '<tr><td> ', n_name, ' k. ', c_custkey, '</td><td>', case c_custkey % 3 when 0 then 'Pakuotė' when 1 then 'Stiklas' else '' end, '</td><td>', coalesce(max(case when m = 1 then txt end), ''), '</td><td>',
-  coalesce(max(case when m = 2 then txt end), ''), '</td><td>', coalesce(max(case when m = 3 then txt end), ''), '</td></tr>', case c_custkey % 20 when 19 then '<tr><td colspan="5">Parengė : skyrius</td></tr>' else '' end) as x
+  case c_custkey % 20 when 7 then '<tr><th>Seniūnijos<br>pavadinimas</th><th>Atliekos</th>{HEADS}</tr>'
+  when 13 then '<tr><th>Gyvenvietės pavadinimas</th><th rowspan="2">Atliekos</th><th colspan="12"></th></tr><tr><td></td>{HEADS.replace("th>", "td>")}</tr>' else '' end,
+  '<tr><td> ', n_name, ' k. ', c_custkey, '</td><td>', case c_custkey % 3 when 0 then 'Pakuotė' when 1 then 'Stiklas' else '' end, '</td>',
+  {", ".join(f"'<td>', coalesce(max(case when m = {k} then txt end), ''), '</td>'" for k in range(1, 13))}, '</tr>', case c_custkey % 20 when 19 then '<tr><td colspan="14">Parengė : skyrius</td></tr>' else '' end) as x
 from customer join nation on c_nationkey = n_nationkey left join v_filled on k = c_custkey group by c_custkey, n_name) t group by doc""",
 }
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental, outbox, store, streams
-from ..sources import changed
+from ..functions.dates import MONTHS
+from ..operators import incremental, ingest, outbox, store, streams
+from ..sources import changed, xlsx
 from ..streaming import events, queue, runs
 from . import arrivals, domain
 
@@ -161,6 +163,24 @@ WHOLE_MODEL = """b_streams as (select id, waste_type, dates_hash, first_date, da
 ), """ + arrivals.RECONCILED.replace("v_links", "b_links").replace("v_streams", "b_streams")
 
 
+def workbook_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedules of all sheets' rows, each file's rows written as a workbook and read from it by its headings."""
+    rows, _ = arrivals.paper(spark, sf_dir)
+    names = ["Nr", "seniunija", "kaimai", *MONTHS]
+
+    def packed(table: pa.Table) -> pa.Table:
+        lines = sorted(zip(*(table.column(c).to_pylist() for c in names)))
+        content = xlsx.workbook([["Grafikas"], names, *[[str(r[0]), *r[1:]] for r in lines]])
+        return pa.table({"name": [f"{table.column('file')[0].as_py()}.xlsx"], "content": [content]})
+
+    folder = store.new_folder(spark, "workbooks")
+    changed.write_files(rows.withColumnRenamed("row", "Nr").groupBy("file").applyInArrow(packed, "name string, content binary"), folder)
+    xlsx.register(spark)
+    read = xlsx.with_headings(spark.read.format("xlsx").option("path", folder).load(), names)
+    sheet = read.select(F.substring_index("file", ".", 1).alias("file"), F.col("Nr").cast("long").alias("row"), "seniunija", "kaimai", *MONTHS)
+    return arrivals.shown(ingest.sheet_schedules(sheet, MONTHS))
+
+
 class Answering:
     """A service without a memory: no calendars for every eighth stream, no events for every third sum of stream and day."""
 
@@ -214,6 +234,7 @@ union all select g.schedule_group_id, e.stream_id from going g join (select wast
 with c as (select n.id, n.waste_type, n.dates_hash as after, o.dates_hash as before from v_changed n join v_groups o using (id) where n.dates_hash <> o.dates_hash)
 select 'groups changed' as what, count(*) as n from c union all
 select 'streams touched', count(*) from v_streams s where (waste_type, dates_hash) in (select (waste_type, before) from c) or (waste_type, dates_hash) in (select (waste_type, after) from c)"""),
+    "workbook_schedules": (workbook_schedules, arrivals.QUERIES["sheet_schedules"][1]),
     "sync_chain": (sync_chain, """
 with s as (select *, case when stream % 4 <> 0 then concat('own_', stream) when stream % 8 <> 0 then concat('cal_', stream) end as calendar_id from (select stream from v_existing union select stream from v_desired) x
 ), todo as (

@@ -98,7 +98,7 @@ def location_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def group_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     locations, groups, _ = model(spark, sf_dir)
-    return lookup.group_schedules(groups, locations).select("id", "waste_type", "iso", "dates_hash", "location_count")
+    return lookup.group_schedules(groups, locations).select("id", "waste_type", "iso", "dates_hash", "location_count", F.array_join(F.transform("locations", lambda x: x["id"].cast("string")), ",").alias("location_ids"))
 
 
 def needing_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +106,9 @@ def needing_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams whose clean-up was due on 2000-01-01, four days after they were marked."""
+    """Streams whose clean-up was due on 2001-07-20, four days after they were marked."""
     marked = domain.views(spark, sf_dir)["v_streams"].withColumn("pending_clean_until", F.date_add("pending_clean_started_at", 4))
-    return streams.pending_cleanup(marked, F.lit("2000-01-01").cast("date")).select("id", "pending_clean_until")
+    return streams.pending_cleanup(marked, F.lit("2001-07-20").cast("date")).select("id", "pending_clean_until")
 
 
 def unlinked_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,31 +149,37 @@ def compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dated = matched(spark, sf_dir).withColumn("dates", F.array("d"))
-    return compare.report(compare.outcome(dated, model(spark, sf_dir)[1]))
+    groups = model(spark, sf_dir)[1]
+    theirs = groups.filter("waste_type = 'bendros'").select(F.col("kaimai_hash").alias("match_hash"), F.col("dates").alias("_theirs"))
+    # every fifth row has the dates of the place that it matches, the others a day
+    dated = matched(spark, sf_dir).join(theirs, "match_hash", "left").withColumn("dates", F.when(F.col("id") % 5 == 0, F.reverse("_theirs")).otherwise(F.array("d"))).drop("_theirs")
+    return compare.report(compare.outcome(dated, groups))
 
 
 def fix_villages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows keep their village, and how many take the only one of their district that has their street."""
+    """Every row's village: its own, or the only one of its district that has its street."""
     locations, _, rows = model(spark, sf_dir)
-    named = rows.select(*[F.coalesce(f"mapped_{c}", c, F.lit("")).alias(f"mapped_{c}") for c in mapping.CATEGORIES], F.lit("none").alias("mapping_method"))
-    return mapping.fix_villages(named, locations).groupBy("mapping_method").agg(F.count("*").alias("n"))
+    named = rows.select("id", *[F.coalesce(f"mapped_{c}", c, F.lit("")).alias(f"mapped_{c}") for c in mapping.CATEGORIES], F.lit("none").alias("mapping_method"))
+    return mapping.fix_villages(named, locations)
 
 
 def upsert_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locations of even ids, then all of them with another hash: every key once, the later row wins."""
+    """All locations, then all places of the rows of files: every key once, the later one wins."""
     keys = ["seniunija", "village", "street", "house_numbers"]
-    every = model(spark, sf_dir)[0].select(*keys, "id", "kaimai_hash")
-    first = store.latest(every, keys, ["id"])
-    second = store.latest(every.filter("id % 2 = 0").withColumn("kaimai_hash", F.reverse("kaimai_hash")), keys, ["id"])
+    locations, _, rows = model(spark, sf_dir)
+    first = store.latest(locations.select(*keys, "id", "kaimai_hash"), keys, ["id"])
+    second = store.latest(rows.select("seniunija", "village", F.coalesce("street", F.lit("")).alias("street"), "house_numbers", "id", "kaimai_hash"), keys, ["id"])
     return store.upsert(first, second, keys)
 
 
 def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in the forms that comparison uses."""
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return nations.select("n_nationkey", text.fold(F.col("n_name")).alias("folded"), text.stem(F.col("n_name")).alias("stem"))
+    """Names, and the same with marks on some letters, in the forms that comparison uses."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.explode(F.array("n_name", F.translate("n_name", *MARKED))).alias("name"))
+    return nations.select("n_nationkey", "name", text.fold(F.col("name")).alias("folded"), text.stem(F.col("name")).alias("stem"))
+
 
+#: Letters, and the same with marks.
+MARKED = ("ACEIUSZ", "ĄČĘĮŲŠŽ")
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     all_locations, search, villages, streets, house_numbers, availability, streetwide, best_rows, flagship, calendar_grid, location_schedules, group_schedules,
@@ -191,11 +197,11 @@ def match_sql() -> str:
     """CTE `matched`: rows with their match by the first tier that has their key. The names here need lower case only."""
     keys = f"lower({{0}}) as s, lower({{1}}) as v, {stem_sql('lower({1})')} as vs, lower({{2}}) as st, case when lower({{3}}) = 'all' then '' else lower({{3}}) end as h"
     loc = "loc as (select id, kaimai_hash, " + keys.format("seniunija", "village", "street", "coalesce(house_numbers, '')") + " from v_locations)"
-    row = "r as (select *, " + keys.format("seniunija", "village", "street", "hn") + " from (select p.*, d from (select v_pdf_rows.d, coalesce(mapped_seniunija, seniunija) as seniunija, coalesce(mapped_village, village) as village, coalesce(mapped_street, street, '') as street, coalesce(house_numbers, '') as hn, waste_type from v_pdf_rows) p) q)"
+    row = "r as (select *, " + keys.format("seniunija", "village", "street", "hn") + " from (select p.*, d from (select v_pdf_rows.id, v_pdf_rows.d, coalesce(mapped_seniunija, seniunija) as seniunija, coalesce(mapped_village, village) as village, coalesce(mapped_street, street, '') as street, coalesce(house_numbers, '') as hn, waste_type from v_pdf_rows) p) q)"
     tiers = [f"t_{t} as (select {', '.join(on)}, min_by(kaimai_hash, id) as {t} from loc group by {', '.join(on)}{' having count(*) = 1' if t in compare.UNIQUE else ''})" for t, on in compare.TIERS.items()]
     joins = " ".join(f"left join t_{t} using ({', '.join(on)})" for t, on in compare.TIERS.items())
     method = "case " + " ".join(f"when {t} is not null then '{t}'" for t in compare.TIERS) + " end"
-    found = f"matched as (select waste_type, d, coalesce({', '.join(compare.TIERS)}) as match_hash, {method} as match_method from r {joins})"
+    found = f"matched as (select id, waste_type, d, coalesce({', '.join(compare.TIERS)}) as match_hash, {method} as match_method from r {joins})"
     return ", ".join([loc, row, *tiers, found])
 
 
@@ -229,9 +235,9 @@ union all select w.seniunija, w.village, w.street, w.bucket, {TYPES.format('have
         "location_schedules": """select l.id, l.seniunija, l.village, l.street, l.house_numbers, g.id as group_id, g.date_count, k.calendar_stream_id as stream_id, s.calendar_id,
   case when s.calendar_id is null then 'pending' when s.calendar_synced_at is null then 'needs_update' else 'synced' end as status
 from v_locations l left join v_groups g on g.kaimai_hash = l.kaimai_hash and g.waste_type = 'bendros' left join v_links k on k.schedule_group_id = g.id left join v_streams s on s.id = k.calendar_stream_id""",
-        "group_schedules": "select g.id, g.waste_type, g.iso, g.dates_hash, count(l.id) as location_count from v_groups g left join v_locations l using (kaimai_hash) group by g.id, g.waste_type, g.iso, g.dates_hash",
+        "group_schedules": "select g.id, g.waste_type, g.iso, g.dates_hash, count(l.id) as location_count, string_agg(l.id, ',' order by l.seniunija, l.village, l.street, l.house_numbers nulls first, l.id) as location_ids from v_groups g left join v_locations l using (kaimai_hash) group by g.id, g.waste_type, g.iso, g.dates_hash",
         "needing_sync": "select id, waste_type, dates_hash, iso from v_streams where (calendar_id is null or calendar_synced_at is null) and pending_clean_started_at is null",
-        "pending_cleanup": "select id, cast(pending_clean_started_at + 4 as date) as pending_clean_until from v_streams where pending_clean_started_at + 4 <= date '2000-01-01'",
+        "pending_cleanup": "select id, cast(pending_clean_started_at + 4 as date) as pending_clean_until from v_streams where pending_clean_started_at + 4 <= date '2001-07-20'",
         "unlinked_streams": "select id, waste_type, dates_hash from v_streams where id not in (select calendar_stream_id from v_links)",
         "representative_district": f"with {DISTRICTS} select id, seniunija from dist",
         "calendar_names": f"with {DISTRICTS} select s.id, concat(coalesce(seniunija, 'Unknown'), ' - ', case waste_type when 'bendros' then 'General' else waste_type end, ' - ', substr(s.id, 1, 6)) as name from v_streams s left join dist on dist.id = s.id where calendar_id is null",
@@ -239,14 +245,17 @@ from v_locations l left join v_groups g on g.kaimai_hash = l.kaimai_hash and g.w
         "sync_plan": f"with {PLAN} select stream, d, action from plan where action is not null",
         "sync_counts": f"with {PLAN} select stream, count(*) filter (action = 'delete') as n_delete, count(*) filter (action = 'add') as n_add, count(*) filter (action = 'retry') as n_retry from plan where action is not null group by stream",
         "compare_methods": f"with {match_sql()} select t.match_method, count(m.match_method) as n from (select unnest({list(compare.TIERS)}) as match_method) t left join matched m on m.match_method = t.match_method group by t.match_method",
-        "compare_report": f"""with {match_sql()}, o as (select m.waste_type, case when g.dates is null then 'no_match' when g.dates = [m.d] then 'overlap' else 'conflict' end as outcome from matched m left join v_groups g on g.kaimai_hash = m.match_hash and g.waste_type = 'bendros')
+        "compare_report": f"""with {match_sql()}, o as (select m.waste_type, case when g.dates is null then 'no_match' when m.id % 5 = 0 or g.dates = [m.d] then 'overlap' else 'conflict' end as outcome from matched m left join v_groups g on g.kaimai_hash = m.match_hash and g.waste_type = 'bendros')
 select waste_type, count(*) as total, count(*) filter (outcome <> 'no_match') as matched, count(*) filter (outcome = 'overlap') as overlap, count(*) filter (outcome = 'conflict') as conflict, count(*) filter (outcome = 'no_match') as no_match from o group by rollup (waste_type)""",
-        "fix_villages": """with r as (select coalesce(mapped_seniunija, seniunija) as s, coalesce(mapped_village, village) as v, coalesce(mapped_street, street, '') as st from v_pdf_rows),
-only1 as (select seniunija as s, street as st from v_locations group by seniunija, street having count(distinct village) = 1)
-select case when (s, v, st) not in (select (seniunija, village, street) from v_locations) and (s, st) in (select (s, st) from only1) then 'none+db_fixup' else 'none' end as mapping_method, count(*) as n from r group by 1""",
-        "upsert_locations": """select seniunija, village, street, house_numbers, coalesce(max(id) filter (id % 2 = 0), max(id)) as id,
-  coalesce(reverse(max_by(kaimai_hash, id) filter (id % 2 = 0)), max_by(kaimai_hash, id)) as kaimai_hash from v_locations group by seniunija, village, street, house_numbers""",
-        "folded_names": f"select n_nationkey, lower(n_name) as folded, {stem_sql('lower(n_name)')} as stem from nation",
+        "fix_villages": """with r as (select id, coalesce(mapped_seniunija, seniunija) as s, coalesce(mapped_village, village) as v, coalesce(mapped_street, street, '') as st from v_pdf_rows),
+only1 as (select seniunija as s, street as st, min(village) as single from v_locations group by seniunija, street having count(distinct village) = 1),
+known as (select distinct seniunija as s, village as v, street as st, true as known from v_locations)
+select id, s as mapped_seniunija, case when known is null and single is not null then single else v end as mapped_village, st as mapped_street, case when known is null and single is not null then 'none+db_fixup' else 'none' end as mapping_method
+from r left join known using (s, v, st) left join only1 using (s, st)""",
+        "upsert_locations": """with a as (select seniunija, village, street, house_numbers, max(id) as id, max_by(kaimai_hash, id) as kaimai_hash from v_locations group by all),
+b as (select seniunija, village, coalesce(street, '') as street, house_numbers, max(id) as id, max_by(kaimai_hash, id) as kaimai_hash from v_pdf_rows group by seniunija, village, coalesce(street, ''), house_numbers)
+select * from b union all select * from a where not exists (select 1 from b where b.seniunija = a.seniunija and b.village = a.village and b.street = a.street and b.house_numbers is not distinct from a.house_numbers)""",
+        "folded_names": f"select n_nationkey, unnest([n_name, translate(n_name, '{MARKED[0]}', '{MARKED[1]}')]) as name, unnest([lower(n_name), lower(n_name)]) as folded, unnest([{stem_sql('lower(n_name)')}, {stem_sql('lower(n_name)')}]) as stem from nation",
     }
 
 

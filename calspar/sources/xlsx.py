@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Collection, Iterator
 from typing import BinaryIO
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,6 +178,19 @@ class Xlsx(DataSource):
         return XlsxReader(dict(self.options))
 
 
+def workbook(rows: list[list[str | None]]) -> bytes:
+    """A workbook of one sheet, its cells as inline texts."""
+
+    def cell(value: str | None) -> str:
+        return "<c/>" if value is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+
+    out = io.BytesIO()
+    space = MAIN.strip("{}")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{space}"><sheetData>{"".join(f"<row>{"".join(map(cell, r))}</row>" for r in rows)}</sheetData></worksheet>')
+    return out.getvalue()
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Xlsx)
 
