@@ -157,6 +157,20 @@ select concat('cs_', substr(sha256(concat(waste_type, '|', dates_hash, '|', coal
   select waste_type, dates_hash, min(first_date) as first_date, min(date_count) as date_count from going where dates_hash <> '' group by 1, 2) p
 left join (select waste_type, dates_hash, count(*) as g from moved group by 1, 2) c using (waste_type, dates_hash) where not exists (select 1 from open o where o.waste_type = p.waste_type and o.dates_hash = p.dates_hash))"""
 
+#: Rows of pages' tables, with the customer that each comes from.
+TABLES = """base as (
+select c_custkey as k, cast(floor(c_custkey / 20) as integer) as doc, 1 + (case when c_custkey % 20 >= 7 then 1 else 0 end) + (case when c_custkey % 20 >= 13 then 1 else 0 end) as section,
+  concat(n_name, ' k. ', c_custkey) as location, case c_custkey % 3 when 0 then 'plastikas' when 1 then 'stiklas' end as own, (select count(*) from v_days where k = c_custkey) = 0 as blank,
+  (select string_agg(cast(d as varchar), ',' order by d) from (select try_cast(concat('2026-', lpad(cast(m as varchar), 2, '0'), '-', lpad(cast(n as varchar), 2, '0')) as date) as d from v_days where k = c_custkey) x where d is not null) as iso
+from customer join nation on c_nationkey = n_nationkey
+), lined as (
+select *, last_value(own ignore nulls) over w as waste_type, lead(blank) over (partition by doc, section order by k) as next_blank, lag(blank) over (partition by doc, section order by k) as last_blank,
+  lead(location) over (partition by doc, section order by k) as next_location, lead(iso) over (partition by doc, section order by k) as next_iso
+from base window w as (partition by doc, section order by k rows between unbounded preceding and current row)), placed as (
+select k, doc, section, case when blank and not next_blank then concat(location, ' ', next_location) else location end as location, coalesce(waste_type, 'bendros') as waste_type,
+  coalesce(case when blank and not next_blank then next_iso else iso end, '') as iso, case when blank and coalesce(next_blank, true) then 'no month values' end as error
+from lined where not (not blank and coalesce(last_blank, false)))"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "sheet_schedules": (sheet_schedules, f"""
 with {DATED} select file, row_no as row, seniunija, {VILLAGE} as village, unnest(case form when 0 then [''] else ['Aukso g.', 'Beržo al.'] end) as street, cast(null as varchar) as house_numbers, iso from usable where form in (0, 1)"""),
@@ -179,19 +193,7 @@ select o.kind, o.source_url, case when o.etag <> '' and o.etag = l.etag or o.las
 from v_offered o left join last l on l.kind = o.kind and l.source_url = o.source_url"""),
     "latest_fetches": (latest_fetches, """
 select kind, source_url, id, etag, content_hash, status from (select *, row_number() over (partition by kind, source_url order by created_at desc, id desc) as rn from v_log where status in ('success', 'seeded')) t where rn = 1"""),
-    "table_schedules": (table_schedules, """
-with base as (
-select c_custkey as k, cast(floor(c_custkey / 20) as integer) as doc, 1 + (case when c_custkey % 20 >= 7 then 1 else 0 end) + (case when c_custkey % 20 >= 13 then 1 else 0 end) as section,
-  concat(n_name, ' k. ', c_custkey) as location, case c_custkey % 3 when 0 then 'plastikas' when 1 then 'stiklas' end as own, (select count(*) from v_days where k = c_custkey) = 0 as blank,
-  (select string_agg(cast(d as varchar), ',' order by d) from (select try_cast(concat('2026-', lpad(cast(m as varchar), 2, '0'), '-', lpad(cast(n as varchar), 2, '0')) as date) as d from v_days where k = c_custkey) x where d is not null) as iso
-from customer join nation on c_nationkey = n_nationkey
-), lined as (
-select *, last_value(own ignore nulls) over w as waste_type, lead(blank) over (partition by doc, section order by k) as next_blank, lag(blank) over (partition by doc, section order by k) as last_blank,
-  lead(location) over (partition by doc, section order by k) as next_location, lead(iso) over (partition by doc, section order by k) as next_iso
-from base window w as (partition by doc, section order by k rows between unbounded preceding and current row))
-select doc, section, case when blank and not next_blank then concat(location, ' ', next_location) else location end as location, coalesce(waste_type, 'bendros') as waste_type,
-  coalesce(case when blank and not next_blank then next_iso else iso end, '') as iso, case when blank and coalesce(next_blank, true) then 'no month values' end as error
-from lined where not (not blank and coalesce(last_blank, false))"""),
+    "table_schedules": (table_schedules, f"with {TABLES} select doc, section, location, waste_type, iso, error from placed"),
     "group_links": (group_links, "select l.schedule_group_id, s.id, s.waste_type, s.dates_hash, s.date_count, s.calendar_id from v_links l join v_streams s on s.id = l.calendar_stream_id"),
     "schedule_json": (schedule_json, """
 select g.id, cast(to_json(struct_pack(schedule_group_id := g.id, waste_type := g.waste_type, dates := g.dates, locations := coalesce(p.l, []))) as varchar) as body from v_groups g

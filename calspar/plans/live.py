@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..functions.dates import MONTHS
-from ..operators import incremental, ingest, outbox, store, streams
+from ..operators import answers, incremental, ingest, outbox, places, sections, store, streams
 from ..sources import changed, xlsx
+from ..sources.html import html_tables
 from ..streaming import events, queue, runs
 from . import arrivals, domain
 
@@ -181,6 +183,39 @@ def workbook_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrivals.shown(ingest.sheet_schedules(sheet, MONTHS))
 
 
+#: What a parser answers for the place of customer k, by k % 6, in Spark and in DuckDB SQL; 5: nothing.
+ANSWERED = """select c_custkey as k, concat(n_name, ' k. ', c_custkey) as location, case c_custkey % 6
+  when 0 then '{"seniunija": "S", "groups": [{"village": " V  k. ", "include_streets": [{"street": "Aukso g.", "house_numbers": "1-9"}, {"street": "Beržo g.", "house_numbers": null}], "exclude_streets": [{"street": "Uosių g.", "house_numbers": null}]}]}'
+  when 1 then '[{"seniunija": null, "groups": [{"village": "M. Riešės k."}]}, {"seniunija": "T", "groups": [{"village": "B", "seniunija": "U"}]}]'
+  when 2 then '```json\n{"groups": [{"village": "Seniūnija X"}]}\n```' when 3 then 'no object' when 4 then '{"groups": []}' end as parsed_result
+from customer join nation on c_nationkey = n_nationkey"""
+
+
+def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of streets from all pages' tables: places by known answers, or by the rules where these are missing or wrong."""
+    v = domain.views(spark, sf_dir)
+    known = spark.sql(ANSWERED.replace("{", "{{").replace("}", "}}").replace("from customer join nation", "from {customer} join {nation}"), customer=v["customer"], nation=v["nation"])
+    types = F.explode(F.array(*map(F.lit, ("bendros", "plastikas", "stiklas")))).alias("waste_type")
+    cache = known.filter("parsed_result is not null").select(ids.location_hash(F.col("location")).alias("kaimai_hash"), "parsed_result", types)
+    rows = sections.table_schedules(html_tables(v["v_pages"], "doc", "html"))
+    found = places.place_rows(rows, cache)
+    return found.select("doc", "kaimai_str", "seniunija", "village", "street", "house_numbers", F.array_join(F.transform("exclude_streets", lambda s: s["street"]), ",").alias("excluded"), "waste_type", F.array_join(F.col("dates").cast("array<string>"), ",").alias("iso"))
+
+
+def cache_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each cached parse was last used, after the cells of all sheets were asked for in three reads and some parses came anew."""
+    v = domain.views(spark, sf_dir)
+    cache = answers.AnswerCache(spark, store.new_folder(spark, "cache"), ["key"])
+    parses = store.written(v["v_parses"].withColumn("tokens_used", F.lit(0)))
+    cells = store.written(v["v_paper"].filter("kaimai is not null").select("row_no", ids.parser_cache_key(F.trim("kaimai")).alias("key")))
+    day = lambda k: F.lit(START).cast("timestamp") + F.expr(f"interval {k} days")
+    cache.put(parses, day(0))
+    for k in (1, 2, 3):
+        cache.get(cells.filter(F.col("row_no") % 3 == k - 1), day(k))
+    cache.put(parses.filter("substr(key, 1, 1) < '4'").withColumn("parsed_result", F.lit("{}")), day(2))
+    return cache.entries().select("key", F.to_date("created_at").alias("created"), F.to_date("last_used_at").alias("last_used"), "reads", (F.col("parsed_result") == "{}").alias("anew"))
+
+
 class Answering:
     """A service without a memory: no calendars for every eighth stream, no events for every third sum of stream and day."""
 
@@ -235,6 +270,20 @@ with c as (select n.id, n.waste_type, n.dates_hash as after, o.dates_hash as bef
 select 'groups changed' as what, count(*) as n from c union all
 select 'streams touched', count(*) from v_streams s where (waste_type, dates_hash) in (select (waste_type, before) from c) or (waste_type, dates_hash) in (select (waste_type, after) from c)"""),
     "workbook_schedules": (workbook_schedules, arrivals.QUERIES["sheet_schedules"][1]),
+    "place_rows": (place_rows, f"""
+with {arrivals.TABLES}, answered as ({ANSWERED}), cells as (
+select p.*, case when a.k % 6 in (0, 1, 4) then a.k % 6 else 9 end as kind from placed p left join answered a on a.location = p.location
+), each as (
+select *, unnest(case kind when 0 then [{{'v': 'V k.', 's': 'S', 'st': 'Aukso g.', 'h': '1-9', 'x': 'Uosių g.'}}, {{'v': 'V k.', 's': 'S', 'st': 'Beržo g.', 'h': null, 'x': 'Uosių g.'}}]
+  when 1 then [{{'v': 'Mažosios Riešės k.', 's': 'T', 'st': '', 'h': null, 'x': ''}}, {{'v': 'B', 's': 'U', 'st': '', 'h': null, 'x': ''}}]
+  when 4 then [] else [{{'v': location, 's': '', 'st': '', 'h': null, 'x': ''}}] end) as y from cells
+), numbered as (select *, row_number() over (partition by doc, y.s, y.v, y.st, coalesce(y.h, ''), waste_type, iso order by section, k) as nth from each)
+select doc, location as kaimai_str, y.s as seniunija, y.v as village, y.st as street, y.h as house_numbers, y.x as excluded, waste_type, iso from numbered where nth = 1"""),
+    "cache_touches": (cache_touches, """
+with cells as (select substr(SHA(trim(kaimai)), 1, 16) as key, row_no % 3 + 1 as read from v_paper where kaimai is not null
+), used as (select key, max(read) as last, count(distinct read) as reads from cells group by key)
+select p.key, date '2026-01-01' + case when p.key < '4' then 2 else 0 end as created, date '2026-01-01' + cast(greatest(coalesce(last, 0), case when p.key < '4' then 2 else 0 end) as integer) as last_used, coalesce(reads, 0) as reads, p.key < '4' as anew
+from v_parses p left join used u on u.key = p.key"""),
     "sync_chain": (sync_chain, """
 with s as (select *, case when stream % 4 <> 0 then concat('own_', stream) when stream % 8 <> 0 then concat('cal_', stream) end as calendar_id from (select stream from v_existing union select stream from v_desired) x
 ), todo as (
