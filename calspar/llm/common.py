@@ -53,6 +53,11 @@ def deleted(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Lets the driver drop what ended jobs have left, shuffles and checkpoints of earlier turns with it: loops of many small jobs would fill it first."""
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,6 +27,7 @@ def components(links: DataFrame) -> DataFrame:
             to = moved.select("id", F.col("new").alias("to"))
             if moved.filter("moved").isEmpty():
                 break
+            common.tidied(links.sparkSession)
         if found is None:
             found = to.select("id", F.col("to").alias("component"))
         else:

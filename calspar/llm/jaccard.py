@@ -353,6 +353,7 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
                 new = common.met(moved, found.select("id"), "id", "left_anti")
                 found = common.cut(relabelled(found, moved).select("id", "component").unionByName(new))
         turn += 1
+        common.tidied(sets.sparkSession)
     return found if found is not None else sets.sparkSession.createDataFrame([], "id long, component long")
 
 
