@@ -6,6 +6,7 @@ streams take it in several runs, as a worker that is started again and again wou
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.dates import MONTHS
-from ..operators import answers, incremental, ingest, outbox, places, sections, store, streams
+from ..operators import answers, incremental, ingest, outbox, places, requests, sections, store, streams
 from ..sources import changed, xlsx
 from ..sources.html import html_tables
 from ..streaming import events, queue, runs
-from . import arrivals, domain
+from . import arrivals, domain, registry
 
 #: When the first rows arrive.
 START = "2026-01-01 08:00:00"
@@ -216,6 +217,30 @@ def cache_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.entries().select("key", F.to_date("created_at").alias("created"), F.to_date("last_used_at").alias("last_used"), "reads", (F.col("parsed_result") == "{}").alias("anew"))
 
 
+#: A request for each order, of twelve kinds, from what its customer's location says, in Spark and in DuckDB SQL.
+ASKED = """select o_orderkey as n, o_orderkey % 12 as kind, case when o_orderkey % 47 = 0 then 'POST' else 'GET' end as method,
+  concat('/api/v1/', case o_orderkey % 12 when 7 then 'streets' when 8 then 'house-numbers' when 9 then concat('schedule-group/', case when o_orderkey % 5 = 0 then 'none' else coalesce(g.id, 'none') end)
+    when 10 then concat('calendar-info/', case when o_orderkey % 5 = 0 then 'none' else coalesce(s.calendar_id, 'none') end) when 11 then 'elsewhere' when 4 then 'schedule-multi' when 5 then 'schedule-multi' when 6 then 'schedule-multi' else 'schedule' end) as path,
+  case when o_orderkey % 12 = 0 then cast(case when o_orderkey % 5 = 0 then -l.id else l.id end as TEXT) end as location_id,
+  case when o_orderkey % 12 in (0, 11) or o_orderkey % 31 = 0 then null else l.seniunija end as seniunija, case when o_orderkey % 12 in (0, 11) then null else l.village end as village,
+  case when o_orderkey % 12 in (0, 3, 6, 7, 11) then null when o_orderkey % 29 = 0 then 'nowhere' else l.street end as street,
+  case when o_orderkey % 12 in (1, 4, 5, 6) then coalesce(l.house_numbers, '') when o_orderkey % 12 = 2 and l.house_numbers is not null and o_orderkey % 7 > 0 then l.house_numbers end as houses
+from orders join v_locations l on l.id = o_custkey left join v_groups g on g.kaimai_hash = l.kaimai_hash and g.waste_type = 'bendros' left join v_links k on k.schedule_group_id = g.id left join v_streams s on s.id = k.calendar_stream_id"""
+
+
+def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to a request for every order: status, error, and what was found."""
+    v = domain.views(spark, sf_dir)
+    sql = ASKED.replace("TEXT", "string")
+    for name in ("orders", "v_locations", "v_groups", "v_links", "v_streams"):
+        sql = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", sql)
+    asked = store.written(spark.sql(sql, **{name: v[name] for name in ("orders", "v_locations", "v_groups", "v_links", "v_streams")}))
+    given = {"location_id": "location_id", "seniunija": "seniunija", "village": "village", "street": "street", "house_numbers": "houses"}
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in given.items()]), lambda p: p["v"].isNotNull())
+    found = requests.answers(asked.select("n", "method", "path", F.map_from_entries(pairs).alias("params")), v["v_locations"], v["v_groups"], v["v_pdf_rows"], v["v_links"], v["v_streams"])
+    return found.select("n", "status", "error", "location_id", "schedule_group_id", "calendar_id", "calendar_status", F.sha2(requests.dates_of(found), 256).alias("dates_sha256"), F.coalesce(F.size("entries"), F.lit(-1)).alias("n_entries"))
+
+
 class Answering:
     """A service without a memory: no calendars for every eighth stream, no events for every third sum of stream and day."""
 
@@ -284,6 +309,36 @@ with cells as (select substr(SHA(trim(kaimai)), 1, 16) as key, row_no % 3 + 1 as
 ), used as (select key, max(read) as last, count(distinct read) as reads from cells group by key)
 select p.key, date '2026-01-01' + case when p.key < '4' then 2 else 0 end as created, date '2026-01-01' + cast(greatest(coalesce(last, 0), case when p.key < '4' then 2 else 0 end) as integer) as last_used, coalesce(reads, 0) as reads, p.key < '4' as anew
 from v_parses p left join used u on u.key = p.key"""),
+    "request_answers": (request_answers, f"""
+with asked as ({ASKED}), has as (select seniunija, village, max(street) <> '' as streets from v_locations group by all
+), judged as (
+select a.*, coalesce(streets, false) as streets, case when kind = 8 then coalesce(a.street, '') when coalesce(streets, false) then a.street else '' end as st, coalesce(seniunija, '') <> '' and coalesce(village, '') <> '' as placed from asked a left join has using (seniunija, village)
+), {registry.SELECTIONS.replace("from v_locations)", "from v_locations union select seniunija, village, st, coalesce(houses, '') from judged where kind in (4, 5, 6) and placed and st is not null)", 1)}, {registry.WIDE}, {registry.DATED}, said as (
+select j.*, case when method <> 'GET' then 'Only GET method is allowed' when (kind in (1, 2, 3) or kind = 0 and cast(location_id as bigint) = 0) and not placed then 'Must provide either location_id or both seniunija and village' when kind in (4, 5, 6) and not placed then 'Must provide seniunija and village'
+  when kind in (7, 8) and not placed then 'seniunija and village parameters required' when kind in (1, 2, 3, 4, 5, 6) and streets and st is null then 'This village has streets. Please select a street.'
+  when kind in (1, 2, 3) and coalesce(hb, 0) = 1 and houses is null then 'This street has specific house numbers. Please select a house number.' when kind = 11 then 'Not found' end as error
+from judged j left join flags f on f.seniunija = j.seniunija and f.village = j.village and f.street = j.st
+), placed1 as (
+select s.n, l.id, row_number() over (partition by s.n order by case when l.house_numbers is null then 0 else 1 end, l.id) as rn from said s join v_locations l on kind = 0 and l.id = try_cast(s.location_id as bigint) or kind in (1, 2, 3) and l.seniunija = s.seniunija and l.village = s.village and l.street = s.st and (coalesce(houses, '') = '' or l.house_numbers = houses) where error is null and kind <= 3
+), one as (
+select p.n, l.id as location_id, g.id as schedule_group_id, s.calendar_id, case when s.calendar_id is null then 'pending' when s.calendar_synced_at is null then 'needs_update' else 'synced' end as calendar_status,
+  list_transform(coalesce(g.dates, []), lambda d: concat(d, ' bendros')) as dates
+from placed1 p join v_locations l on l.id = p.id left join v_groups g on g.kaimai_hash = l.kaimai_hash and g.waste_type = 'bendros' left join v_links k on k.schedule_group_id = g.id left join v_streams s on s.id = k.calendar_stream_id where rn = 1
+), days as (select seniunija, village, street, bucket, list(concat(d, ' ', waste_type) order by d, waste_type) as dates from dated group by all
+), multi as (select n, coalesce(dates, []) as dates from said s left join days d on d.seniunija = s.seniunija and d.village = s.village and d.street = s.st and d.bucket = coalesce(houses, '') where error is null and kind in (4, 5, 6)
+), grouped as (select n, substr(path, 24) as schedule_group_id, g.id is not null as there, s.calendar_id, list_transform(coalesce(g.dates, []), lambda d: concat(d, ' bendros')) as dates
+from said left join v_groups g on g.id = substr(path, 24) left join v_links k on k.schedule_group_id = g.id left join v_streams s on s.id = k.calendar_stream_id where error is null and kind = 9
+), n_streets as (select seniunija, village, count(distinct street) as c from v_locations group by all
+), n_houses as (select seniunija, village, street, sum(c) as c from (
+  select seniunija, village, street, count(distinct house_numbers) as c from v_locations where house_numbers <> '' group by all
+  union all select seniunija, village, street, 1 from flags where hb = 0 or (seniunija, village, street) in (select (seniunija, village, street) from wide)) t group by all
+), calendars as (select distinct calendar_id from v_streams where calendar_id is not null)
+select s.n, case when s.error = 'Only GET method is allowed' then 405 when s.error = 'Not found' then 404 when s.error is not null then 400 when kind <= 3 and one.n is null or kind = 10 and c.calendar_id is null then 404 else 200 end as status,
+  coalesce(s.error, case when kind <= 3 and one.n is null then 'Location not found' when kind = 10 and c.calendar_id is null then 'Calendar not found' when kind = 9 and not there then 'Schedule group not found' end) as error,
+  one.location_id, coalesce(one.schedule_group_id, g.schedule_group_id) as schedule_group_id, coalesce(one.calendar_id, g.calendar_id, c.calendar_id) as calendar_id, one.calendar_status,
+  sha256(array_to_string(coalesce(one.dates, multi.dates, g.dates), ',')) as dates_sha256, cast(case when s.error is null and kind = 7 then coalesce(ns.c, 0) when s.error is null and kind = 8 then coalesce(nh.c, 0) else -1 end as integer) as n_entries
+from said s left join one on one.n = s.n left join multi on multi.n = s.n left join grouped g on g.n = s.n left join calendars c on kind = 10 and s.error is null and c.calendar_id = substr(path, 23)
+left join n_streets ns on kind = 7 and ns.seniunija = s.seniunija and ns.village = s.village left join n_houses nh on kind = 8 and nh.seniunija = s.seniunija and nh.village = s.village and nh.street = s.st"""),
     "sync_chain": (sync_chain, """
 with s as (select *, case when stream % 4 <> 0 then concat('own_', stream) when stream % 8 <> 0 then concat('cal_', stream) end as calendar_id from (select stream from v_existing union select stream from v_desired) x
 ), todo as (
