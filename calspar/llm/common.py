@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -33,6 +34,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables of a loop, written into a folder of their own in the shared one and read again.
+
+    A checkpoint carries its plan's estimated size on. Joins multiply these sizes, so in a loop of joins over checkpoints
+    the estimate's digits double from turn to turn, until the driver is full of them; a table that is read has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.made = spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """df computed into a checkpoint; all tables are deleted."""
+        out = cut(df)
+        deleted(self.spark, self.folder)
+        return out
+
+
 #: A side is broadcast only when its counted rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
 
@@ -53,11 +77,6 @@ def deleted(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tidied(spark: SparkSession) -> None:
-    """Lets the driver drop what ended jobs have left, shuffles and checkpoints of earlier turns with it: loops of many small jobs would fill it first."""
-    spark._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

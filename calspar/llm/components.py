@@ -14,25 +14,25 @@ def components(links: DataFrame) -> DataFrame:
     Each round points every id at its smallest neighbour, follows the pointers to their ends and contracts the links;
     the ids that are left at least halve, so rounds grow with the logarithm of the number of ids.
     """
-    links = common.cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tables = common.Tables(links.sparkSession, "components")
+    links = tables.write(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found: DataFrame | None = None
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = common.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("id"), "to"))
+        to = tables.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("id"), "to"))
         while True:
             # two steps at a time: a star is done after one look
             step = to.select(F.col("id").alias("to"), F.col("to").alias("next"))
             last = to.select(F.col("id").alias("next"), F.col("to").alias("end"))
-            moved = common.cut(common.met(common.met(to, step, "to"), last, "next").select("id", F.col("end").alias("new"), (F.col("end") != F.col("next")).alias("moved")))
+            moved = tables.write(common.met(common.met(to, step, "to"), last, "next").select("id", F.col("end").alias("new"), (F.col("end") != F.col("next")).alias("moved")))
             to = moved.select("id", F.col("new").alias("to"))
             if moved.filter("moved").isEmpty():
                 break
-            common.tidied(links.sparkSession)
         if found is None:
             found = to.select("id", F.col("to").alias("component"))
         else:
-            found = common.cut(common.met(found, to.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+            found = tables.write(common.met(found, to.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
         ends = to.select(F.col("id").alias("a"), F.col("to").alias("x"))
         links = common.met(common.met(links, ends, "a").select("x", "b"), ends.toDF("b", "y"), "b").filter("x <> y")
-        links = common.cut(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return found if found is not None else links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        links = tables.write(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return tables.last(found if found is not None else links.select(F.col("a").alias("id"), F.col("b").alias("component")))

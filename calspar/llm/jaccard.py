@@ -324,21 +324,22 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """sets (id, size, own, set) -> (id, component): the components of all links between them, for sets that are linked."""
     once = prefixes(sets, percent)
     shared = once.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max(early(percent)).alias("early")).filter("a < z and early").select("shingle")
-    lists = common.cut(common.met(once, shared, "shingle", "left_semi").withColumn("component", F.col("id")))
+    tables = common.Tables(sets.sparkSession, "lists")
+    lists = tables.write(common.met(once, shared, "shingle", "left_semi").withColumn("component", F.col("id")))
     found: DataFrame | None = None
     facts: DataFrame | None = None
     turn = 0
     while True:
-        lists = common.cut(with_leaders(lists, turn, percent))
+        lists = tables.write(with_leaders(lists, turn, percent))
         if lists.isEmpty():
             break
         pairs = led_pairs(lists, percent)
         if facts is None:
-            measured = common.cut(overlaps(pairs, sets))
+            measured = tables.write(overlaps(pairs, sets))
             links, facts = measured.filter(linked(percent)).select("x", "y"), measured
         else:
-            state = common.cut(derived(pairs, facts, percent))
-            measured = common.cut(overlaps(state.filter("yes is null"), sets))
+            state = tables.write(derived(pairs, facts, percent))
+            measured = tables.write(overlaps(state.filter("yes is null"), sets))
             links, facts = measured.filter(linked(percent)).select("x", "y").unionByName(state.filter("yes").select("x", "y")), facts.unionByName(measured)
         lists = lists.filter("not leads").drop("leads")
         if not links.isEmpty():
@@ -351,10 +352,9 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
                 found = moved
             else:
                 new = common.met(moved, found.select("id"), "id", "left_anti")
-                found = common.cut(relabelled(found, moved).select("id", "component").unionByName(new))
+                found = tables.write(relabelled(found, moved).select("id", "component").unionByName(new))
         turn += 1
-        common.tidied(sets.sparkSession)
-    return found if found is not None else sets.sparkSession.createDataFrame([], "id long, component long")
+    return tables.last(found if found is not None else sets.sparkSession.createDataFrame([], "id long, component long"))
 
 
 def similar_components(docs: DataFrame, n: int = N, percent: int = 75) -> DataFrame:
