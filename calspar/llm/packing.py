@@ -23,7 +23,7 @@ from . import common, tokens
 #: Ids that one stored row holds at most: a longer document is stored as several rows, so that no row grows with a text.
 ROW_IDS = 1 << 16
 #: Distinct words and pieces that a worker keeps the ids of, about; a full store is emptied and filled anew.
-STORED_WORDS, STORED_PIECES = 600_000, 400_000
+STORED_WORDS, STORED_PIECES = 200_000, 150_000
 
 
 class Numbers(dict):
@@ -120,7 +120,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pid, within = Encoder.of(tokenizer_path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in common.slices(whole, 1, 2 << 20):
+            for batch in common.slices(whole, 1, 1 << 20):
                 all_ids, counts = encoder.encode(batch.column(1).to_pylist())
                 rows, at = [], 0
                 for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
