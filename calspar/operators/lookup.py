@@ -209,15 +209,18 @@ def house_numbers(locations: DataFrame, groups: DataFrame, pdf_rows: DataFrame)
     """Every street's buckets with their types, headed by a row of bucket '' for all houses where the street isn't split or has types for all houses."""
     key = [*PLACE, "street"]
     split = street_flags(locations)
-    open_streets = split.select(*key, F.lit(None).cast("string").alias("bucket"))
-    bare = availability(open_streets, locations, groups, pdf_rows).filter("waste_type = 'bendros'").select(*key, "waste_type").join(split.filter("not has_buckets"), key, "left_semi")
-    whole = bare.unionByName(streetwide(split, pdf_rows)).distinct()
-    head = split.join(whole.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("waste_type")), ",").alias("types")), key, "left")
-    wide = streetwide(split, pdf_rows).select(*key).distinct().withColumn("wide", F.lit(True))
-    head = head.join(wide, key, "left").filter("not has_buckets or wide").select(*key, F.lit("").alias("bucket"), F.coalesce("types", F.lit("")).alias("types"))
     buckets = locations.filter("house_numbers is not null and house_numbers <> ''").select(*key, F.col("house_numbers").alias("bucket")).distinct()
-    have = availability(buckets, locations, groups, pdf_rows).groupBy(*key, "bucket").agg(F.array_join(F.array_sort(F.collect_set("waste_type")), ",").alias("types"))
-    return head.unionByName(buckets.join(have, [*key, "bucket"], "left").select(*key, "bucket", F.coalesce("types", F.lit("")).alias("types")))
+    wanted = split.select(*key, F.lit(None).cast("string").alias("bucket")).unionByName(buckets)
+    have = availability(wanted, locations, groups, pdf_rows).groupBy(*key, F.coalesce("bucket", F.lit("")).alias("bucket")).agg(F.collect_set("waste_type").alias("have"))
+    wide = streetwide(split, pdf_rows).groupBy(*key).agg(F.collect_set("waste_type").alias("wide"))
+    rows = wanted.withColumn("bucket", F.coalesce("bucket", F.lit(""))).join(have, [*key, "bucket"], "left").join(wide, key, "left").join(split, key)
+    none = F.array().cast("array<string>")
+    own, all_ = F.coalesce("have", none), F.coalesce("wide", none)
+    head = F.col("bucket") == ""
+    # what holds for all houses: general waste of a street that isn't split, and rows of the street as a whole
+    whole = F.array_union(F.when(F.col("has_buckets"), none).otherwise(F.array_intersect(own, F.array(F.lit("bendros")))), all_)
+    types = F.array_join(F.array_sort(F.when(head, whole).otherwise(own)), ",")
+    return rows.filter(~head | ~F.col("has_buckets") | F.col("wide").isNotNull()).select(*key, "bucket", types.alias("types"))
 
 
 def check_selection(has_streets: bool, has_buckets: bool, street: str | None, bucket: str | None) -> tuple[str, str | None]:

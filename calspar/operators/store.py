@@ -118,10 +118,7 @@ class Versions:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _numbers(self) -> list[int]:
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
-        return sorted((int(n.removeprefix("COMMITTED-")) for n in names if n.startswith("COMMITTED-")), reverse=True)
+        return sorted((int(n.removeprefix("COMMITTED-")) for n in self.names() if n.startswith("COMMITTED-")), reverse=True)
 
     def _folder(self, number: int) -> str:
         stream = self._fs.open(self._path(f"{self.root}/COMMITTED-{number}"))
@@ -134,6 +131,10 @@ class Versions:
         """Whether a file or folder of the same store is there."""
         return self._fs.exists(self._path(path))
 
+    def names(self) -> list[str]:
+        """What lies directly under root."""
+        return [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))] if self.holds(self.root) else []
+
     def current(self) -> int:
         """The version that readers see; 0 before the first commit."""
         return next((n for n in self._numbers() if self._folder(n)), 0)

@@ -123,7 +123,7 @@ def upsert_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = domain.views(spark, sf_dir)
+    v = domain.views(spark, sf_dir).once("v_groups", "v_changed")
     none, marked = F.lit(None).cast("timestamp"), F.to_timestamp("pending_clean_started_at")
     held = v["v_streams"].select(
         "id", *streams.PATTERN, F.split("iso", ",").cast("array<date>").alias("dates"), "first_date", "last_date", "date_count", "calendar_id", F.to_timestamp("calendar_synced_at").alias("calendar_synced_at"),

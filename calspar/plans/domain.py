@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dates import MONTHS
+from ..operators import store
 
 #: The months' headings of a page's tables.
 HEADS = "".join(f"<th>{m}</th>" for m in MONTHS)
@@ -127,6 +128,13 @@ class Views(dict):
         return self[name]
 
 
+    def once(self, *names: str) -> "Views":
+        """Computes views once and writes them down, for queries that read them, or views made from them, in several places."""
+        for name in names:
+            self[name] = store.written(self[name])
+        return self
+
+
 def views(spark: SparkSession, sf_dir: str) -> Views:
     """The views as DataFrames; nothing is registered, so queries over different folders don't meet."""
     return Views(spark, sf_dir)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.dates import MONTHS
-from ..operators import answers, incremental, ingest, outbox, places, requests, sections, store, streams
+from ..operators import answers, incremental, ingest, outbox, places, requests, schemas, sections, store, streams
 from ..sources import changed, xlsx
 from ..sources.html import html_tables
 from ..streaming import events, queue, runs
@@ -130,8 +130,8 @@ def changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reconciled_in_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(streams, links, ids of touched streams, changed groups) after some groups' dates have changed in a model in which every group has the stream of its pattern."""
-    v = domain.views(spark, sf_dir)
-    groups = store.written(v["v_changed"])
+    v = domain.views(spark, sf_dir).once("v_groups", "v_changed")
+    groups = v["v_changed"]
     before = v["v_groups"].select("id", "waste_type", "dates_hash")
     none = F.lit(None).cast("timestamp")
     first = F.to_timestamp("first_date").alias("created_at")
@@ -230,7 +230,7 @@ from orders join v_locations l on l.id = o_custkey left join v_groups g on g.kai
 
 def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer to a request for every order: status, error, and what was found."""
-    v = domain.views(spark, sf_dir)
+    v = domain.views(spark, sf_dir).once("v_locations", "v_groups", "v_streams")
     sql = ASKED.replace("TEXT", "string")
     for name in ("orders", "v_locations", "v_groups", "v_links", "v_streams"):
         sql = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", sql)
@@ -241,6 +241,20 @@ def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n", "status", "error", "location_id", "schedule_group_id", "calendar_id", "calendar_status", F.sha2(requests.dates_of(found), 256).alias("dates_sha256"), F.coalesce(F.size("entries"), F.lit(-1)).alias("n_entries"))
 
 
+def migrated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of files as the present schema has them, written by three writers: of the first schema, of one in the middle, and of the present."""
+    rows = domain.views(spark, sf_dir)["v_pdf_rows"]
+    rows = store.written(rows.withColumn("dates", F.array("d")).withColumn("source_file", F.col("waste_type")).withColumn("kaimai_str", F.col("village")).withColumn("mapping_method", F.lit("rule")).withColumn("source_year", F.year("d")))
+    old = rows.withColumn("dates_json", F.to_json("dates"))
+    table = schemas.Table(spark, store.new_folder(spark, "rows"), schemas.MODEL["pdf_rows"])
+    writer = F.col("id") % 10
+    table.append(old.filter(writer <= 2).drop("dates"), 1)
+    table.append(old.filter(writer.isin(3, 4)).drop("dates"), 5)
+    table.append(rows.filter(writer >= 5).withColumn("dates_hash", ids.dates_hash(F.col("dates"))))
+    read = table.read()
+    return read.select("id", "source_file", "kaimai_str", "village", "street", "seniunija", "mapped_seniunija", "mapped_village", "source_year", "mapping_method", F.coalesce(F.size("exclude_streets"), F.lit(-1)).alias("n_excluded"), F.array_join(F.col("dates").cast("array<string>"), ",").alias("iso"), "dates_hash")
+
+
 class Answering:
     """A service without a memory: no calendars for every eighth stream, no events for every third sum of stream and day."""
 
@@ -339,6 +353,9 @@ select s.n, case when s.error = 'Only GET method is allowed' then 405 when s.err
   sha256(array_to_string(coalesce(one.dates, multi.dates, g.dates), ',')) as dates_sha256, cast(case when s.error is null and kind = 7 then coalesce(ns.c, 0) when s.error is null and kind = 8 then coalesce(nh.c, 0) else -1 end as integer) as n_entries
 from said s left join one on one.n = s.n left join multi on multi.n = s.n left join grouped g on g.n = s.n left join calendars c on kind = 10 and s.error is null and c.calendar_id = substr(path, 23)
 left join n_streets ns on kind = 7 and ns.seniunija = s.seniunija and ns.village = s.village left join n_houses nh on kind = 8 and nh.seniunija = s.seniunija and nh.village = s.village and nh.street = s.st"""),
+    "migrated_rows": (migrated_rows, """
+select id, waste_type as source_file, village as kaimai_str, village, street, case when id % 10 >= 3 then seniunija end as seniunija, case when id % 10 >= 3 then mapped_seniunija end as mapped_seniunija, case when id % 10 >= 5 then mapped_village end as mapped_village,
+  case when id % 10 >= 3 then cast(year(d) as integer) end as source_year, case when id % 10 >= 5 then 'rule' else 'none' end as mapping_method, case when id % 10 in (1, 2) then 0 else -1 end as n_excluded, cast(d as varchar) as iso, substr(SHA(cast(d as varchar)), 1, 16) as dates_hash from v_pdf_rows"""),
     "sync_chain": (sync_chain, """
 with s as (select *, case when stream % 4 <> 0 then concat('own_', stream) when stream % 8 <> 0 then concat('cal_', stream) end as calendar_id from (select stream from v_existing union select stream from v_desired) x
 ), todo as (

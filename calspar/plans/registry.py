@@ -39,8 +39,9 @@ join have using ({PLACE}, bucket, waste_type) join v_groups g on g.kaimai_hash =
 SELECTIONS = ", ".join([WANTED, GENERAL, ROWS, HAVE, FLAGS, BEST])
 
 
-def model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    v = domain.views(spark, sf_dir)
+def model(spark: SparkSession, sf_dir: str, *once: str) -> tuple[DataFrame, ...]:
+    """Locations, groups and rows of files; those named are computed once."""
+    v = domain.views(spark, sf_dir).once(*once)
     return v["v_locations"], v["v_groups"], v["v_pdf_rows"]
 
 
@@ -62,7 +63,7 @@ def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def house_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.house_numbers(*model(spark, sf_dir))
+    return lookup.house_numbers(*model(spark, sf_dir, "v_groups"))
 
 
 def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ def best_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every date of every waste type of every selection."""
-    found = model(spark, sf_dir)
+    found = model(spark, sf_dir, "v_locations", "v_groups")
     return lookup.multi_schedule(lookup.selections(found[0]), *found)
 
 

@@ -16,7 +16,7 @@ def test_rows_are_all_of_lineitem(spark):
     assert found.exceptAll(whole).isEmpty() and whole.exceptAll(found).isEmpty()
     report = {r["waste_type"]: r["total"] for r in registry.compare_report(spark, DATA).collect()}
     assert report[None] == lines.count()
-    assert registry.fix_villages(spark, DATA).agg(F.sum("n")).first()[0] == lines.count()
+    assert registry.fix_villages(spark, DATA).count() == lines.count()
 
 
 def test_best_rows_against_brute_force(spark):
