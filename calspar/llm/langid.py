@@ -16,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the learning sample: whole texts of at most SAMPLE_BYTES, about PER_LANGUAGE of each of at most LANGUAGES languages of LEAST_ROWS or more.
-PER_LANGUAGE, SAMPLE_BYTES, LANGUAGES, LEAST_ROWS = 500, 64 << 10, 256, 5
+#: The learning sample: about PER_LANGUAGE rows of every language, all of them if it has fewer, and of a long text a span of SPAN_CHARS
+#: characters, or fewer where there are so many languages that the spans would come to more than SAMPLE_CHARS together.
+PER_LANGUAGE, SPAN_CHARS, SAMPLE_CHARS = 500, 64 << 10, 128 << 20
+#: More languages than this aren't languages: the model would hold a number for each of them in every bucket.
+MOST_LANGUAGES = 2000
 BUCKETS, WIDTH, SUBWORDS = 1 << 15, 16, (2, 3, 4)
 EPOCHS, RATE, SEED = 6, 4.0, 17
 #: Of the sample, one text in CALIBRATION sets temperature and rejection; accepted predictions should err no more than ERRORS.
@@ -152,18 +155,21 @@ def calibrate(model: Model, logits: np.ndarray, truth: np.ndarray) -> None:
 
 
 def fit_on(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on a bounded sample, chosen by a hash of the id, of the rows for which `learn` holds."""
+    """Fits on a bounded sample of the rows for which `learn` holds: every language is learned, however rare, whatever its name and however long its texts."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), learn.alias("learn"))
-    rows = rows.filter(F.col("learn") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    counts = {r["lang"]: r["count"] for r in counts if r["count"] >= LEAST_ROWS}
+    rows = rows.filter(F.col("learn") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return fit([], [])
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, PER_LANGUAGE / n)).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, PER_LANGUAGE / n)) for lang, n in counts.items()], "lang string, share double")
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11) / float(1 << 53)
-    sample = rows.filter((draw < share) & (F.octet_length("text") <= SAMPLE_BYTES)).select("id", "text", "lang").collect()
+    span = min(SPAN_CHARS, SAMPLE_CHARS // (PER_LANGUAGE * len(counts)))
+    # where a longer text's span begins is drawn, too
+    start = 1 + F.pmod(F.xxhash64("id", F.lit("span")), F.greatest(F.length("text") - span + 1, F.lit(1)).cast("long")).cast("int")
+    chosen = rows.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("id", F.substring("text", start, F.lit(span)).alias("text"), "lang")
+    sample = chosen.collect()
     sample.sort(key=lambda r: (r["id"], r["text"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
@@ -181,7 +187,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             out = [own.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[0] == "und" or x[1] < own.least for x in out], pa.bool_())],
+                [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([not x[1] or x[1] < own.least for x in out], pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"],
             )
 

@@ -29,6 +29,37 @@ def test_prediction_uses_the_text_alone(spark):
     assert long[0] == "en"
 
 
+def test_rare_and_long_classes(spark):
+    """A language of long texts, one of four rows and one that is called und are learned like the others."""
+    words = {"de": "der die und das nicht ist", "fr": "le la et les dans que", "en": "the and of that with this", "und": "ovo je nije samo kako treba"}
+    rows = [(k, (words["de"] + " ") * 4000, "de") for k in range(60)] + [(k, words["fr"] + f" mot{k}", "fr") for k in range(100, 105)] + [(k, words["en"] + f" word{k}", "en") for k in range(200, 260)] + [(k, words["und"] + f" x{k}", "und") for k in range(300, 330)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {k: lang for k, _, lang in rows}
+    assert all(r["lang_pred"] == truth[r["doc_id"]] for r in got if truth[r["doc_id"]] != "fr")
+    assert sum(r["lang_pred"] == "fr" for r in got if truth[r["doc_id"]] == "fr") >= 4
+
+
+def test_prediction_by_plain_python():
+    """A prediction is the softmax of the mean of the subwords' rows: computed again, subword by subword."""
+    texts, langs = ["der die und das nicht"] * 30 + ["the and of that with"] * 30, ["de"] * 30 + ["en"] * 30
+    model = langid.fit(texts, langs)
+
+    def bucket(part):
+        h = len(part)
+        for c in part:
+            h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) % (1 << 64)
+            h ^= h >> 29
+        return (h >> 16) % langid.BUCKETS
+
+    for text in ("Der und  the!", "ÄÖ-x", "a" * 50, "die 12 nicht"):
+        letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        line = f" {letters} "
+        parts = [line[i : i + n] for n in langid.SUBWORDS for i in range(len(line) - n + 1)]
+        logits = (sum(model.rows[bucket(p)] for p in parts) / len(parts) + model.bias) / model.temperature
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert model.predict(text) == (model.languages[int(p.argmax())], pytest.approx(float(p.max())))
+
+
 def test_odd_tables(spark, docs):
     rows = [(1, None, "en", 1), (2, "", "en", 1), (3, "...", None, 1), (None, "the and", "en", 1), (4, "the and", "en", 1), (4, "the and", "en", 1)]
     odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
