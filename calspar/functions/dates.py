@@ -74,10 +74,10 @@ def grid_offset(day: Column) -> Column:
     return F.weekday(F.trunc(day, "month"))
 
 
-def event_times(day: Column, zone: str = "Europe/Vilnius") -> tuple[Column, Column]:
-    """A pick-up event's start and end: 07:00 to 09:00 local."""
+def event_times(day: Column, zone: str = "Europe/Vilnius", first: int = 7, last: int = 9) -> tuple[Column, Column]:
+    """An event's start and end, from the first to the last hour, local time; a pick-up's is 07:00 to 09:00."""
 
     def at(hour: int) -> Column:
         return F.make_timestamp(F.year(day), F.month(day), F.dayofmonth(day), F.lit(hour), F.lit(0), F.lit(0), F.lit(zone))
 
-    return at(7), at(9)
+    return at(first), at(last)

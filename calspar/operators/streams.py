@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.dates import pending_until
+from ..functions.dates import event_times, pending_until
 
 PATTERN = ["waste_type", "dates_hash"]
 PENDING = ["pending_clean_started_at", "pending_clean_until", "pending_clean_notice_sent_at"]
 
 
-def open_streams(streams: DataFrame) -> DataFrame:
-    """Per pattern the oldest stream that isn't pending clean-up: (waste_type, dates_hash, stream_id)."""
+def open_streams(streams: DataFrame, exclude: str | None = None) -> DataFrame:
+    """Per pattern the oldest stream that isn't pending clean-up, nor the one to exclude: (waste_type, dates_hash, stream_id)."""
     live = streams.filter("pending_clean_started_at is null and dates_hash <> ''")
+    if exclude is not None:
+        live = live.filter(F.col("id") != exclude)
     return live.groupBy(*PATTERN).agg(F.min(F.struct("created_at", "id")).alias("s")).select(*PATTERN, F.col("s.id").alias("stream_id"))
 
 
@@ -85,6 +87,11 @@ def needing_sync(streams: DataFrame) -> DataFrame:
     return streams.filter("(calendar_id is null or calendar_synced_at is null) and pending_clean_started_at is null")
 
 
+def in_order(queue: DataFrame) -> DataFrame:
+    """The work queue with what has changed last at its head."""
+    return queue.orderBy(F.desc("updated_at"), "id")
+
+
 def pending_cleanup(streams: DataFrame, now: Column) -> DataFrame:
     return streams.filter(F.col("pending_clean_until").isNotNull() & (F.col("pending_clean_until") <= now)).orderBy("pending_clean_until", "id")
 
@@ -125,8 +132,17 @@ def calendar_plan(streams: DataFrame, districts: DataFrame, names: dict[str, str
     return joined.select("id", F.concat_ws(" - ", F.coalesce("seniunija", F.lit(default)), shown, F.substring("id", 1, 6)).alias("name"))
 
 
-def cleanup_notices(streams: DataFrame) -> DataFrame:
-    """Three daily notices from the day a stream is marked."""
+def cleanup_notices(streams: DataFrame, zone: str = "Europe/Vilnius") -> DataFrame:
+    """(id, calendar_id, d, start, end): three daily notices, from 09:00 to 11:00, from the day a stream is marked."""
     day = F.to_date("pending_clean_started_at")
     marked = streams.filter("pending_clean_started_at is not null and calendar_id is not null")
-    return marked.select("id", "calendar_id", F.explode(F.sequence(day, F.date_add(day, 2))).alias("d"))
+    days = marked.select("id", "calendar_id", F.explode(F.sequence(day, F.date_add(day, 2))).alias("d"))
+    start, end = event_times(F.col("d"), zone, 9, 11)
+    return days.select("id", "calendar_id", "d", start.alias("start"), end.alias("end"))
+
+
+def notices_sent(streams: DataFrame, sent: DataFrame, now: Column) -> DataFrame:
+    """streams once the notices of some ids have been sent."""
+    marked = streams.join(sent.select("id").distinct().withColumn("_sent", F.lit(True)), "id", "left")
+    new = {c: F.when(F.col("_sent"), now).otherwise(F.col(c)).alias(c) for c in ("pending_clean_notice_sent_at", "updated_at")}
+    return marked.select(*[new.get(c, F.col(c)) for c in streams.columns])

@@ -128,7 +128,7 @@ def calendar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleanup_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.cleanup_notices(domain.views(spark, sf_dir)["v_streams"])
+    return streams.cleanup_notices(domain.views(spark, sf_dir)["v_streams"]).select("id", "calendar_id", "d")
 
 
 def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
