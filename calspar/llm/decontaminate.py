@@ -47,7 +47,7 @@ def shingles(own: Words, size: int) -> np.ndarray:
     h = np.zeros(own.n, np.uint64)
     for k in range(min(size, own.n)):
         h[: own.n - k] = h[: own.n - k] * FIRST + own.hash[k:]
-    return mixed(h ^ (np.uint64(size) * SECOND))
+    return mixed(h ^ (np.array([size], np.uint64) * SECOND))
 
 
 def window_table(benchmark: DataFrame, length: int) -> DataFrame:
@@ -137,10 +137,10 @@ def candidates(texts: DataFrame, prefixes: DataFrame, sizes: list[int], length:
                 for doc, a, b in zip(docs.tolist(), firsts, [*firsts[1:], len(hits)]):
                     split, start = texts[doc].split(), int(own.bounds[doc])
                     for at in hits[a:b].tolist():
-                        a = max(0, at - start - length + 1)
-                        near = [w.decode() for w in split[a : at - start + length]]
+                        low = max(0, at - start - length + 1)
+                        near = [w.decode() for w in split[low : at - start + length]]
                         found[doc] = found[doc] or []
-                        found[doc].append({"pos": at - start, "shingle": int(h[at].view(np.int64)), "at": at - start - a, "near": near})
+                        found[doc].append({"pos": at - start, "shingle": int(h[at].view(np.int64)), "at": at - start - low, "near": near})
             n = np.diff(own.bounds).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(found, pa.list_(CANDIDATE))], ["doc_id", "k1", "k2", "n_words", "found"])
 
@@ -196,10 +196,10 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, length: int = WIN
     Null and wordless texts, null ids and repeated rows of clean texts stay; an empty benchmark leaves all rows.
     """
     _, found, _ = occurrences(docs, benchmark, length)
-    hit = common.cut(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
-    text = F.col("text").cast("binary")
-    on = (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(text, F.lit(1)) == F.col("_k2"))
-    return docs.join(common.sized(hit, 32), on, "left_anti")
+    hit = common.cut(found.select("k1", "k2").distinct())
+    text = F.col("_docs.text").cast("binary")
+    on = (F.xxhash64(text) == F.col("_hit.k1")) & (F.xxhash64(text, F.lit(1)) == F.col("_hit.k2"))
+    return docs.alias("_docs").join(common.sized(hit, 32).alias("_hit"), on, "left_anti")
 
 
 ORACLE = r"""

@@ -53,3 +53,27 @@ def test_every_stage(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_odd_tables(spark):
+    """Every stage on null ids and texts, empty and very long texts, repeated rows, columns named like its own, and an empty table."""
+    from pyspark.sql import functions as F
+
+    good = spark.read.parquet(f"{DATA}/documents.parquet").limit(30)
+    long = "a long line of several words that goes on\n" + "word " * 300_000
+    rows = [(None, "a text without an id of several words in a line", "en", "s", 5), (None, None, None, None, None), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, long, "en", None, 9), (9004, "the same short text here", "en", "s", 1), (9004, "the same short text here", "en", "s", 1)]
+    odd = good.unionByName(spark.createDataFrame(rows, good.schema))
+    clashing = ("k1", "k2", "_k1", "score", "id", "group", "component", "component_id", "words", "line", "range", "shingle", "label", "quality", "n_hit", "pid", "first")
+    docs = odd.withColumns({c: F.lit(None).cast("string") for c in clashing})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, DATA)
+        if k < 4:
+            assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and stage(spark, docs.limit(0), DATA).collect() == [], name
+        if name == "line dedup" or name == "n-gram Jaccard join":
+            assert sum(r["text"] is None for r in got) == 2, name
+        if name == "benchmark decontamination":
+            assert sum(r["doc_id"] == 9004 for r in got) == 2 and sum(r["text"] is None for r in got) == 2
+        if name == "packing":
+            assert sum(r["length"] for r in got if r["doc_id"] == 9002) == 1 and sum(r["length"] for r in got if r["doc_id"] == 9003) > 300_000
