@@ -8,19 +8,20 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: The widest span that is followed.
-MOST_SPAN = 1000
+#: The widest span that browsers follow, across and down.
+MOST_ACROSS, MOST_DOWN = 1000, 65_534
 
 
-def span(value: str | None) -> int:
-    return min(int(value), MOST_SPAN) if value and value.strip().isdigit() and int(value) > 0 else 1
+def span(value: str | None, most: int) -> int:
+    return min(int(value), most) if value and value.strip().isdigit() and int(value) > 0 else 1
 
 
 class Tables(HTMLParser):
     """tables: of each table, its rows; of each row, its cells as (text, rows spanned, columns spanned). A table within a cell is a table of its own."""
 
-    def __init__(self) -> None:
+    def __init__(self, across: int = MOST_ACROSS, down: int = MOST_DOWN) -> None:
         super().__init__(convert_charrefs=True)
+        self.across, self.down = across, down
         self.tables: list[list[list[tuple[str, int, int]]]] = []
         self.open: list[list[list[tuple[str, int, int]]]] = []
         self.cell: list[list] = []  # of each open table: its open cell's texts and spans, or nothing
@@ -40,7 +41,7 @@ class Tables(HTMLParser):
             if not self.open[-1]:
                 self.open[-1].append([])
             given = dict(attrs)
-            self.cell[-1] = [[], span(given.get("rowspan")), span(given.get("colspan"))]
+            self.cell[-1] = [[], span(given.get("rowspan"), self.down), span(given.get("colspan"), self.across)]
         elif tag == "br" and self.cell[-1]:
             self.cell[-1][0].append("\n")
 
@@ -84,13 +85,13 @@ def grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
     return [line + [""] * (width - len(line)) for line in out if any(line)]
 
 
-def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, t, r, cells) of every table of every page; a null page has none. Pages are parsed where they lie, without a shuffle."""
+def html_tables(pages: DataFrame, key: str, html: str, across: int = MOST_ACROSS, down: int = MOST_DOWN) -> DataFrame:
+    """(key, t, r, cells) of every table of every page; a null page has none. Pages are parsed where they lie, without a shuffle. Wider spans than `across` and `down` count as so wide."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                reader = Tables()
+                reader = Tables(across, down)
                 reader.feed(page.as_py() or "")
                 reader.close()
                 rows = [(name, t, r, cells) for t, table in enumerate(reader.tables) for r, cells in enumerate(grid(table))]
