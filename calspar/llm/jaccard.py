@@ -304,14 +304,23 @@ def derived(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """pairs (x, y) with `yes`: whether they are linked by the overlaps of x and y with common earlier leaders; null if these don't decide it.
 
     With o(x) and o(y) shingles of a leader in x and y, l shingles of the leader shared at all, and p and q of x and y,
-    the overlap of x and y is at least o(x) + o(y) - l and at most min(o(x), o(y)) + min(p - o(x), q - o(y)).
+    the overlap of x and y is at least o(x) + o(y) - l and at most min(o(x), o(y)) + min(p - o(x), q - o(y)). Only the
+    leader most like x and the one most like y are asked, so a pair makes two rows at most, however many leaders both have met.
     """
-    to_x = known.select("x", F.col("y").alias("leader"), F.col("both").alias("ox"), F.col("q").alias("l"), "m", "p")
-    to_y = known.select(F.col("x").alias("y"), F.col("y").alias("leader"), F.col("both").alias("oy"), F.col("m").alias("n"), F.col("p").alias("q"))
-    bounds = common.met(common.met(pairs, to_x, "x"), to_y, ["y", "leader"])
+    facts = known.select(F.col("x").alias("id"), F.col("y").alias("leader"), F.col("both").alias("o"), F.col("q").alias("l"), F.col("m").alias("size"), F.col("p").alias("shared"))
+    rest = ["leader", "o", "l", "size", "shared"]
+    most_like = 1.0 * F.col("o") / (F.col("l") + F.col("shared") - F.col("o"))
+    best = facts.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(most_like.alias("like"), "leader")).alias("b")).select("id", *[F.col(f"b.{c}").alias(c) for c in rest])
+
+    def by(side: str, other: str) -> DataFrame:
+        one = best.toDF(side, "leader", f"o{side}", "l", f"n{side}", f"p{side}")
+        two = facts.select(F.col("id").alias(other), "leader", F.col("o").alias(f"o{other}"), F.col("size").alias(f"n{other}"), F.col("shared").alias(f"p{other}"))
+        return common.met(common.met(pairs, one, side), two, [other, "leader"]).select("x", "y", "l", "ox", "oy", "nx", "ny", "px", "py")
+
+    bounds = by("x", "y").unionByName(by("y", "x"))
     low = F.col("ox") + F.col("oy") - F.col("l")
-    high = F.least("ox", "oy") + F.least(F.col("p") - F.col("ox"), F.col("q") - F.col("oy"))
-    bounds = bounds.groupBy("x", "y").agg(F.max(low).alias("low"), F.min(high).alias("high"), F.first("m").alias("m"), F.first("n").alias("n"))
+    high = F.least("ox", "oy") + F.least(F.col("px") - F.col("ox"), F.col("py") - F.col("oy"))
+    bounds = bounds.groupBy("x", "y").agg(F.max(low).alias("low"), F.min(high).alias("high"), F.first("nx").alias("m"), F.first("ny").alias("n"))
     return common.met(pairs, bounds, ["x", "y"], "left").select("x", "y", F.when(linked(percent, "low"), True).when(~linked(percent, "high"), False).alias("yes"))
 
 

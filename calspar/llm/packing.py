@@ -23,7 +23,7 @@ from . import common, tokens
 #: Ids that one stored row holds at most: a longer document is stored as several rows, so that no row grows with a text.
 ROW_IDS = 1 << 16
 #: Distinct words and pieces that a worker keeps the ids of, about; a full store is emptied and filled anew.
-STORED_WORDS, STORED_PIECES = 200_000, 150_000
+STORED_WORDS, STORED_PIECES = 450_000, 400_000
 
 
 class Numbers(dict):
