@@ -22,8 +22,9 @@ from . import common, tokens
 
 #: Ids that one stored row holds at most: a longer document is stored as several rows, so that no row grows with a text.
 ROW_IDS = 1 << 16
-#: Distinct words and pieces that a worker keeps the ids of, about; a full store is emptied and filled anew.
-STORED_WORDS, STORED_PIECES = 450_000, 400_000
+#: Distinct words that a worker keeps the ids of, about, and 50,000 fewer pieces; a full store is emptied and filled anew. Half as many save
+#: about 100 MB a worker and cost a third more time.
+STORED_WORDS = 450_000
 
 
 class Numbers(dict):
@@ -42,24 +43,25 @@ class Numbers(dict):
 class Encoder:
     """Ids of texts as the tokenizers library gives them: pieces are encoded by its model, once per distinct piece."""
 
-    kept: dict[str, Encoder] = {}
+    kept: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, stored: int = STORED_WORDS):
+        self.stored = stored
         self.v = tokens.Vocabulary(path)
         self.library, self.model = self.v.library, self.v.library.model
-        self.pieces = tokens.Cache(self.encode_piece, STORED_PIECES)
+        self.pieces = tokens.Cache(self.encode_piece, max(stored - 50_000, 1))
         self.special = {t: np.array([i], "<i4").tobytes() for t, i in self.v.special.items()}
         self.empty()
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
+    def of(cls, path: str, stored: int = STORED_WORDS) -> Encoder:
+        if (path, stored) not in cls.kept:
+            cls.kept = {(path, stored): cls(path, stored)}
+        return cls.kept[path, stored]
 
     def empty(self) -> None:
         self.numbers, self.held = Numbers(), 0
-        self.ids, self.starts = np.zeros(1 << 20, np.int32), np.zeros(2 * STORED_WORDS + 1, np.int64)
+        self.ids, self.starts = np.zeros(1 << 20, np.int32), np.zeros(2 * self.stored + 1, np.int64)
 
     def encode_piece(self, piece: str) -> bytes:
         return np.array([t.id for t in self.model.tokenize(self.v.letters_of(piece))], "<i4").tobytes()
@@ -91,8 +93,8 @@ class Encoder:
         """All ids one after the other, and how many are each text's."""
         own = [self.words(t) for t in texts]
         ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for part in runs(own):
-            if len(self.numbers) > STORED_WORDS:
+        for part in runs(own, self.stored):
+            if len(self.numbers) > self.stored:
                 self.empty()
             index = np.fromiter(map(self.numbers.__getitem__, part), np.int64, len(part))
             if self.numbers.new:
@@ -105,20 +107,20 @@ class Encoder:
         return np.concatenate(ids), np.diff(ends[np.cumsum([0, *map(len, own)])])
 
 
-def runs(own: list[list[str]]) -> Iterator[list[str]]:
-    """The words of all texts in runs of at most STORED_WORDS."""
+def runs(own: list[list[str]], stored: int) -> Iterator[list[str]]:
+    """The words of all texts in runs of at most so many."""
     words = list(chain.from_iterable(own))
-    for a in range(0, len(words), STORED_WORDS):
-        yield words[a : a + STORED_WORDS]
+    for a in range(0, len(words), stored):
+        yield words[a : a + stored]
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, stored: int) -> DataFrame:
     """Rows (pid, doc_id, first, within, doc_tokens, ids): runs of at most ROW_IDS ids of a document, with the count of ids before them in the document and in the partition."""
 
     schema = pa.schema([("pid", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int64()), ("within", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pid, within = Encoder.of(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, pid, within = Encoder.of(tokenizer_path, stored), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in common.slices(whole, 1, 1 << 20):
                 all_ids, counts = encoder.encode(batch.column(1).to_pylist())
@@ -136,7 +138,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
     return rows.mapInArrow(work, "pid int, doc_id long, first long, within long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", stored: int = STORED_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A null or empty text is the end id alone; null ids and repeated rows are documents like any other; further columns
@@ -144,7 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
     """
     spark = docs.sparkSession
     folder = f"{common.checkpoint_dir(spark).rstrip('/')}/packing-{uuid.uuid4().hex}"
-    encoded(docs, tokenizer_path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(folder)
+    encoded(docs, tokenizer_path, end_id, id_col, text_col, stored).write.option("compression", "zstd").parquet(folder)
     stored = spark.read.parquet(folder)
     # one row a partition of the first pass
     totals = stored.groupBy("pid").agg(F.sum(F.length("ids") / 4).cast("long").alias("total"))

@@ -34,8 +34,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 ids. A null text counts as empty; each row is packed, repeated or not."""
-    return packing.packed_digest(packing.pack(docs, queries.word_bpe(), end_id=2, length=4096))
+    """Pieces of sequences of 4096 ids. A null text counts as empty; each row is packed, repeated or not. Workers store fewer words than by default, as the stages before have filled the executors' memory."""
+    return packing.packed_digest(packing.pack(docs, queries.word_bpe(), end_id=2, length=4096, stored=200_000))
 
 
 STAGES = [
