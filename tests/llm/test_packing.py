@@ -43,11 +43,9 @@ def test_round_trip(spark, monkeypatch):
     assert all(digest[r["doc_id"], r["start"], r["sequence_id"]] == zlib.crc32(r["ids"]) for r in got)
 
 
-def test_rows_and_stores_are_bounded(spark, monkeypatch):
-    encoder = packing.Encoder(PATH)
+def test_rows_and_stores_are_bounded():
+    encoder = packing.Encoder(PATH, 100)
     texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(40)]
-    monkeypatch.setattr(packing, "STORED_WORDS", 100)
-    encoder.empty()
     ids, counts = encoder.encode(texts)
     want = [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
     assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == list(map(len, want))
