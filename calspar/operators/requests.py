@@ -6,6 +6,8 @@ by text aren't among them: `lookup.search` answers one for all locations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ NEEDS_PLACE = {
 NO_LOCATION, NO_CALENDAR, NO_GROUP, NO_PATH = "Location not found", "Calendar not found", "Schedule group not found", "Not found"
 DATES = "array<struct<date:date,waste_type:string>>"
 BUCKETS = "array<struct<name:string,types:string>>"
-ANSWER = f"location_id long, schedule_group_id string, calendar_id string, calendar_status string, dates {DATES}, entries {BUCKETS}"
+ANSWER = "location_id long, schedule_group_id string, calendar_id string, calendar_status string"
 
 
 def parameters(requests: DataFrame) -> DataFrame:
@@ -62,20 +64,27 @@ def judged(requests: DataFrame, locations: DataFrame) -> DataFrame:
     return asked.select(*asked.columns, error.alias("error"), status.alias("status"))
 
 
-def answers(requests: DataFrame, locations: DataFrame, groups: DataFrame, pdf_rows: DataFrame, links: DataFrame, streams: DataFrame) -> DataFrame:
+def answers(requests: DataFrame, locations: DataFrame, groups: DataFrame, pdf_rows: DataFrame, links: DataFrame, streams: DataFrame, dates: Callable[[Column], Column] | None = None, entries: Callable[[Column], Column] | None = None) -> DataFrame:
     """(n, route, status, error, location_id, schedule_group_id, calendar_id, calendar_status, dates, entries) of every request.
 
     dates: struct(date, waste_type), sorted. entries: struct(name, types) of the streets, house numbers or villages asked
     for. A schedule group that is unknown, or of another waste type, is an answer of status 200 with an error.
+
+    Many requests have the same long answer. Where only something short of it is wanted, `dates` and `entries` say what,
+    each as a function of the array: it is worked out once for each group, selection, village or street, and only its
+    value goes along with the requests.
     """
     from .store import written
 
+    as_dates, as_entries = dates or (lambda c: c), entries or (lambda c: c)
+    no_dates, no_entries = as_dates(F.array().cast(DATES)), as_entries(F.array().cast(BUCKETS))
+    pdf_rows = written(lookup.reduced(pdf_rows))
     asked = written(judged(requests, locations))
     good = asked.filter("error is null")
     held = locations.select("id", *PLACE, "street", "house_numbers", "kaimai_hash")
     dated = lambda g: F.transform(g, lambda d: F.struct(d.alias("date"), F.col("waste_type").alias("waste_type")))
     calendars = links.select(F.col("schedule_group_id"), F.col("calendar_stream_id").alias("_s")).join(streams.select(F.col("id").alias("_s"), "calendar_id", "calendar_synced_at"), "_s").drop("_s")
-    group = groups.select(F.col("id").alias("schedule_group_id"), F.col("waste_type").alias("_type"), F.col("kaimai_hash"), F.array_sort("dates").alias("_dates")).join(calendars, "schedule_group_id", "left")
+    group = groups.select(F.col("id").alias("schedule_group_id"), F.col("waste_type").alias("_type"), F.col("kaimai_hash"), as_dates(dated(F.array_sort("dates"))).alias("_dates")).join(calendars, "schedule_group_id", "left")
 
     # one location: by its id, or by the selection
     single = good.filter("route = 'schedule'")
@@ -83,30 +92,29 @@ def answers(requests: DataFrame, locations: DataFrame, groups: DataFrame, pdf_ro
     chosen = single.filter("location_id is null").select("n", *PLACE, "street", F.coalesce("houses", F.lit("")).alias("bucket"))
     by_place = lookup.location_of(chosen.select(*PLACE, "street", "bucket").distinct(), held)
     found = by_id.unionByName(chosen.join(by_place, [*PLACE, "street", "bucket"]).select("n", "id")).join(held.select("id", "kaimai_hash"), "id")
-    general = group.filter("_type = 'bendros'").withColumn("waste_type", F.lit("bendros"))
-    one = found.join(general, "kaimai_hash", "left").select("n", F.col("id").alias("location_id"), "schedule_group_id", "calendar_id", lookup.calendar_status().alias("calendar_status"), F.coalesce(dated(F.col("_dates")), F.array().cast(DATES)).alias("dates"))
+    general = group.filter("_type = 'bendros'")
+    one = found.join(general, "kaimai_hash", "left").select("n", F.col("id").alias("location_id"), "schedule_group_id", "calendar_id", lookup.calendar_status().alias("calendar_status"), F.coalesce("_dates", no_dates).alias("dates"))
 
     # all types of a selection
     many = good.filter("route = 'schedule-multi'").select("n", *PLACE, "street", "houses")
     wanted = many.select(*PLACE, "street", F.col("houses").alias("bucket")).distinct()
-    each = lookup.multi_schedule(wanted, locations, groups, pdf_rows)
-    each = each.groupBy(*PLACE, "street", F.col("bucket").alias("_bucket")).agg(F.array_sort(F.collect_list(F.struct(F.col("d").alias("date"), "waste_type"))).alias("dates"))
-    multi = many.withColumn("_bucket", F.coalesce("houses", F.lit(""))).join(each, [*PLACE, "street", "_bucket"], "left").select("n", F.coalesce("dates", F.array().cast(DATES)).alias("dates"))
+    each = lookup.chosen_groups(wanted, locations, groups, pdf_rows)
+    each = each.groupBy(*PLACE, "street", F.col("bucket").alias("_bucket")).agg(as_dates(F.array_sort(F.flatten(F.collect_list(dated(F.col("dates")))))).alias("dates"))
+    multi = many.withColumn("_bucket", F.coalesce("houses", F.lit(""))).join(each, [*PLACE, "street", "_bucket"], "left").select("n", F.coalesce("dates", no_dates).alias("dates"))
 
     # a group, with its calendar, or why not
     named = good.filter("route = 'schedule-group'").select("n", F.col("id").alias("schedule_group_id"), "waste_type").join(group, "schedule_group_id", "left")
     wrong = F.when(F.col("_type").isNull(), NO_GROUP).when(F.col("_type") != F.col("waste_type"), F.concat(F.lit('Schedule group is for waste_type "'), "_type", F.lit('", not "'), "waste_type", F.lit('"')))
     right = wrong.isNull()
-    grouped = named.select("n", wrong.alias("_said"), "schedule_group_id", F.when(right, F.col("calendar_id")).alias("calendar_id"), F.when(right, dated(F.col("_dates"))).otherwise(F.array().cast(DATES)).alias("dates"))
+    grouped = named.select("n", wrong.alias("_said"), "schedule_group_id", F.when(right, F.col("calendar_id")).alias("calendar_id"), F.when(right, F.col("_dates")).otherwise(no_dates).alias("dates"))
 
     # lists of a village or a street
-    entry = lambda name: F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), "types"))).alias("entries")
+    entry = lambda name: as_entries(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), "types")))).alias("entries")
     of_village = lookup.streets(locations, groups, pdf_rows).groupBy(*PLACE).agg(entry("street"))
     of_street = lookup.house_numbers(locations, groups, pdf_rows).groupBy(*PLACE, "street").agg(entry("bucket"))
     every = lookup.villages(locations, groups, pdf_rows).select(F.concat_ws("/", *PLACE).alias("name"), F.col("available").alias("types")).agg(entry("name"))
-    none = F.array().cast(BUCKETS)
-    lists = good.filter("route = 'streets'").select("n", *PLACE).join(of_village, PLACE, "left").select("n", F.coalesce("entries", none).alias("entries"))
-    lists = lists.unionByName(good.filter("route = 'house-numbers'").select("n", *PLACE, "street").join(of_street, [*PLACE, "street"], "left").select("n", F.coalesce("entries", none).alias("entries")))
+    lists = good.filter("route = 'streets'").select("n", *PLACE).join(of_village, PLACE, "left").select("n", F.coalesce("entries", no_entries).alias("entries"))
+    lists = lists.unionByName(good.filter("route = 'house-numbers'").select("n", *PLACE, "street").join(of_street, [*PLACE, "street"], "left").select("n", F.coalesce("entries", no_entries).alias("entries")))
     lists = lists.unionByName(good.filter("route = 'villages'").select("n", F.lit(1).alias("_k")).join(every.withColumn("_k", F.lit(1)), "_k").select("n", "entries"))
     calendar = good.filter("route = 'calendar-info'").select("n", F.col("id").alias("calendar_id")).join(streams.select("calendar_id").distinct(), "calendar_id", "left_semi")
 
@@ -119,7 +127,7 @@ def answers(requests: DataFrame, locations: DataFrame, groups: DataFrame, pdf_ro
     missing = F.col("error").isNull() & F.col("_found").isNull()
     error = F.coalesce("error", "_said", F.when(missing & (F.col("route") == "schedule"), NO_LOCATION).when(missing & (F.col("route") == "calendar-info"), NO_CALENDAR))
     status = F.coalesce("status", F.when(missing, 404).otherwise(200))
-    return out.select("n", "route", status.alias("status"), error.alias("error"), *[F.col(c).cast(kind).alias(c) for c, kind in columns])
+    return out.select("n", "route", status.alias("status"), error.alias("error"), *[F.col(c).cast(kind).alias(c) for c, kind in columns], "dates", "entries")
 
 
 def as_json(answered: DataFrame) -> DataFrame:
@@ -128,6 +136,11 @@ def as_json(answered: DataFrame) -> DataFrame:
     return answered.select("n", "status", F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise(body).alias("body"))
 
 
+def dates_text(dates: Column) -> Column:
+    """Dates of an answer as "day type" texts, comma-joined."""
+    return F.array_join(F.transform(dates, lambda x: F.concat_ws(" ", x["date"].cast("string"), x["waste_type"])), ",")
+
+
 def dates_of(answered: DataFrame) -> Column:
     """The dates of answers as "day type" texts, comma-joined."""
-    return F.array_join(F.transform(answered["dates"], lambda x: F.concat_ws(" ", x["date"].cast("string"), x["waste_type"])), ",")
+    return dates_text(answered["dates"])

@@ -237,8 +237,9 @@ def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = store.written(spark.sql(sql, **{name: v[name] for name in ("orders", "v_locations", "v_groups", "v_links", "v_streams")}))
     given = {"location_id": "location_id", "seniunija": "seniunija", "village": "village", "street": "street", "house_numbers": "houses"}
     pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in given.items()]), lambda p: p["v"].isNotNull())
-    found = requests.answers(asked.select("n", "method", "path", F.map_from_entries(pairs).alias("params")), v["v_locations"], v["v_groups"], v["v_pdf_rows"], v["v_links"], v["v_streams"])
-    return found.select("n", "status", "error", "location_id", "schedule_group_id", "calendar_id", "calendar_status", F.sha2(requests.dates_of(found), 256).alias("dates_sha256"), F.coalesce(F.size("entries"), F.lit(-1)).alias("n_entries"))
+    asked = asked.select("n", "method", "path", F.map_from_entries(pairs).alias("params"))
+    found = requests.answers(asked, v["v_locations"], v["v_groups"], v["v_pdf_rows"], v["v_links"], v["v_streams"], dates=lambda c: F.sha2(requests.dates_text(c), 256), entries=F.size)
+    return found.select("n", "status", "error", "location_id", "schedule_group_id", "calendar_id", "calendar_status", F.col("dates").alias("dates_sha256"), F.coalesce("entries", F.lit(-1)).alias("n_entries"))
 
 
 def migrated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
