@@ -89,7 +89,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.calendar_grid(flagship(spark, sf_dir))
+    found = model(spark, sf_dir, "v_locations", "v_groups")
+    return lookup.calendar_grid(lookup.chosen_groups(lookup.selections(found[0]), *found))
 
 
 def location_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
