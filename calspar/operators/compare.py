@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .store import written
+from .store import in_files, written
 
 # Words that comparison drops from village, district and street names.
 VILLAGE_WORDS, DISTRICT_WORDS, STREET_WORDS = ["k", "vs", "mstl", "m"], ["sen", "seniunija"], ["g", "al", "akl", "pl", "kel", "tak", "skg", "aklg"]
@@ -51,7 +51,7 @@ def match(rows: DataFrame, locations: DataFrame, strict: bool = False) -> DataFr
     for tier, on in TIERS.items():
         each = each.join(tier_table(places, tier), on, "left")
     method = F.coalesce(*[F.when(F.col(t).isNotNull(), t) for t in TIERS])
-    found = each.select(*[F.col(n).alias(f"{n}2") for n in names], F.coalesce(*TIERS).alias("match_hash"), method.alias("match_method"))
+    found = in_files(each.select(*[F.col(n).alias(f"{n}2") for n in names], F.coalesce(*TIERS).alias("match_hash"), method.alias("match_method")))
     same = [F.col(n).eqNullSafe(F.col(f"{n}2")) for n in names]
     return named.join(found, same).drop(*names, *[f"{n}2" for n in names])
 
@@ -71,13 +71,17 @@ def outcome(matched: DataFrame, groups: DataFrame) -> DataFrame:
     return both.withColumn("outcome", F.when(F.col("_theirs").isNull(), "no_match").when(empty, "empty").when(F.col("_ours") == F.col("_theirs"), "overlap").otherwise("conflict")).drop("_ours", "_theirs")
 
 
-def report(results: DataFrame) -> DataFrame:
-    """Counts for all rows (waste_type null) and for each type: one pass, rolled up. Rows with an empty side are conflicts, but not matched."""
+def report(results: DataFrame, times: Column | None = None) -> DataFrame:
+    """Counts for all rows (waste_type null) and for each type: one pass, rolled up. Rows with an empty side are conflicts, but not matched.
+
+    times: how many rows each row stands for; one by default.
+    """
+    times = F.lit(1) if times is None else times
 
     def n(*what: str) -> Column:
-        return F.count_if(F.col("outcome").isin(*what))
+        return F.coalesce(F.sum(F.when(F.col("outcome").isin(*what), times)), F.lit(0))
 
-    return results.rollup("waste_type").agg(F.count("*").alias("total"), n("overlap", "conflict").alias("matched"), n("overlap").alias("overlap"), n("conflict", "empty").alias("conflict"), n("no_match").alias("no_match"))
+    return results.rollup("waste_type").agg(F.coalesce(F.sum(times), F.lit(0)).alias("total"), n("overlap", "conflict").alias("matched"), n("overlap").alias("overlap"), n("conflict", "empty").alias("conflict"), n("no_match").alias("no_match"))
 
 
 def methods(matched: DataFrame) -> DataFrame:

@@ -31,6 +31,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_files(df: DataFrame) -> DataFrame:
+    """df computed once into a table of its own in the shared folder: unlike a checkpoint's, its size is that of its files, so that a small one is broadcast and a large table that it is joined with isn't shuffled."""
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def same_key(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality, so that a null in a key doesn't make every run add its row again."""
     out = F.lit(True)
