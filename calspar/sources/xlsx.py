@@ -17,7 +17,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -25,6 +25,8 @@ from .changed import listing, opened
 
 #: The table of shared strings is refused beyond so many bytes once unpacked, so that a packed bomb can't fill a worker; sheets are pulled and have no such limit.
 MOST_BYTES = 512 << 20
+#: Workbooks are read in groups of so many bytes at most, as a task for each small one costs more than reading it; a larger one stands alone.
+GROUP_BYTES = 1 << 20
 #: Rows of a batch at most.
 ROWS = 4096
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -142,10 +144,10 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, columns:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(work, SCHEMA)
 
 
-class Workbook(InputPartition):
-    def __init__(self, name: str):
-        super().__init__(name)
-        self.name = name
+class Workbooks(InputPartition):
+    def __init__(self, names: list[str]):
+        super().__init__(names)
+        self.names = names
 
 
 class XlsxReader(DataSourceReader):
@@ -153,19 +155,28 @@ class XlsxReader(DataSourceReader):
         self.folder, self.sheet = options["path"], options.get("sheet")
         self.columns = {int(k) for k in options["columns"].split(",")} if options.get("columns") else None
 
-    def partitions(self) -> list[Workbook]:
-        return [Workbook(name) for name in sorted(listing(self.folder, "*.xlsx"))]
-
-    def read(self, partition: Workbook) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Workbooks]:
+        groups: list[Workbooks] = []
+        held = 0
+        for name, (_, size) in sorted(listing(self.folder, "*.xlsx").items()):
+            if not groups or held + size > GROUP_BYTES:
+                groups.append(Workbooks([]))
+                held = 0
+            groups[-1].names.append(name)
+            held += size
+        return groups
+
+    def read(self, partition: Workbooks) -> Iterator[pa.RecordBatch]:
         store, root = opened(self.folder)
-        with store.open_input_file(f"{root}/{partition.name}") as f:
-            # a file too short for an archive can't be sought in as zipfile does
-            source = f if f.size() > zipfile.sizeEndCentDir else io.BytesIO(f.read())
-            yield from batches_of(partition.name, source, self.sheet, self.columns)
+        for name in partition.names:
+            with store.open_input_file(f"{root}/{name}") as f:
+                # a file too short for an archive can't be sought in as zipfile does
+                source = f if f.size() > zipfile.sizeEndCentDir else io.BytesIO(f.read())
+                yield from batches_of(name, source, self.sheet, self.columns)
 
 
 class Xlsx(DataSource):
-    """format("xlsx") with the options path (a folder), sheet (a name; the first by default) and columns (numbers from 0, parted by commas; all by default): rows of SCHEMA, a workbook a task."""
+    """format("xlsx") with the options path (a folder), sheet (a name; the first by default) and columns (numbers from 0, parted by commas; all by default): rows of SCHEMA, workbooks of GROUP_BYTES in all a task, or one larger one."""
 
     @classmethod
     def name(cls) -> str:
@@ -197,8 +208,9 @@ def register(spark: SparkSession) -> None:
 
 def with_headings(rows: DataFrame, names: list[str], heading_row: int = 2) -> DataFrame:
     """(file, row, names...): the cells below each file's heading row, under the columns whose heading is a name; a column that a file lacks is null."""
-    heads = rows.filter(F.col("row") == heading_row).select("file", F.transform("cells", lambda c: F.trim(c)).alias("heads"))
-    placed = rows.filter(F.col("row") > heading_row).join(heads, "file")
+    # one reading of the files: a file's heading row is found among its rows
+    heads = F.max(F.when(F.col("row") == heading_row, F.transform("cells", lambda c: F.trim(c)))).over(Window.partitionBy("file"))
+    placed = rows.filter(F.col("row") >= heading_row).withColumn("heads", heads).filter((F.col("row") > heading_row) & F.col("heads").isNotNull())
 
     def under(name: str) -> Column:
         at = F.array_position("heads", name)
