@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from .compare import first_of
+from .ingest import computed_once
 
 STREETS = f"array<{text.STREET}>"
 GROUPS = f"array<struct<seniunija:string,village:string,include_streets:{STREETS},exclude_streets:{STREETS}>>"
@@ -71,8 +72,10 @@ def parsed_places(cells: DataFrame, cache: DataFrame | None = None) -> DataFrame
     each = cells.select("location", "waste_type").distinct()
     if cache is None:
         return each.select("location", "waste_type", by_rules(F.col("location")).alias("cell"), F.lit("rules").alias("by"))
-    known = cache.select("kaimai_hash", "waste_type", cell_answer(F.col("parsed_result")).alias("answer"), F.lit(True).alias("asked"))
+    # only answers to cells that occur are read, where the cells lie, and each once
+    known = cache.select("kaimai_hash", "waste_type", "parsed_result", F.lit(True).alias("asked"))
     joined = each.withColumn("kaimai_hash", ids.location_hash(F.col("location"))).join(known, ["kaimai_hash", "waste_type"], "left")
+    joined = computed_once(joined, "answer", cell_answer(F.col("parsed_result")))
     error = F.when(F.col("asked").isNull(), "rules").when(F.col("answer").isNull(), "no object of the right form").otherwise(answer_error(F.col("location"), F.col("answer")))
     judged = joined.withColumn("by", F.coalesce(error, F.lit("answer")))
     return judged.select("location", "waste_type", F.when(F.col("by") == "answer", F.col("answer")).otherwise(by_rules(F.col("location"))).alias("cell"), "by")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from .store import in_files
 
 # What headings and labels are known by, and sentences that aren't places.
 LABELS, WASTE, PACK, GLASS = ["seniūn", "gyvenviet", "pavadinimas"], "atliek", "Pakuotė", "Stiklas"
@@ -58,6 +59,7 @@ def in_sections(rows: DataFrame) -> DataFrame:
     bare = lambda c: text.strip(F.regexp_replace(c, r"\b\d{4}\s*m\.", ""))
     merged = F.zip_with("cells", F.coalesce(below, F.col("cells")), lambda a, b: F.when(bare(a) != "", bare(a)).otherwise(bare(b)))
     named = flagged.withColumn("heading", F.when(F.col("is_head"), merged)).withColumn("section", F.sum(F.col("is_head").cast("int")).over(order))
+    named = in_files(named)  # read three times: pages are parsed once
 
     table = named.groupBy(*KEY).agg(F.max(F.size("cells")).alias("width"), F.min_by("heading", F.when(F.col("is_head"), F.struct("r", "half"))).alias("first"), F.max_by("heading", F.when(F.col("is_head"), F.struct("r", "half"))).alias("last"))
     tables = Window.partitionBy("doc").orderBy("t")
