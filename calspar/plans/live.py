@@ -72,8 +72,9 @@ def event_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events that `event_states` gives, from a stream: patterns in two runs, then results, with late rows among them."""
     own, folder = runs.stateful(spark), store.new_folder(spark, "events")
     v = domain.views(spark, sf_dir)
-    existing = filled(v["v_existing"], events.SEED)
-    wanted = v["v_desired"].groupBy("stream").agg(F.array_sort(F.collect_list("d")).alias("dates"))
+    filled(v["v_existing"], events.SEED).write.parquet(f"{folder}/seed")
+    existing = spark.read.schema(events.SEED).parquet(f"{folder}/seed")
+    wanted = store.in_files(v["v_desired"].groupBy("stream").agg(F.array_sort(F.collect_list("d")).alias("dates")))
     patterns = wanted.select("stream", F.lit("pattern").alias("kind"), "dates")
 
     def run() -> DataFrame:
@@ -82,12 +83,11 @@ def event_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         runs.drain(events.event_log(runs.arriving(own, f"{folder}/in", events.ARRIVAL), seed), f"{folder}/log", f"{folder}/state")
         return spark.read.parquet(f"{folder}/log")
 
-    existing.write.parquet(f"{folder}/seed")
     half = F.col("stream") % 2
     arrive(patterns.filter(half == 0).select("*", at(0)), f"{folder}/in", events.ARRIVAL)
     run()
     arrive(patterns.filter(half == 1).select("*", at(1)), f"{folder}/in", events.ARRIVAL)
-    todo = events.open_actions(run())
+    todo = store.in_files(events.open_actions(run()))
     ok = (F.col("stream").cast("long") + F.dayofmonth("d")) % 3 != 0
     results = todo.select("*", F.lit("result").alias("kind"), ok.alias("ok"), F.concat("stream", F.lit("/"), "d").alias("event_id"), F.lit("no answer").alias("error_message"))
     # the same results again, results of an attempt that was never made, and patterns of long ago change nothing

@@ -7,7 +7,9 @@ actions to carry out and the states that results lead to. The table of events th
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -16,14 +18,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .runs import last_rows, micros, moment
 
 ARRIVAL = "stream string, kind string, at timestamp, dates array<date>, d date, action string, attempt int, ok boolean, event_id string, error_message string"
+#: What the state is told of a row; each column of each row costs time in Python.
+TOLD = ["stream", "kind", "at", "dates", "d", "attempt", "ok", "event_id", "error_message"]
 LOG = "stream string, d date, action string, status string, event_id string, error_message string, attempt int, at timestamp, n long"
-DATE, HELD = "d date", "status string, event_id string, error_message string, attempt int"
+HELD = "at long, n long, dates array<struct<d: int, status: string, event_id: string, error_message: string, attempt: int>>"
 SEED = "stream string, d date, status string, event_id string, error_message string"
 
 
 class EventStates(StatefulProcessor):
-    """Per stream a map of its dates. A pattern older than the last one, and a result of another attempt than the last one, are passed over.
+    """Per stream the states of its dates. A pattern older than the last one, and a result of another attempt than the last one, are passed over.
 
+    They are one value, read once a batch and written once if it changes: each call to the state is an exchange with the JVM.
     A deleted date goes once its result is there, whether the deletion worked or not. With `retry_ms` dates in error are
     tried again so long after the failure, else only when a pattern comes that still has them.
     """
@@ -33,35 +38,40 @@ class EventStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.dates = handle.getMapState("dates", DATE, HELD)
-        self.last = handle.getValueState("last", "at long, n long")
+        self.held = handle.getValueState("held", HELD)
+
+    def read(self) -> tuple:
+        """The time of the last pattern, the number of the last row, and the state of each date."""
+        at, n, dates = self.held.get() or (None, 0, ())
+        return at, n, {datetime.date.fromordinal(d): tuple(value) for d, *value in dates}
+
+    def write(self, at: int | None, n: int, held: dict) -> None:
+        self.held.update((at, n, [(d.toordinal(), *value) for d, value in held.items()]))
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        r = initialState
-        self.dates.updateValue((r.d,), (r.status, r.event_id, r.error_message, 0))
+        self.write(None, 0, {x["d"]: (x["status"], x["event_id"], x["error_message"], 0) for x in initialState.dates})
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        at, n = self.last.get() if self.last.exists() else (None, 0)
-        held = {k[0]: tuple(v) for k, v in self.dates.iterator()}
-        for r in sorted(rows, key=lambda r: (r.at, r.kind)):
-            if r.kind == "pattern":
-                if at is None or micros(r.at) >= at:
-                    at = micros(r.at)
-                    changes = self.compared(held, set(r.dates or ()))
-                else:
-                    changes = []
+        last, n, held = self.read()
+        at, out = last, []
+        for _, kind, when, dates, d, attempt, ok, event_id, message in sorted(rows, key=itemgetter(2, 1)):
+            if kind != "pattern":
+                changes = self.answered(held, d, attempt, when, ("created", event_id, None) if ok else ("error", None, message))
+            elif at is None or micros(when) >= at:
+                at = micros(when)
+                changes = self.compared(held, set(dates or ()))
             else:
-                changes = self.answered(held, r)
+                changes = []
             for d, action, value in changes:
                 n += 1
                 if value[0] == "deleted":
                     held.pop(d)
-                    self.dates.removeKey((d,))
                 else:
                     held[d] = value
-                    self.dates.updateValue((d,), value)
-                yield Row(stream=key[0], d=d, action=action, status=value[0], event_id=value[1], error_message=value[2], attempt=value[3], at=r.at, n=n)
-        self.last.update((at, n))
+                out.append(Row(stream=key[0], d=d, action=action, status=value[0], event_id=value[1], error_message=value[2], attempt=value[3], at=when, n=n))
+        if out or at != last:
+            self.write(at, n, held)
+        yield from out
 
     def compared(self, held: dict, wanted: set) -> list[tuple]:
         """(date, action, new state) where a pattern differs from what is held; without dates nothing is to be done."""
@@ -78,26 +88,27 @@ class EventStates(StatefulProcessor):
         order = {"delete": 0, "add": 1, "retry": 2}
         return sorted(out, key=lambda x: (order[x[1]], x[0]))
 
-    def answered(self, held: dict, r: Row) -> list[tuple]:
-        if r.d not in held or held[r.d][3] != r.attempt or held[r.d][0] not in ("pending", "retry", "leaving"):
+    def answered(self, held: dict, d: datetime.date, attempt: int, when: datetime.datetime, result: tuple) -> list[tuple]:
+        status, _, _, last = held.get(d, (None,) * 4)
+        if status not in ("pending", "retry", "leaving") or last != attempt:
             return []
-        if held[r.d][0] == "leaving":
-            return [(r.d, None, ("deleted", None, None, r.attempt))]
-        if r.ok:
-            return [(r.d, None, ("created", r.event_id, None, r.attempt))]
-        if self.retry_ms is not None:
-            self.handle.registerTimer(micros(r.at) // 1000 + self.retry_ms)
-        return [(r.d, None, ("error", None, r.error_message, r.attempt))]
+        if status == "leaving":
+            return [(d, None, ("deleted", None, None, attempt))]
+        if result[0] == "error" and self.retry_ms is not None:
+            self.handle.registerTimer(micros(when) // 1000 + self.retry_ms)
+        return [(d, None, (*result, attempt))]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at, n = self.last.get()
+        at, n, held = self.read()
         when = moment(expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        failed = sorted((k[0], tuple(v)) for k, v in self.dates.iterator() if v[0] == "error")
-        for d, v in failed:
+        out = []
+        for d, v in sorted((d, v) for d, v in held.items() if v[0] == "error"):
             n += 1
-            self.dates.updateValue((d,), ("retry", None, v[2], v[3] + 1))
-            yield Row(stream=key[0], d=d, action="retry", status="retry", event_id=None, error_message=v[2], attempt=v[3] + 1, at=when, n=n)
-        self.last.update((at, n))
+            held[d] = ("retry", None, v[2], v[3] + 1)
+            out.append(Row(stream=key[0], d=d, action="retry", status="retry", event_id=None, error_message=v[2], attempt=v[3] + 1, at=when, n=n))
+        if out:
+            self.write(at, n, held)
+        yield from out
 
     def close(self) -> None:
         pass
@@ -105,8 +116,8 @@ class EventStates(StatefulProcessor):
 
 def event_log(arrivals: DataFrame, existing: DataFrame | None = None, delay: str = "1 hour", retry_ms: int | None = None) -> DataFrame:
     """The log of a stream of ARRIVAL rows; existing (stream, d, status, event_id, error_message) seeds the state in the first run. Rows later than `delay` are dropped."""
-    seed = existing.groupBy("stream") if existing is not None else None
-    return arrivals.withWatermark("at", delay).groupBy("stream").transformWithState(EventStates(retry_ms), LOG, "append", "eventTime", initialState=seed)
+    seed = existing.groupBy("stream").agg(F.collect_list(F.struct("d", "status", "event_id", "error_message")).alias("dates")).groupBy("stream") if existing is not None else None
+    return arrivals.select(TOLD).withWatermark("at", delay).groupBy("stream").transformWithState(EventStates(retry_ms), LOG, "append", "eventTime", initialState=seed)
 
 
 def open_actions(log: DataFrame) -> DataFrame:
